@@ -72,29 +72,34 @@ def long_form(df: DataFrame, cols: list[str], carry: dict[str, Column] | None =
 
 
 def value_cumsums(df: DataFrame, cols: list[str], weights: dict[str, Column],
-                  n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """One row per (feature, distinct non-NULL value) with, for every weight w:
-    ``w`` (sum at the value), ``w_lt`` (sum over smaller values), ``w_le``
-    (sum up to and including it) and ``w_tot`` (feature total)."""
+                  n_buckets: int = DEFAULT_BUCKETS, by: list[str] | None = None) -> DataFrame:
+    """One row per (feature, *by, distinct non-NULL value) with, for every
+    weight w: ``w`` (sum at the value), ``w_lt`` (sum over smaller values),
+    ``w_le`` (sum up to and including it) and ``w_tot`` (group total).
+    ``by`` columns must have few values (e.g. a label): the offset table is
+    (features x groups x buckets) rows."""
+    by = by or []
     bdf, bcols = bucketize(df, cols, n_buckets)
-    lf = long_form(bdf, cols, carry=weights, bucket_cols=bcols).where(F.col("value").isNotNull())
+    carry = {**{b: F.col(b) for b in by}, **weights}
+    lf = long_form(bdf, cols, carry=carry, bucket_cols=bcols).where(F.col("value").isNotNull())
     wn = list(weights)
-    agg = lf.groupBy("feature", "bucket", "value").agg(*[F.sum(w).alias(w) for w in wn])
-    local_w = (Window.partitionBy("feature", "bucket").orderBy("value")
+    g = ["feature", *by]
+    agg = lf.groupBy(*g, "bucket", "value").agg(*[F.sum(w).alias(w) for w in wn])
+    local_w = (Window.partitionBy(*g, "bucket").orderBy("value")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = agg.select("feature", "bucket", "value", *wn,
+    local = agg.select(*g, "bucket", "value", *wn,
                        *[F.sum(w).over(local_w).alias(f"__loc_{w}") for w in wn])
-    # (features x buckets) rows: the broadcast side is bounded by n_buckets.
-    tot = agg.groupBy("feature", "bucket").agg(*[F.sum(w).alias(f"__bt_{w}") for w in wn])
-    before = (Window.partitionBy("feature").orderBy("bucket")
+    # (features x groups x buckets) rows: the broadcast side is bounded by n_buckets.
+    tot = agg.groupBy(*g, "bucket").agg(*[F.sum(w).alias(f"__bt_{w}") for w in wn])
+    before = (Window.partitionBy(*g).orderBy("bucket")
               .rowsBetween(Window.unboundedPreceding, -1))
-    whole = Window.partitionBy("feature")
-    offs = tot.select("feature", "bucket",
+    whole = Window.partitionBy(*g)
+    offs = tot.select(*g, "bucket",
                       *[F.coalesce(F.sum(f"__bt_{w}").over(before), F.lit(0)).alias(f"__off_{w}")
                         for w in wn],
                       *[F.sum(f"__bt_{w}").over(whole).alias(f"{w}_tot") for w in wn])
-    j = local.join(F.broadcast(offs), ["feature", "bucket"])
-    out = [F.col("feature"), F.col("value")]
+    j = local.join(F.broadcast(offs), [*g, "bucket"])
+    out = [F.col(c) for c in g] + [F.col("value")]
     for w in wn:
         le = F.col(f"__off_{w}") + F.col(f"__loc_{w}")
         out += [F.col(w), (le - F.col(w)).alias(f"{w}_lt"), le.alias(f"{w}_le"), F.col(f"{w}_tot")]
@@ -102,42 +107,57 @@ def value_cumsums(df: DataFrame, cols: list[str], weights: dict[str, Column],
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    n_buckets: int = DEFAULT_BUCKETS, by: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy 'linear', DuckDB
-    ``quantile_cont``) of each column, NULLs ignored. Returns one row per
-    (feature, q) with ``quantile``; ``n`` is the non-NULL count.
+    ``quantile_cont``) of each column (per ``by`` group), NULLs ignored.
+    Returns one row per (feature, *by, q) with ``quantile``; ``n`` is the
+    non-NULL count.
 
     No task holds a whole column: the value at rank r is found by a broadcast
-    range join of a (features x probs) target table against the distributed
-    cumulative-count table."""
-    cum = value_cumsums(df, cols, {"cnt": F.lit(1).cast("long")}, n_buckets)
+    range join of a (features x groups x probs) target table against the
+    distributed cumulative-count table."""
+    by = by or []
+    g = ["feature", *by]
+    cum = value_cumsums(df, cols, {"cnt": F.lit(1).cast("long")}, n_buckets, by)
     spark = df.sparkSession
     pr = spark.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "qi int, q double")
-    ns = cum.select("feature", F.col("cnt_tot").alias("n")).distinct()
+    ns = cum.select(*g, F.col("cnt_tot").alias("n")).distinct()
     pos = F.col("q") * (F.col("n") - 1).cast("double")
     tgt = (ns.crossJoin(F.broadcast(pr))
-           .select("feature", "qi", "q", "n", pos.alias("pos"))
+           .select(*g, "qi", "q", "n", pos.alias("pos"))
            .select("*", F.floor("pos").cast("long").alias("r_lo"),
                    F.ceil("pos").cast("long").alias("r_hi")))
     # one row per target rank; bounded size -> broadcast
-    ranks = tgt.select(F.col("feature").alias("t_feature"), "qi", F.explode(F.array(
+    ranks = tgt.select(*[F.col(c).alias(f"t_{c}") for c in g], "qi", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("r_lo").alias("r")),
         F.struct(F.lit(1).alias("side"), F.col("r_hi").alias("r")))).alias("t")) \
-        .select("t_feature", "qi", "t.side", "t.r")
-    c = cum.select(F.col("feature").alias("c_feature"), "value", "cnt_lt", "cnt_le")
-    hit = c.join(F.broadcast(ranks),
-                 (F.col("c_feature") == F.col("t_feature")) & (F.col("cnt_lt") <= F.col("r"))
-                 & (F.col("r") < F.col("cnt_le"))) \
-        .select(F.col("t_feature").alias("feature"), "qi", "side", "value")
-    vals = hit.groupBy("feature", "qi").agg(
+        .select(*[f"t_{c}" for c in g], "qi", "t.side", "t.r")
+    c = cum.select(*[F.col(x).alias(f"c_{x}") for x in g], "value", "cnt_lt", "cnt_le")
+    cond = (F.col("cnt_lt") <= F.col("r")) & (F.col("r") < F.col("cnt_le"))
+    for x in g:
+        cond = cond & F.col(f"c_{x}").eqNullSafe(F.col(f"t_{x}"))
+    hit = c.join(F.broadcast(ranks), cond) \
+        .select(*[F.col(f"t_{x}").alias(x) for x in g], "qi", "side", "value")
+    vals = hit.groupBy(*g, "qi").agg(
         F.max(F.when(F.col("side") == 0, F.col("value"))).alias("v_lo"),
         F.max(F.when(F.col("side") == 1, F.col("value"))).alias("v_hi"))
-    res = tgt.join(vals, ["feature", "qi"])
+    res = tgt.join(vals, [*g, "qi"])
     frac = F.col("pos") - F.col("r_lo").cast("double")
-    return res.select("feature", "q", "n",
+    return res.select(*g, "q", "n",
                       (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac).alias("quantile"))
 
 
+def quantile_table(df: DataFrame, cols: list[str], probs: list[float], names: list[str],
+                   by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles as one row per (feature, *by), one column per name."""
+    by = by or []
+    q = exact_quantiles(df, cols, probs, by=by)
+    return q.groupBy("feature", *by).agg(
+        F.first("n").alias("n"),
+        *[F.max(F.when(F.col("q") == F.lit(float(p)), F.col("quantile"))).alias(nm)
+          for p, nm in zip(probs, names)])
+
+
 def quantile_row(df: DataFrame, col: str, probs: list[float], names: list[str]) -> DataFrame:
     """Exact quantiles of one column as a single wide row (one column per name)."""
     q = exact_quantiles(df, [col], probs)
