@@ -28,8 +28,16 @@ DEFAULT_BUCKETS = 64
 
 
 def _splits(df: DataFrame, cols: list[str], n_buckets: int, rel_err: float) -> list[list[float]]:
+    """Approximate cut points: one ``percentile_approx`` aggregate per column in
+    a single partial-aggregated pass; (cols x n_buckets) numbers reach the driver."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(cols, probs, rel_err) if n_buckets > 1 else [[] for _ in cols]
+    if n_buckets > 1:
+        acc = max(int(1.0 / rel_err), 1)
+        row = df.agg(*[F.percentile_approx(F.col(c), probs, acc).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        qs = [row[f"q{i}"] or [] for i in range(len(cols))]
+    else:
+        qs = [[] for _ in cols]
     out = []
     for q in qs:
         inner = sorted({float(v) for v in q if v is not None and math.isfinite(v)})
@@ -72,12 +80,14 @@ def long_form(df: DataFrame, cols: list[str], carry: dict[str, Column] | None =
 
 
 def value_cumsums(df: DataFrame, cols: list[str], weights: dict[str, Column],
-                  n_buckets: int = DEFAULT_BUCKETS, by: list[str] | None = None) -> DataFrame:
+                  n_buckets: int = DEFAULT_BUCKETS, by: list[str] | None = None,
+                  with_totals: bool = False):
     """One row per (feature, *by, distinct non-NULL value) with, for every
     weight w: ``w`` (sum at the value), ``w_lt`` (sum over smaller values),
     ``w_le`` (sum up to and including it) and ``w_tot`` (group total).
     ``by`` columns must have few values (e.g. a label): the offset table is
-    (features x groups x buckets) rows."""
+    (features x groups x buckets) rows. ``with_totals`` also returns that
+    small table's per-group totals (no second pass over the big one)."""
     by = by or []
     bdf, bcols = bucketize(df, cols, n_buckets)
     carry = {**{b: F.col(b) for b in by}, **weights}
@@ -103,7 +113,10 @@ def value_cumsums(df: DataFrame, cols: list[str], weights: dict[str, Column],
     for w in wn:
         le = F.col(f"__off_{w}") + F.col(f"__loc_{w}")
         out += [F.col(w), (le - F.col(w)).alias(f"{w}_lt"), le.alias(f"{w}_le"), F.col(f"{w}_tot")]
-    return j.select(*out)
+    res = j.select(*out)
+    if with_totals:
+        return res, offs.select(*g, *[f"{w}_tot" for w in wn]).distinct()
+    return res
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
@@ -118,10 +131,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     distributed cumulative-count table."""
     by = by or []
     g = ["feature", *by]
-    cum = value_cumsums(df, cols, {"cnt": F.lit(1).cast("long")}, n_buckets, by)
+    cum, tots = value_cumsums(df, cols, {"cnt": F.lit(1).cast("long")}, n_buckets, by, with_totals=True)
     spark = df.sparkSession
     pr = spark.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "qi int, q double")
-    ns = cum.select(*g, F.col("cnt_tot").alias("n")).distinct()
+    ns = tots.select(*g, F.col("cnt_tot").alias("n"))
     pos = F.col("q") * (F.col("n") - 1).cast("double")
     tgt = (ns.crossJoin(F.broadcast(pr))
            .select(*g, "qi", "q", "n", pos.alias("pos"))

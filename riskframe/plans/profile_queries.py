@@ -34,7 +34,7 @@ register(Query(
 
 register(Query(
     "describe_lineitem",
-    lambda spark, sf: P.describe(spark.read.parquet(f"{sf}/lineitem.parquet"), LINEITEM_NUM),
+    lambda spark, sf: P.describe(X.read_parquet(spark, f"{sf}/lineitem.parquet"), LINEITEM_NUM),
     operators="EDA-1 EDA-2 EDA-22", floats=DESCRIBE_FLOATS, sql=_describe_sql("lineitem", LINEITEM_NUM)))
 
 
@@ -116,7 +116,7 @@ register(Query(
 
 register(Query(
     "category_counts_part",
-    lambda spark, sf: P.category_counts(spark.read.parquet(f"{sf}/part.parquet"), ["p_brand", "p_type", "p_name"]),
+    lambda spark, sf: P.category_counts(X.read_parquet(spark, f"{sf}/part.parquet"), ["p_brand", "p_type", "p_name"]),
     operators="EDA-5 EDA-22", sql=_cat_sql("part", ["p_brand", "p_type", "p_name"])))
 
 register(Query(
@@ -148,7 +148,7 @@ register(Query(
 _LI_CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 register(Query(
     "top_correlated_pairs",
-    lambda spark, sf: P.top_correlated_pairs(spark.read.parquet(f"{sf}/lineitem.parquet"), _LI_CORR),
+    lambda spark, sf: P.top_correlated_pairs(X.read_parquet(spark, f"{sf}/lineitem.parquet"), _LI_CORR),
     operators="EDA-9", floats=["corr", "abs_corr"],
     ctes="cl AS (" + _corr_sql("lineitem", _LI_CORR) + "), pos AS ("
          + " UNION ALL ".join(f"SELECT '{c}' AS f, {i} AS p" for i, c in enumerate(_LI_CORR)) + ")",
@@ -267,7 +267,7 @@ FROM applications GROUP BY LoanApproved"""))
 
 register(Query(
     "target_distribution_quality",
-    lambda spark, sf: P.target_distribution(spark.read.parquet(f"{sf}/labels.parquet"), "quality"),
+    lambda spark, sf: P.target_distribution(X.read_parquet(spark, f"{sf}/labels.parquet"), "quality"),
     operators="EDA-18", floats=["pct", "imbalance_ratio"],
     sql="""SELECT quality AS target, count(*) AS count, count(*) * 100.0 / sum(count(*)) OVER () AS pct,
  max(count(*)) OVER () / min(count(*)) OVER () AS imbalance_ratio,
@@ -292,7 +292,7 @@ register(Query(
 
 register(Query(
     "top_variance",
-    lambda spark, sf: P.top_variance(spark.read.parquet(f"{sf}/lineitem.parquet"),
+    lambda spark, sf: P.top_variance(X.read_parquet(spark, f"{sf}/lineitem.parquet"),
                                      ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber",
                                       "l_partkey", "l_suppkey"]),
     operators="EDA-20", floats=["variance"], digits={"variance": 2},

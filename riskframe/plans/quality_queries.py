@@ -131,7 +131,7 @@ WHERE app_id % 31 <> 0 AND app_id % 37 <> 0 AND Income IS NOT NULL AND LoanAmoun
 
 
 def _nzv(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    li = X.read_parquet(spark, f"{sf}/lineitem.parquet")
     return Q.near_zero_variance(li, ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice"])
 
 
