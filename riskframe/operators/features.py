@@ -297,17 +297,33 @@ class Preprocessor:
     modes: dict = field(default_factory=dict)
     scaler: dict = field(default_factory=dict)
     vocab: dict = field(default_factory=dict)
+    prefix: str = "f__"
 
     @property
     def feature_names(self) -> list[str]:
         return self.numeric + [f"{c}_{v}" for c in self.categorical for v in self.vocab[c][1:]]
 
+    @property
+    def feature_cols(self) -> list[str]:
+        return [self.prefix + n for n in self.feature_names]
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Impute -> standard scale -> one-hot (drop first) -> non-finite to 0."""
-        x = impute(df, {**self.medians, **self.modes})
-        x = scale(x, self.scaler)
-        x = one_hot(x, self.vocab)
-        return finite_or_zero(x, self.feature_names)
+        """Adds one column per feature (``f__<name>``), source columns kept:
+        impute -> standard scale -> one-hot (drop first) -> non-finite to 0.
+        One projection; no join, no shuffle."""
+        out = []
+        for c in self.numeric:
+            m, s = self.scaler[c]
+            med = self.medians.get(c)
+            x = F.coalesce(_d(c), F.lit(med).cast("double")) if med is not None else _d(c)
+            z = (x - F.lit(m)) / F.lit(s)
+            out.append(F.when(z.isNull() | F.isnan(z) | (F.abs(z) == F.lit(float("inf"))), F.lit(0.0))
+                       .otherwise(z).alias(self.prefix + c))
+        for c in self.categorical:
+            v0 = F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c)))
+            for v in self.vocab[c][1:]:
+                out.append(F.when(v0 == F.lit(v), 1.0).otherwise(0.0).alias(f"{self.prefix}{c}_{v}"))
+        return df.select("*", *out)
 
 
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:

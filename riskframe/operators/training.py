@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .features import Preprocessor, assemble, fit_preprocessor
 from .ordered import value_cumsums
 from .sampling import class_weights
@@ -65,7 +66,7 @@ class Fitted:
 
     def score(self, df: DataFrame, out: str = "probability_default") -> DataFrame:
         """SC-1: probability of default, predicted class at 0.5."""
-        x = assemble(self.prep.transform(df), self.prep.feature_names)
+        x = assemble(self.prep.transform(df), self.prep.feature_cols)
         p = self.model.transform(x)
         prob = vector_to_array(F.col("probability"))[1]
         keep = [c for c in df.columns]
@@ -82,7 +83,7 @@ def fit_model(train: DataFrame, kind: str, numeric: list[str], categorical: list
     if balanced and kind == "logistic_regression":
         x = class_weights(x, label, out="__w")
         wcol = "__w"
-    x = assemble(x, prep.feature_names)
+    x = assemble(x, prep.feature_cols)
     n = x.count()
     est = make_estimator(kind, n, params, wcol, label)
     return Fitted(kind, prep, est.fit(x))
@@ -121,17 +122,21 @@ def aggregate_cv(fold_scores: DataFrame, keys: list[str] | None = None) -> DataF
 
 def cross_validate(df: DataFrame, kind: str, numeric: list[str], categorical: list[str], fold_col: str = "fold",
                    label: str = "defaulted", k: int = 5, params: dict | None = None,
-                   parallelism: int = 2) -> tuple[DataFrame, DataFrame]:
+                   parallelism: int | None = None) -> tuple[DataFrame, DataFrame]:
     """ML-8: for each fold, fit preparation + model on the other folds, score
     the held-out fold (test) and the training folds (train). Returns
     (out-of-fold predictions, per-fold metrics with ``split`` train/test).
-    Folds are fitted from driver threads in parallel; each fit is a Spark job."""
+    Folds are fitted from driver threads in parallel (one thread per fold by
+    default); every fit is a set of distributed Spark jobs. The fold-tagged
+    input is checkpointed once so the k fits do not recompute its lineage."""
+    df = cut_lineage(df)
+
     def one(i):
         tr = df.where(F.col(fold_col) != i)
         te = df.where(F.col(fold_col) == i)
         m = fit_model(tr, kind, numeric, categorical, label, params=params)
         return m.score(te), m.score(tr).withColumn(fold_col, F.lit(i))
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+    with ThreadPoolExecutor(max_workers=max(1, parallelism or k)) as ex:
         res = list(ex.map(one, range(k)))
     oof = res[0][0]
     for r in res[1:]:

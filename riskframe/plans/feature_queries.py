@@ -284,7 +284,8 @@ register(Query(
 def _preprocess(spark, sf):
     tr = _train(spark, sf)
     p = FE.fit_preprocessor(tr, NUMERIC, CATEGORICAL)
-    return p.transform(_dirty_split(spark, sf)).select("app_id", *p.feature_names)
+    return p.transform(_dirty_split(spark, sf)).select(
+        "app_id", *[F.col(c).alias(n) for c, n in zip(p.feature_cols, p.feature_names)])
 
 
 register(Query("preprocess", _preprocess, operators="FE-16 FE-18"))
