@@ -187,9 +187,9 @@ def tradeoff_curve(df: DataFrame, score_col: str = "risk_score", default_col: st
     """DEC-8: 25 approve thresholds evenly from min(score) to p75; reject =
     max(p90, approve + 0.1 * (p75 - p10)). The five percentiles and the
     minimum are a handful of numbers, fetched to build the threshold list."""
-    q = quantile_row(df.select(score_col), score_col, TRADEOFF_PCTS, ["p10", "p25", "p50", "p75", "p90"])
-    mn = df.select(F.min(score_col).alias("mn"))
-    row = q.crossJoin(mn).first()
+    # the exact 0-quantile is the minimum: one query gives all six numbers
+    row = quantile_row(df.select(score_col), score_col, [0.0] + TRADEOFF_PCTS,
+                       ["mn", "p10", "p25", "p50", "p75", "p90"]).first()
     p10, p75, p90, lo = row["p10"], row["p75"], row["p90"], row["mn"]
     n = TRADEOFF_STEPS
     step = (p75 - lo) / (n - 1)
@@ -279,7 +279,9 @@ def fairness_audit(df: DataFrame, groups: list[str], decision_col: str = "decisi
                                        for g in groups])).alias("kv"), approve.alias("a"))
     agg = lf.groupBy("kv.attribute", "kv.group_value").agg(
         F.count(F.lit(1)).alias("applicants"), F.sum("a").alias("approved"))
-    rate = F.col("approved") / F.col("applicants")
-    w = Window.partitionBy("attribute")
-    return agg.withColumn("approval_rate", rate) \
-        .withColumn("ratio_to_max", safe_div(F.col("approval_rate"), F.max("approval_rate").over(w)))
+    rated = agg.withColumn("approval_rate", F.col("approved") / F.col("applicants"))
+    # best rate per attribute: one row per attribute (bounded), broadcast back;
+    # no per-attribute window, so a high-cardinality attribute is never one task
+    best = rated.groupBy("attribute").agg(F.max("approval_rate").alias("__best"))
+    return rated.join(F.broadcast(best), "attribute") \
+        .withColumn("ratio_to_max", safe_div(F.col("approval_rate"), F.col("__best"))).drop("__best")

@@ -173,16 +173,15 @@ def one_hot(df: DataFrame, vocab: dict[str, list[str]], drop_first: bool = True,
 
 
 def fit_top_categories(train: DataFrame, cols: list[str], k: int = 10) -> dict[str, list[str]]:
-    """FE-9 fit: the ``k`` most frequent values per column (ties by value)."""
+    """FE-9 fit: the ``k`` most frequent values per column (ties by value).
+    Per column a bounded top-k (each task keeps k rows, one k x tasks merge),
+    so a high-cardinality column never lands in one task."""
     cnt = long_form_str(train, cols).where(F.col("value").isNotNull()) \
         .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("value"))
-    # per-column window over that column's distinct values; columns meant for
-    # this have modest cardinality (it is an input to one-hot)
-    top = cnt.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).collect()
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in top:
-        out[r["feature"]].append(r["value"])
+    out: dict[str, list[str]] = {}
+    for c in cols:
+        top = cnt.where(F.col("feature") == c).orderBy(F.col("n").desc(), F.col("value")).limit(k).collect()
+        out[c] = [r["value"] for r in top]
     return out
 
 

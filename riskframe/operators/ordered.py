@@ -91,7 +91,11 @@ def value_cumsums(df: DataFrame, cols: list[str], weights: dict[str, Column],
     by = by or []
     bdf, bcols = bucketize(df, cols, n_buckets)
     carry = {**{b: F.col(b) for b in by}, **weights}
-    lf = long_form(bdf, cols, carry=carry, bucket_cols=bcols).where(F.col("value").isNotNull())
+    # the explicit bucket filter keeps both consumers of ``agg`` identical
+    # (the join below would otherwise infer it on one side only), so the
+    # distinct-value aggregation is computed once and its exchange reused
+    lf = long_form(bdf, cols, carry=carry, bucket_cols=bcols) \
+        .where(F.col("value").isNotNull() & F.col("bucket").isNotNull())
     wn = list(weights)
     g = ["feature", *by]
     agg = lf.groupBy(*g, "bucket", "value").agg(*[F.sum(w).alias(w) for w in wn])

@@ -236,8 +236,11 @@ def woe_table(df: DataFrame, numeric: list[str], categorical: list[str], target:
         .select("kv.feature", "kv.bin", "__y").where(F.col("bin").isNotNull() & F.col("__y").isNotNull())
     cnt = lf.groupBy("feature", "bin").agg(F.count_if(F.col("__y") == 1).alias("events"),
                                            F.count_if(F.col("__y") == 0).alias("non_events"))
-    w = Window.partitionBy("feature")
-    te, tn = F.sum("events").over(w), F.sum("non_events").over(w)
+    # per-feature totals: one row per feature (bounded), broadcast back -- a
+    # high-cardinality categorical never puts all its bins in one task
+    tot = cnt.groupBy("feature").agg(F.sum("events").alias("__te"), F.sum("non_events").alias("__tn"))
+    cnt = cnt.join(F.broadcast(tot), "feature")
+    te, tn = F.col("__te"), F.col("__tn")
     pe = F.when(F.col("events") == 0, F.lit(zero)).otherwise(F.col("events") / te)
     pn = F.when(F.col("non_events") == 0, F.lit(zero)).otherwise(F.col("non_events") / tn)
     t = cnt.select("feature", "bin", "events", "non_events", te.alias("__te"), tn.alias("__tn"),
@@ -310,9 +313,10 @@ def target_distribution(df: DataFrame, target: str, warn_ratio: float = 3.0) ->
     """EDA-18: count and percentage per target value; imbalance ratio
     max/min count and a warning flag above ``warn_ratio``."""
     c = df.groupBy(F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy()
-    return c.select("target", "count", (F.col("count") * 100.0 / F.sum("count").over(w)).alias("pct"),
-                    (F.max("count").over(w) / F.min("count").over(w)).alias("imbalance_ratio")) \
+    t = c.agg(F.sum("count").alias("__n"), F.max("count").alias("__mx"), F.min("count").alias("__mn"))
+    return c.crossJoin(F.broadcast(t)).select(  # one-row totals
+        "target", "count", (F.col("count") * 100.0 / F.col("__n")).alias("pct"),
+        (F.col("__mx") / F.col("__mn")).alias("imbalance_ratio")) \
         .withColumn("imbalanced", F.col("imbalance_ratio") > F.lit(warn_ratio))
 
 
