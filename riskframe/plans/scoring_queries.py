@@ -182,3 +182,19 @@ def _stream_mix(spark, sf):
 
 
 register(Query("stream_decision_mix", _stream_mix, operators="ST-2"))
+
+
+def _outcomes(scored):
+    """Outcomes become known 60 days after the application (fixed delay)."""
+    return scored.select("app_id", (F.col("app_ts") + F.expr("INTERVAL 60 DAYS")).alias("outcome_ts"), "defaulted")
+
+
+def _stream_drift(spark, sf):
+    sc = M.event_time(X.scored(spark, sf))
+    dec = sc.select("app_id", "app_ts", "risk_score")
+    out = M.replay_join(spark, dec, _outcomes(sc),
+                        lambda d, o: M.drift_stream(d, o, window="30 days"), "drift", base=_root(spark, "drift"))
+    return _fmt(out, ["window_start"])
+
+
+register(Query("stream_drift", _stream_drift, operators="ST-4"))

@@ -134,3 +134,37 @@ def replay(spark: SparkSession, df: DataFrame, build, name: str, ts: str = "app_
              .outputMode(mode).trigger(availableNow=True).start())
         q.awaitTermination()
     return spark.read.parquet(out)
+
+
+def replay_join(spark: SparkSession, left: DataFrame, right: DataFrame, build, name: str,
+                left_ts: str = "app_ts", right_ts: str = "outcome_ts", batches: int = 8,
+                base: str | None = None) -> DataFrame:
+    """``replay`` for two inputs (stream-stream joins): both sides arrive in
+    event-time order, cut at the same fixed points of the left side's time."""
+    root = os.path.join(base or os.path.join(ensure_checkpoint_dir(spark), "streams"), name)
+    lsrc, rsrc, out, ck = (os.path.join(root, d) for d in ("left", "right", "out", "checkpoint"))
+    secs = F.col(left_ts).cast("long")
+    cuts = left.agg(F.percentile_approx(secs, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
+    cuts = sorted(set(cuts or []))
+
+    def bucket(col):
+        s = F.col(col).cast("long")
+        return sum(F.when(s > F.lit(c), 1).otherwise(0) for c in cuts) if cuts else F.lit(0)
+    for i in range(len(cuts) + 1):
+        left.where(bucket(left_ts) == i).write.mode("append").parquet(lsrc)
+        right.where(bucket(right_ts) == i).write.mode("append").parquet(rsrc)
+        ls = spark.readStream.schema(left.schema).parquet(lsrc)
+        rs = spark.readStream.schema(right.schema).parquet(rsrc)
+        q = (build(ls, rs).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    # outcomes after the last cut arrive in a final batch
+    rest = right.where(bucket(right_ts) > len(cuts))
+    if rest.limit(1).count():
+        rest.write.mode("append").parquet(rsrc)
+        ls = spark.readStream.schema(left.schema).parquet(lsrc)
+        rs = spark.readStream.schema(right.schema).parquet(rsrc)
+        q = (build(ls, rs).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(out)

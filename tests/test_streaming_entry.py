@@ -34,3 +34,17 @@ def test_entry_and_registry(spark):
     assert set(o) <= set(q) and len(q) >= 100
     for name in q:
         assert not name.startswith("op") and "pipeline" not in name
+
+
+def test_stream_drift_join_matches_batch_for_closed_windows(spark, sf):
+    base = tempfile.mkdtemp(prefix="riskframe-drift-")
+    sc = M.event_time(X.scored(spark, sf))
+    dec = sc.select("app_id", "app_ts", "risk_score")
+    outc = sc.select("app_id", (F.col("app_ts") + F.expr("INTERVAL 60 DAYS")).alias("outcome_ts"), "defaulted")
+    out = M.replay_join(spark, dec, outc, lambda d, o: M.drift_stream(d, o, window="30 days"), "drift", base=base)
+    got = {r["window_start"]: (r["n"], r["actual_default_rate"]) for r in out.collect()}
+    batch = {r["ws"]: (r["n"], r["adr"]) for r in sc.groupBy(F.window("app_ts", "30 days").start.alias("ws")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("defaulted").cast("double")).alias("adr")).collect()}
+    assert got
+    for k, (n, adr) in got.items():
+        assert batch[k][0] == n and abs(batch[k][1] - adr) < 1e-12
