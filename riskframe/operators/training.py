@@ -45,12 +45,13 @@ def make_estimator(kind: str, n_train: int, params: dict | None = None, weight_c
                                  regParam=1.0 / (p["C"] * max(n_train, 1)), elasticNetParam=0.0,
                                  standardization=False, tol=1e-9, family="binomial")
     elif kind in ("gbt", "gbt_deep"):
+        kw = {}
+        if p.get("validation_col"):  # ML-14: early stopping on a validation subset
+            kw = {"validationIndicatorCol": p["validation_col"], "validationTol": float(p.get("validation_tol", 0.01))}
         est = GBTClassifier(featuresCol=features, labelCol=label, maxDepth=int(p["max_depth"]),
                             stepSize=float(p["learning_rate"]), maxIter=int(p["n_estimators"]),
                             subsamplingRate=float(p["subsample"]),
-                            featureSubsetStrategy=str(p["colsample"]), seed=SEED)
-        if p.get("validation_col"):
-            est = est.setValidationIndicatorCol(p["validation_col"]).setValidationTol(p.get("validation_tol", 0.01))
+                            featureSubsetStrategy=str(p["colsample"]), seed=SEED, **kw)
     else:
         raise ValueError(f"unknown model {kind!r}")
     if weight_col:

@@ -128,7 +128,7 @@ register(Query("correlation_filter", _corr_drop, operators="FE-17"))
 def _early(spark, sf):
     sp = _split(spark, sf).withColumn("is_val", F.col("split") == "test")
     m = T.fit_model(sp, "gbt", NUMERIC, CATEGORICAL, params={"validation_col": "is_val", "validation_tol": 0.01})
-    return spark.createDataFrame([(int(m.model.getNumTrees), float(m.model.getValidationTol()))],
+    return spark.createDataFrame([(int(m.model.getNumTrees), float(m.model.getOrDefault("validationTol")))],
                                  "trees int, validation_tol double")
 
 

@@ -99,7 +99,9 @@ FROM (SELECT *, CASE WHEN risk_score < 25e-2 THEN 'Low Risk' WHEN risk_score < 5
 
 # ------------------------------------------------------------------ ST (batch forms)
 def _decided(spark, sf):
-    return M.score_stream(M.event_time(X.scored(spark, sf)))
+    # batch forms stay on TIMESTAMP_NTZ: windows and formatting then do not
+    # depend on the session time zone (streams cast for the watermark)
+    return M.score_stream(X.scored(spark, sf))
 
 
 _TS = "yyyy-MM-dd HH:mm:ss"

@@ -21,7 +21,7 @@ _PLANS: dict = {}
 def _memo(spark: SparkSession, key: tuple, build):
     """Reuse a DataFrame *plan* per session (no data is cached): building a
     plan costs JVM round-trips, executing it re-reads the files every time."""
-    k = (id(spark), *key)
+    k = (spark.sparkContext.applicationId, *key)
     if k not in _PLANS:
         _PLANS[k] = build()
     return _PLANS[k]
