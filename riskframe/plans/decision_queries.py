@@ -151,10 +151,7 @@ register(Query(
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb FROM sweep) t
 WHERE bb IS NULL OR default_rate_in_approved < bb"""))
 
-register(Query(
-    "tradeoff_curve", lambda spark, sf: D.tradeoff_curve(scored(spark, sf)), operators="DEC-8",
-    floats=SWEEP_FLOATS, digits=MONEY,
-    ctes="""pc AS (SELECT quantile_cont(risk_score, 1e-1) AS p10, quantile_cont(risk_score, 75e-2) AS p75,
+_TRADEOFF_CTES = """pc AS (SELECT quantile_cont(risk_score, 1e-1) AS p10, quantile_cont(risk_score, 75e-2) AS p75,
   quantile_cont(risk_score, 9e-1) AS p90, min(risk_score) AS mn FROM scored),
 steps AS (SELECT CAST(k AS INTEGER) AS pair_id,
   CASE WHEN k = 24 THEN p75 ELSE mn + k * ((p75 - mn) / 24) END AS approve_threshold, p10, p75, p90
@@ -164,7 +161,12 @@ pairs AS (SELECT pair_id, approve_threshold,
 swept AS (SELECT p.pair_id, p.approve_threshold, p.reject_threshold, s.defaulted, s.risk_score, s.LoanAmount,
   CASE WHEN s.risk_score < p.approve_threshold THEN 'APPROVE'
        WHEN s.risk_score > p.reject_threshold THEN 'REJECT' ELSE 'REVIEW' END AS decision
-  FROM pairs p CROSS JOIN scored s)""",
+  FROM pairs p CROSS JOIN scored s)"""
+
+register(Query(
+    "tradeoff_curve", lambda spark, sf: D.tradeoff_curve(scored(spark, sf)), operators="DEC-8",
+    floats=SWEEP_FLOATS, digits=MONEY,
+    ctes=_TRADEOFF_CTES,
     sql=_impact_sql("swept", "pair_id, approve_threshold, reject_threshold")))
 
 

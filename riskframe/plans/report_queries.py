@@ -12,7 +12,7 @@ from ..sources.fixtures import CATEGORICAL, NUMERIC, TARGET
 from ..sources.io import read_table, write_table
 from . import reports as R
 from .catalog import Query, register
-from .decision_queries import IMPACT_FLOATS, MONEY, _DECISION_SQL, _impact_sql
+from .decision_queries import _TRADEOFF_CTES, IMPACT_FLOATS, MONEY, _DECISION_SQL, _impact_sql
 
 LOAN_COLS = NUMERIC + CATEGORICAL + [TARGET]
 
@@ -26,8 +26,42 @@ register(Query(
                                        .drop("l_shipdate"), target="l_returnflag"),
     operators="EDA-22"))
 
+def _decision_report(spark, sf):
+    # money sums (~1e9) and rates share one column: money is compared at 2
+    # decimals (summation order moves its last bits), everything else at 6
+    r = R.decision_report(X.scored(spark, sf))
+    v = F.col("value")
+    return r.withColumn("value", F.when(F.abs(v) >= F.lit(1e6), F.round(v, 2)).otherwise(F.round(v, 6)))
+
+
+def _long_sql(src: str, section: str, feature: str | None, metrics: list[str]) -> str:
+    f = f"CAST({feature} AS VARCHAR)" if feature else "CAST(NULL AS VARCHAR)"
+    return "\nUNION ALL ".join(f"SELECT '{section}' AS section, {f} AS feature, '{m}' AS metric, "
+                               f"CAST({m} AS DOUBLE) AS value FROM {src}" for m in metrics)
+
+
+_SEG = ("CASE WHEN risk_score < 2e-1 THEN 'Very Low Risk' WHEN risk_score < 4e-1 THEN 'Low Risk' "
+        "WHEN risk_score < 6e-1 THEN 'Medium Risk' WHEN risk_score < 8e-1 THEN 'High Risk' ELSE 'Very High Risk' END")
+_REPORT_CTES = (f"decided AS (SELECT *, {_DECISION_SQL} AS decision FROM scored),\n"
+                f"imp AS ({_impact_sql('decided')}),\n" + _TRADEOFF_CTES + ",\n"
+                f"trade AS ({_impact_sql('swept', 'pair_id, approve_threshold, reject_threshold')}),\n"
+                f"seg AS (SELECT {_SEG} AS risk_segment, count(*) AS count, avg(risk_score) AS mean_score, "
+                "min(risk_score) AS min_score, max(risk_score) AS max_score, "
+                "avg(CAST(defaulted AS DOUBLE)) AS actual_default_rate FROM scored GROUP BY 1),\n"
+                "th AS (SELECT 0.3 AS approve, 0.7 AS reject)")
+_REPORT_SQL = ("SELECT section, feature, metric, CASE WHEN abs(value) >= 1e6 THEN round(value, 2) "
+               "ELSE round(value, 6) END + 0.0 AS value FROM (\n"
+               + "\nUNION ALL ".join([
+                   _long_sql("th", "thresholds", None, ["approve", "reject"]),
+                   _long_sql("imp", "business_impact", None, D.IMPACT_COLS),
+                   _long_sql("trade", "tradeoff", "pair_id", ["approve_threshold", "reject_threshold", "approval_rate",
+                                                              "default_rate_in_approved", "false_negative_rate",
+                                                              "approved_count"]),
+                   _long_sql("seg", "segments", "risk_segment", ["count", "mean_score", "min_score", "max_score",
+                                                                 "actual_default_rate"])]) + "\n) u")
+
 register(Query(
-    "decision_report", lambda spark, sf: R.decision_report(X.scored(spark, sf)), operators="DEC-12"))
+    "decision_report", _decision_report, operators="DEC-12", ctes=_REPORT_CTES, sql=_REPORT_SQL))
 
 register(Query(
     "csv_round_trip", lambda spark, sf: R.csv_round_trip(spark, X.applications(spark, sf).select(*LOAN_COLS)),

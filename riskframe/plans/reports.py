@@ -87,12 +87,13 @@ def decision_report(scored: DataFrame, approve: float = 0.30, reject: float = 0.
     imp = D.business_impact(dec, default_col=default_col, score_col=score_col, amount_col=amount_col)
     th = scored.sparkSession.createDataFrame([(approve, reject)], "approve double, reject double")
     curve = D.tradeoff_curve(scored, score_col, default_col, amount_col) \
-        .withColumn("key", F.format_string("%.6f", "approve_threshold"))
+        .withColumn("key", F.col("pair_id").cast("string"))
     seg = D.segment_stats(scored, score_col, default_col)
     return (_long(th, "thresholds", None, ["approve", "reject"])
             .unionByName(_long(imp, "business_impact", None, D.IMPACT_COLS))
-            .unionByName(_long(curve, "tradeoff", "key", ["approval_rate", "default_rate_in_approved",
-                                                          "false_negative_rate", "approved_count"]))
+            .unionByName(_long(curve, "tradeoff", "key", ["approve_threshold", "reject_threshold", "approval_rate",
+                                                          "default_rate_in_approved", "false_negative_rate",
+                                                          "approved_count"]))
             .unionByName(_long(seg, "segments", "risk_segment", ["count", "mean_score", "min_score", "max_score",
                                                                  "actual_default_rate"])))
 

@@ -183,7 +183,13 @@ def _stream_mix(spark, sf):
     return _fmt(mix, ["window_start", "window_end"])
 
 
-register(Query("stream_decision_mix", _stream_mix, operators="ST-2"))
+register(Query(
+    "stream_decision_mix", _stream_mix, operators="ST-2", ctes=_DECIDED_CTE,
+    # append mode emits a window once the watermark (max event time - 14 days)
+    # has passed its end; the final no-data batch applies the last watermark
+    sql="""SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+ decision, count(*) AS n FROM (SELECT time_bucket(INTERVAL 7 DAY, app_ts, TIMESTAMP '1970-01-01 00:00:00') AS ws, decision
+ FROM decided) t WHERE ws + INTERVAL 7 DAY <= (SELECT max(app_ts) FROM decided) - INTERVAL 14 DAY GROUP BY ALL"""))
 
 
 def _outcomes(scored):
