@@ -43,9 +43,17 @@ def fit_modes(train: DataFrame, cols: list[str], fallback: str = "Unknown") -> d
 
 
 def impute(df: DataFrame, values: dict[str, object]) -> DataFrame:
-    """Apply fitted fill values (FE-1/FE-2/FE-3 transform)."""
-    return df.select(*[F.coalesce(F.col(c), F.lit(values[c]).cast(dict(df.dtypes)[c])).alias(c)
-                       if c in values and values[c] is not None else F.col(c) for c in df.columns])
+    """Apply fitted fill values (FE-1/FE-2/FE-3 transform). A float fill value
+    (a median or mean) makes the column double, as ``fillna`` does; other
+    values keep the column type."""
+    types = dict(df.dtypes)
+
+    def fill(c):
+        v = values[c]
+        if isinstance(v, float):
+            return F.coalesce(_d(c), F.lit(v)).alias(c)
+        return F.coalesce(F.col(c), F.lit(v).cast(types[c])).alias(c)
+    return df.select(*[fill(c) if c in values and values[c] is not None else F.col(c) for c in df.columns])
 
 
 def fit_means(train: DataFrame, cols: list[str]) -> dict[str, float | None]:

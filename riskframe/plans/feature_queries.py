@@ -87,8 +87,9 @@ def _median_impute(spark, sf):
 
 
 register(Query(
-    "median_impute", _median_impute, operators="FE-1", floats=["Income"], ctes=SPLIT_CTES,
-    sql="""SELECT app_id, coalesce(Income, (SELECT quantile_cont(Income, 0.5) FROM train)) AS Income, CreditScore
+    "median_impute", _median_impute, operators="FE-1", floats=["Income", "CreditScore"], ctes=SPLIT_CTES,
+    sql="""SELECT app_id, coalesce(Income, (SELECT quantile_cont(Income, 0.5) FROM train)) AS Income,
+ coalesce(CAST(CreditScore AS DOUBLE), (SELECT quantile_cont(CAST(CreditScore AS DOUBLE), 0.5) FROM train)) AS CreditScore
 FROM split"""))
 
 
@@ -288,4 +289,28 @@ def _preprocess(spark, sf):
         "app_id", *[F.col(c).alias(n) for c, n in zip(p.feature_cols, p.feature_names)])
 
 
-register(Query("preprocess", _preprocess, operators="FE-16 FE-18"))
+def _preprocess_sql() -> tuple[str, str]:
+    med = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS md_{c}" for c in NUMERIC)
+    modes = ",\n".join(f"mo_{c} AS (SELECT {c} AS v FROM train WHERE {c} IS NOT NULL GROUP BY {c} "
+                       f"ORDER BY count(*) DESC, {c} LIMIT 1)" for c in CATEGORICAL)
+
+    def filled(src):
+        return ("SELECT app_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), md_{c}) AS {c}" for c in NUMERIC) + ", "
+                + ", ".join(f"coalesce({c}, (SELECT v FROM mo_{c})) AS {c}" for c in CATEGORICAL) + f" FROM {src}, med")
+    sc = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in NUMERIC)
+    voc = " UNION ".join(f"SELECT '{c}' AS f, {c} AS v FROM ftrain" for c in CATEGORICAL)
+    hit = " OR ".join(f"(k.f = '{c}' AND a.{c} = k.v)" for c in CATEGORICAL)
+    ctes = (SPLIT_CTES + f",\nmed AS (SELECT {med} FROM train),\n{modes},\n"
+            f"ftrain AS ({filled('train')}),\nfall AS ({filled('split')}),\nsc AS (SELECT {sc} FROM ftrain),\n"
+            f"voc AS ({voc}),\nkept AS (SELECT f, v FROM (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS r "
+            f"FROM voc) t WHERE r > 1),\n"
+            f"oh AS (SELECT a.app_id, k.f || '_' || k.v AS name, CASE WHEN {hit} THEN 1.0 ELSE 0.0 END AS x "
+            "FROM fall a CROSS JOIN kept k),\n"
+            "zs AS (SELECT app_id, " + ", ".join(
+                f"coalesce(({c} - a_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END, 0.0) AS {c}"
+                for c in NUMERIC) + " FROM fall, sc),\nohz AS (SELECT * FROM oh JOIN zs USING (app_id))")
+    return ctes, "PIVOT ohz ON name USING first(x) GROUP BY app_id, " + ", ".join(NUMERIC)
+
+
+_PP_CTES, _PP_SQL = _preprocess_sql()
+register(Query("preprocess", _preprocess, operators="FE-16 FE-18", ctes=_PP_CTES, sql=_PP_SQL, floats=NUMERIC))

@@ -114,3 +114,31 @@ def test_quality_reports(spark):
 def test_zscore_constant_column_keeps_rows(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "a double, k double")
     assert FE.zscore_filter(df, ["a", "k"]).count() == 3
+
+
+def test_model_save_load_round_trip(spark, sf):
+    import tempfile
+
+    from riskframe.operators import training as T
+    from riskframe.plans import reports as R
+    from riskframe.sources import fixtures as X
+    from riskframe.sources.fixtures import CATEGORICAL, NUMERIC
+    s = X.scored(spark, sf)
+    m = T.fit_model(s, "logistic_regression", NUMERIC, CATEGORICAL)
+    path = tempfile.mkdtemp(prefix="riskframe-model-")
+    R.save_fitted(m, path)
+    back = R.load_fitted(spark, path)
+    a = m.score(s).select("app_id", F.col("probability_default").alias("p1"))
+    b = back.score(s).select("app_id", F.col("probability_default").alias("p2"))
+    diff = a.join(b, "app_id").agg(F.max(F.abs(F.col("p1") - F.col("p2")))).first()[0]
+    assert diff == 0.0
+    auc = __import__("riskframe.operators.evaluation", fromlist=["x"]).ranking_metrics(
+        m.score(s), "defaulted", "probability_default").first()["roc_auc"]
+    assert auc > 0.8
+
+
+def test_impute_float_median_promotes_int_column(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    med = FE.fit_medians(df, ["x"])
+    out = FE.impute(df, med)
+    assert dict(out.dtypes)["x"] == "double" and sorted(r["x"] for r in out.collect()) == [1.0, 1.5, 2.0]
