@@ -91,3 +91,15 @@ def band_expr(score, preset: str | None = "segments", edges=None, labels=None,
         return (F.when(s < F.lit(float(edges[0])), labels[0])
                 .when(s > F.lit(float(edges[1])), labels[2]).otherwise(labels[1]))
     raise ValueError(f"unknown closed side {closed!r}")
+
+
+def literal_table(spark, rows: list[tuple], schema: str):
+    """A small fixed table built from literals inside the JVM (``inline`` of
+    an array of structs) -- no Python worker, no pickled RDD. ``schema`` is a
+    DDL string such as ``"qi int, q double"``."""
+    from pyspark.sql import types as T
+    st = T._parse_datatype_string(schema)
+    if not rows:
+        return spark.createDataFrame([], st)
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

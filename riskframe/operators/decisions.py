@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (APPROVE, REJECT, REVIEW, band_expr, decision_code_expr,
-                                 decision_expr, safe_div)
+                                 decision_expr, literal_table, safe_div)
 from .ordered import quantile_row
 
 # Threshold grid of the sweep (fixed values): 0.1 + 0.05 * i for i = 0..15,
@@ -137,8 +137,8 @@ def threshold_sweep(df: DataFrame, score_col: str = "risk_score", default_col: s
             if i < j:
                 rows.append((pid, i, j, a, r))
                 pid += 1
-    pairs = df.sparkSession.createDataFrame(
-        rows, "pair_id int, ai int, ri int, approve_threshold double, reject_threshold double")
+    pairs = literal_table(df.sparkSession, rows,
+                          "pair_id int, ai int, ri int, approve_threshold double, reject_threshold double")
     return sweep_pairs(df, pairs, th, score_col, default_col, amount_col, review_counts_as_approved)
 
 
@@ -199,8 +199,8 @@ def tradeoff_curve(df: DataFrame, score_col: str = "risk_score", default_col: st
     th = sorted(set(approves) | set(rejects))
     idx = {t: i for i, t in enumerate(th)}
     rows = [(k, idx[a], idx[r], float(a), float(r)) for k, (a, r) in enumerate(zip(approves, rejects))]
-    pairs = df.sparkSession.createDataFrame(
-        rows, "pair_id int, ai int, ri int, approve_threshold double, reject_threshold double")
+    pairs = literal_table(df.sparkSession, rows,
+                          "pair_id int, ai int, ri int, approve_threshold double, reject_threshold double")
     return sweep_pairs(df, pairs, th, score_col, default_col, amount_col)
 
 
@@ -240,7 +240,7 @@ PRICING = [("Low Risk", 4.5, "auto_approve"), ("Moderate Risk", 5.5, "manual_rev
 def price(df: DataFrame, score_col: str = "risk_score") -> DataFrame:
     """DEC-10: interest rate and segment action from the quartile band. The
     price table is 4 rows (fixed), broadcast."""
-    t = df.sparkSession.createDataFrame(PRICING, "risk_band string, interest_rate double, segment_action string")
+    t = literal_table(df.sparkSession, PRICING, "risk_band string, interest_rate double, segment_action string")
     return df.withColumn("risk_band", band_expr(score_col, "policy")) \
         .join(F.broadcast(t), "risk_band", "left")
 

@@ -15,6 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import literal_table
 from .ordered import value_cumsums
 from .profile import decile_bins, decile_edges
 
@@ -144,7 +145,7 @@ def threshold_metrics(df: DataFrame, thresholds: list[float] = (0.3, 0.5, 0.7),
     s = F.col(score)
     le = sum(F.when(s >= F.lit(t), 1).otherwise(0) for t in th)
     cells = df.groupBy(le.alias("le"), _y(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    tt = df.sparkSession.createDataFrame([(i, t) for i, t in enumerate(th)], "ti int, threshold double")
+    tt = literal_table(df.sparkSession, [(i, t) for i, t in enumerate(th)], "ti int, threshold double")
     cp = cells.crossJoin(F.broadcast(tt))
     pred, pos = F.col("le") > F.col("ti"), F.col("y") == 1
     agg = cp.groupBy("threshold").agg(

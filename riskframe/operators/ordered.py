@@ -24,6 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import literal_table
+
 DEFAULT_BUCKETS = 64
 
 
@@ -137,7 +139,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     g = ["feature", *by]
     cum, tots = value_cumsums(df, cols, {"cnt": F.lit(1).cast("long")}, n_buckets, by, with_totals=True)
     spark = df.sparkSession
-    pr = spark.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "qi int, q double")
+    pr = literal_table(spark, [(i, float(q)) for i, q in enumerate(probs)], "qi int, q double")
     ns = tots.select(*g, F.col("cnt_tot").alias("n"))
     pos = F.col("q") * (F.col("n") - 1).cast("double")
     tgt = (ns.crossJoin(F.broadcast(pr))

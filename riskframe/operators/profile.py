@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import literal_table
 from .ordered import exact_quantiles, long_form, quantile_table, value_cumsums
 
 
@@ -188,7 +189,7 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
             except np.linalg.LinAlgError:
                 pass
     spark = df.sparkSession
-    return spark.createDataFrame([(c, v) for c, v in zip(cols, vals)], "feature string, vif double")
+    return literal_table(spark, [(c, v) for c, v in zip(cols, vals)], "feature string, vif double")
 
 
 # ------------------------------------------------------------------ EDA-11/12/13
@@ -273,7 +274,7 @@ def univariate_auc(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     auc = F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(0.5)).otherwise(
         F.col("__s") / (F.col("P").cast("double") * F.col("N").cast("double")))
     got = a.select("feature", auc.alias("roc_auc"))
-    allf = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    allf = literal_table(df.sparkSession, [(c,) for c in cols], "feature string")
     return allf.join(got, "feature", "left").select("feature", F.coalesce("roc_auc", F.lit(0.5)).alias("roc_auc"))
 
 

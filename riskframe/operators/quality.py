@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import literal_table
+
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
 
@@ -46,7 +48,7 @@ def validate(df: DataFrame, required: list[str], numeric: list[str], target: str
         y = F.col(target)
         aggs.append(F.count_if(y.isNull() | ~y.cast("double").isin(0.0, 1.0)).alias(f"target_domain|{target}"))
     schema = "check string, column string, violations long"
-    static = spark.createDataFrame(rows, schema)
+    static = literal_table(spark, rows, schema)
     if not aggs:
         return static
     one = df.agg(*aggs)

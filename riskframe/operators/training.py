@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import literal_table
 from ..session import cut_lineage
 from .features import Preprocessor, assemble, fit_preprocessor
 from .ordered import value_cumsums
@@ -175,7 +176,7 @@ def feature_importance(fitted: Fitted) -> DataFrame:
         signed = vals
     spark = SparkSession.getActiveSession()
     rows = [(n, v, s) for n, v, s in zip(names, vals, signed)]
-    return spark.createDataFrame(rows, "feature string, importance double, value double") \
+    return literal_table(spark, rows, "feature string, importance double, value double") \
         .orderBy(F.col("importance").desc(), "feature")
 
 
@@ -198,7 +199,7 @@ def random_search(df: DataFrame, kind: str, numeric: list[str], categorical: lis
         auc = fm.where((F.col("split") == "test") & (F.col("metric") == "roc_auc")).agg(F.avg("value")).first()[0]
         rows.append((t, str(p), float(auc) if auc is not None else None))
     spark = df.sparkSession
-    return spark.createDataFrame(rows, "trial int, params string, mean_roc_auc double")
+    return literal_table(spark, rows, "trial int, params string, mean_roc_auc double")
 
 
 def top_features(importance: DataFrame, n: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import literal_table
 from ..operators import evaluation as V
 from ..operators import features as FE
 from ..operators import profile as P
@@ -119,7 +120,7 @@ def _corr_drop(spark, sf):
     a = X.applications(spark, sf)
     cols = NUMERIC + ["risk_score"]
     kept = FE.drop_correlated(P.correlation_long(a, cols), cols, 0.95)
-    return spark.createDataFrame([(c, c in kept) for c in cols], "feature string, kept boolean")
+    return literal_table(spark, [(c, c in kept) for c in cols], "feature string, kept boolean")
 
 
 register(Query("correlation_filter", _corr_drop, operators="FE-17"))
@@ -128,7 +129,7 @@ register(Query("correlation_filter", _corr_drop, operators="FE-17"))
 def _early(spark, sf):
     sp = _split(spark, sf).withColumn("is_val", F.col("split") == "test")
     m = T.fit_model(sp, "gbt", NUMERIC, CATEGORICAL, params={"validation_col": "is_val", "validation_tol": 0.01})
-    return spark.createDataFrame([(int(m.model.getNumTrees), float(m.model.getOrDefault("validationTol")))],
+    return literal_table(spark, [(int(m.model.getNumTrees), float(m.model.getOrDefault("validationTol")))],
                                  "trees int, validation_tol double")
 
 

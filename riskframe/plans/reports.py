@@ -13,6 +13,7 @@ from pyspark.ml.classification import GBTClassificationModel, LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import literal_table
 from ..operators import decisions as D
 from ..operators import profile as P
 from ..operators import quality as Q
@@ -85,7 +86,7 @@ def decision_report(scored: DataFrame, approve: float = 0.30, reject: float = 0.
     """DEC-12: thresholds, business impact, tradeoff curve and risk segments."""
     dec = D.apply_policy(scored, score_col, approve, reject)
     imp = D.business_impact(dec, default_col=default_col, score_col=score_col, amount_col=amount_col)
-    th = scored.sparkSession.createDataFrame([(approve, reject)], "approve double, reject double")
+    th = literal_table(scored.sparkSession, [(approve, reject)], "approve double, reject double")
     curve = D.tradeoff_curve(scored, score_col, default_col, amount_col) \
         .withColumn("key", F.col("pair_id").cast("string"))
     seg = D.segment_stats(scored, score_col, default_col)
@@ -121,7 +122,7 @@ def save_fitted(fitted: Fitted, path: str) -> None:
     state = json.dumps({"kind": fitted.kind, "numeric": p.numeric, "categorical": p.categorical,
                         "medians": p.medians, "modes": p.modes, "scaler": p.scaler, "vocab": p.vocab})
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(state,)], "state string").coalesce(1).write.mode("overwrite").json(os.path.join(path, "prep"))
+    literal_table(spark, [(state,)], "state string").write.mode("overwrite").json(os.path.join(path, "prep"))
 
 
 def load_fitted(spark: SparkSession, path: str) -> Fitted:
