@@ -93,13 +93,34 @@ def band_expr(score, preset: str | None = "segments", edges=None, labels=None,
     raise ValueError(f"unknown closed side {closed!r}")
 
 
+def _sql_literal(v, dtype) -> str:
+    from pyspark.sql import types as T
+    if v is None:
+        return "NULL"
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        f = float(v)
+        if f != f:
+            return "CAST('NaN' AS DOUBLE)"
+        if f in (float("inf"), float("-inf")):
+            return "CAST('%sInfinity' AS DOUBLE)" % ("-" if f < 0 else "")
+        return repr(f) + "D"
+    if isinstance(dtype, T.BooleanType):
+        return "true" if v else "false"
+    if isinstance(dtype, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        return str(int(v))
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_table(spark, rows: list[tuple], schema: str):
-    """A small fixed table built from literals inside the JVM (``inline`` of
-    an array of structs) -- no Python worker, no pickled RDD. ``schema`` is a
-    DDL string such as ``"qi int, q double"``."""
+    """A small fixed table as an SQL ``VALUES`` list (a local relation in the
+    plan: no Python worker, no pickled RDD, nothing to compile). ``schema`` is
+    a DDL string such as ``"qi int, q double"``."""
     from pyspark.sql import types as T
     st = T._parse_datatype_string(schema)
+    cols = [f"CAST(c{i} AS {f.dataType.simpleString()}) AS `{f.name}`" for i, f in enumerate(st.fields)]
+    names = ", ".join(f"c{i}" for i in range(len(st.fields)))
     if not rows:
-        return spark.createDataFrame([], st)
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+        nulls = ", ".join("NULL" for _ in st.fields)
+        return spark.sql(f"SELECT {', '.join(cols)} FROM VALUES ({nulls}) AS t({names}) WHERE false")
+    vals = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(r, st.fields)) + ")" for r in rows)
+    return spark.sql(f"SELECT {', '.join(cols)} FROM VALUES {vals} AS t({names})")
