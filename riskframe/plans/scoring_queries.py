@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import scoring as SC
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, utc_session
 from ..sources import fixtures as X
 from ..streaming import monitoring as M
 from .catalog import Query, register
@@ -158,8 +158,10 @@ def _root(spark, name):
 
 
 def _stream_scoring(spark, sf):
-    return M.replay(spark, M.event_time(X.scored(spark, sf)),
-                    lambda s: M.score_stream(s).select("app_id", "decision"), "scoring", base=_root(spark, "scoring"))
+    with utc_session(spark):
+        return M.replay(spark, M.event_time(X.scored(spark, sf)),
+                        lambda s: M.score_stream(s).select("app_id", "decision"), "scoring",
+                        base=_root(spark, "scoring"))
 
 
 register(Query(
@@ -168,8 +170,10 @@ register(Query(
 
 
 def _stream_audit(spark, sf):
-    return M.replay(spark, M.event_time(X.applications_dup(spark, sf)),
-                    lambda s: M.audit_log(s, watermark="1 day").select("app_id"), "audit", base=_root(spark, "audit"))
+    with utc_session(spark):
+        return M.replay(spark, M.event_time(X.applications_dup(spark, sf)),
+                        lambda s: M.audit_log(s, watermark="1 day").select("app_id"), "audit",
+                        base=_root(spark, "audit"))
 
 
 register(Query(
@@ -178,9 +182,13 @@ register(Query(
 
 
 def _stream_mix(spark, sf):
-    mix = M.replay(spark, M.event_time(X.scored(spark, sf)),
-                   lambda s: M.decision_mix(M.score_stream(s), watermark="14 days"), "mix", base=_root(spark, "mix"))
-    return _fmt(mix, ["window_start", "window_end"])
+    # window strings are formatted inside the stream while the session zone is
+    # UTC, so the sink holds zone-free text whatever the caller's zone is
+    with utc_session(spark):
+        return M.replay(spark, M.event_time(X.scored(spark, sf)),
+                        lambda s: _fmt(M.decision_mix(M.score_stream(s), watermark="14 days"),
+                                       ["window_start", "window_end"]),
+                        "mix", base=_root(spark, "mix"))
 
 
 register(Query(
@@ -198,11 +206,12 @@ def _outcomes(scored):
 
 
 def _stream_drift(spark, sf):
-    sc = M.event_time(X.scored(spark, sf))
-    dec = sc.select("app_id", "app_ts", "risk_score")
-    out = M.replay_join(spark, dec, _outcomes(sc),
-                        lambda d, o: M.drift_stream(d, o, window="30 days"), "drift", base=_root(spark, "drift"))
-    return _fmt(out, ["window_start"])
+    with utc_session(spark):
+        sc = M.event_time(X.scored(spark, sf))
+        dec = sc.select("app_id", "app_ts", "risk_score")
+        return M.replay_join(spark, dec, _outcomes(sc),
+                             lambda d, o: _fmt(M.drift_stream(d, o, window="30 days"), ["window_start"]),
+                             "drift", base=_root(spark, "drift"))
 
 
 register(Query("stream_drift", _stream_drift, operators="ST-4"))

@@ -53,3 +53,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     of the executors that computed it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class utc_session:
+    """Context manager: run with ``spark.sql.session.timeZone=UTC`` and restore
+    the caller's zone afterwards (stream runs that turn TIMESTAMP_NTZ event
+    times into instants for watermarks)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.prev = spark, None
+
+    def __enter__(self):
+        self.prev = self.spark.conf.get("spark.sql.session.timeZone")
+        self.spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return self.spark
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.session.timeZone", self.prev)
+        return False
