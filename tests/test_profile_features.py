@@ -142,3 +142,14 @@ def test_impute_float_median_promotes_int_column(spark):
     med = FE.fit_medians(df, ["x"])
     out = FE.impute(df, med)
     assert dict(out.dtypes)["x"] == "double" and sorted(r["x"] for r in out.collect()) == [1.0, 1.5, 2.0]
+
+
+def test_random_search_runs_trials_with_cv(spark, sf):
+    from riskframe.operators import sampling as S2
+    from riskframe.operators import training as T
+    from riskframe.sources import fixtures as X
+    from riskframe.sources.fixtures import CATEGORICAL, NUMERIC
+    folds = S2.stratified_folds(X.scored(spark, sf), "LoanApproved", "app_id", k=3)
+    res = T.random_search(folds, "logistic_regression", NUMERIC, CATEGORICAL, n_trials=2, k=3).collect()
+    assert [r["trial"] for r in res] == [0, 1]
+    assert all(0.5 < r["mean_roc_auc"] <= 1.0 for r in res)
