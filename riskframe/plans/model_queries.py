@@ -123,7 +123,24 @@ def _corr_drop(spark, sf):
     return literal_table(spark, [(c, c in kept) for c in cols], "feature string, kept boolean")
 
 
-register(Query("correlation_filter", _corr_drop, operators="FE-17"))
+def _corr_filter_sql(cols: list[str], th: float = 0.95) -> str:
+    """The greedy filter unrolled: column j is kept iff every earlier kept
+    column has |corr| <= th with it."""
+    corr = ", ".join(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS c_{i}_{j}"
+                     for j, b in enumerate(cols) for i, a in enumerate(cols) if i < j)
+    kept = []
+    for j in range(len(cols)):
+        conds = [f"(NOT k{i} OR abs(c_{i}_{j}) <= {th})" for i in range(j)]
+        kept.append(f"{' AND '.join(conds) if conds else 'true'} AS k{j}")
+    # each k_j refers to earlier k_i: build them in nested selects
+    sql = f"SELECT {corr} FROM applications"
+    for j, k in enumerate(kept):
+        sql = f"SELECT *, {k} FROM ({sql}) s{j}"
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, k{j} AS kept FROM ({sql}) t{j}" for j, c in enumerate(cols))
+
+
+register(Query("correlation_filter", _corr_drop, operators="FE-17",
+               sql=_corr_filter_sql(NUMERIC + ["risk_score"])))
 
 
 def _early(spark, sf):

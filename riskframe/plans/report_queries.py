@@ -92,4 +92,7 @@ def _save_load(spark, sf):
                                    F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
 
 
-register(Query("model_save_load", _save_load, operators="IO-4"))
+register(Query(
+    "model_save_load", _save_load, operators="IO-4", floats=["max_abs_diff"],
+    # a lossless round trip: every row scored, identical probabilities
+    sql="SELECT count(*) AS rows, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM applications"))
