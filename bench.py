@@ -55,6 +55,10 @@ def main() -> None:
         times[n] = round(time.perf_counter() - t0, 3)
     total = round(sum(times.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf = float(sf)
+    except ValueError:
+        pass
     print(json.dumps({"metric": "headline_queries_total_wall", "value": total, "unit": "sec",
                       "queries": times, "sf": sf}))
     spark.stop()
