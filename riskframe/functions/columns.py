@@ -116,7 +116,7 @@ def literal_table(spark, rows: list[tuple], schema: str):
     plan: no Python worker, no pickled RDD, nothing to compile). ``schema`` is
     a DDL string such as ``"qi int, q double"``."""
     from pyspark.sql import types as T
-    st = T._parse_datatype_string(schema)
+    st = T.StructType.fromDDL(schema)
     cols = [f"CAST(c{i} AS {f.dataType.simpleString()}) AS `{f.name}`" for i, f in enumerate(st.fields)]
     names = ", ".join(f"c{i}" for i in range(len(st.fields)))
     if not rows:
