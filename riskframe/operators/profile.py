@@ -321,8 +321,10 @@ def target_distribution(df: DataFrame, target: str, warn_ratio: float = 3.0) ->
         .withColumn("imbalanced", F.col("imbalance_ratio") > F.lit(warn_ratio))
 
 
-def numeric_by_class(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    """EDA-19: per (feature, class): min, quartiles, max, mean (violin/box data)."""
+def numeric_by_class(df: DataFrame, cols: list[str], target: str, max_cols: int = 9) -> DataFrame:
+    """EDA-19: per (feature, class): min, quartiles, max, mean (violin/box
+    data) for the first ``max_cols`` numeric columns."""
+    cols = cols[:max_cols]
     q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"], by=[target])
     lf = long_form(df, cols, carry={target: F.col(target)}).where(F.col("value").isNotNull())
     a = lf.groupBy("feature", target).agg(F.min("value").alias("min"), F.max("value").alias("max"),

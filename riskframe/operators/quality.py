@@ -59,6 +59,15 @@ def validate(df: DataFrame, required: list[str], numeric: list[str], target: str
     return static.unionByName(stacked)
 
 
+def assert_valid(df: DataFrame, required: list[str], numeric: list[str], target: str) -> None:
+    """DQ-1, raising form: ValueError at the first violation (missing column,
+    then non-numeric column, then target outside {0, 1}), like a loader that
+    refuses bad input. One aggregation pass at most."""
+    for r in validate(df, required, numeric, target).collect():
+        if r["violations"]:
+            raise ValueError(f"{r['check']} violated for column {r['column']!r} ({r['violations']} rows)")
+
+
 def data_summary(df: DataFrame, target: str) -> DataFrame:
     """DQ-2: rows, columns, target counts and positive ratio in one pass."""
     y = F.col(target)

@@ -153,3 +153,20 @@ def test_random_search_runs_trials_with_cv(spark, sf):
     res = T.random_search(folds, "logistic_regression", NUMERIC, CATEGORICAL, n_trials=2, k=3).collect()
     assert [r["trial"] for r in res] == [0, 1]
     assert all(0.5 < r["mean_roc_auc"] <= 1.0 for r in res)
+
+
+def test_assert_valid_and_reader_suffix(spark, tmp_path):
+    from riskframe.sources.io import read_table
+    ok = spark.createDataFrame([(1, 0), (2, 1)], "a int, y int")
+    Q.assert_valid(ok, ["a", "y"], ["a"], "y")
+    bad = spark.createDataFrame([(1, 2)], "a int, y int")
+    with pytest.raises(ValueError, match="target_domain"):
+        Q.assert_valid(bad, ["a", "y"], ["a"], "y")
+    with pytest.raises(ValueError, match="missing_column"):
+        Q.assert_valid(ok, ["a", "zz"], ["a"], "y")
+    with pytest.raises(ValueError, match="Unsupported"):
+        read_table(spark, str(tmp_path / "x.xlsx"))
+    p = str(tmp_path / "t.csv")
+    spark.createDataFrame([(1.0, float("nan")), (2.0, 3.0)], "a double, b double").write.csv(p, header=True)
+    back = read_table(spark, p, schema=__import__("pyspark.sql.types", fromlist=["x"]).StructType.fromDDL("a double, b double"))
+    assert sorted((r["a"], r["b"]) for r in back.collect()) == [(1.0, None), (2.0, 3.0)]  # NaN -> NULL on load
