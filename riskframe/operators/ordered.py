@@ -196,11 +196,14 @@ def hashed_rank(df: DataFrame, key: str, seed: int, by: list[str], out: str = "r
     d = df.withColumn("__h", h).withColumn(
         "__hb", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
     w = Window.partitionBy(*by, "__hb").orderBy("__h", key)
-    local = d.withColumn("__loc", F.row_number().over(w))
-    cnt = d.groupBy(*by, "__hb").agg(F.count(F.lit(1)).alias("__c"))
+    # bucket sizes come from the same partitioning as the ranks, so the offset
+    # branch reuses that exchange instead of re-reading the source
+    local = d.withColumn("__loc", F.row_number().over(w)) \
+        .withColumn("__bc", F.count(F.lit(1)).over(Window.partitionBy(*by, "__hb")))
+    cnt = local.groupBy(*by, "__hb").agg(F.max("__bc").alias("__c"))
     before = Window.partitionBy(*by).orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
     offs = cnt.select(*by, "__hb", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"),
                       F.sum("__c").over(Window.partitionBy(*by)).alias("__n"))
     j = local.join(F.broadcast(offs), [*by, "__hb"])
     return j.withColumn(out, (F.col("__off") + F.col("__loc")).cast("long")) \
-        .withColumnRenamed("__n", f"{out}_n").drop("__h", "__hb", "__loc", "__off")
+        .withColumnRenamed("__n", f"{out}_n").drop("__h", "__hb", "__loc", "__off", "__bc")
