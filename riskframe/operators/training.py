@@ -25,7 +25,7 @@ from .sampling import class_weights
 # boosted trees depth 6 / lr 0.1 / 100 rounds / subsample 0.8 / colsample 0.8;
 # second boosted preset depth 7 (leaf cap 31 is not expressible in Spark GBT).
 PRESETS = {
-    "logistic_regression": {"C": 1.0, "max_iter": 1000},
+    "logistic_regression": {"C": 1.0, "max_iter": 1000, "tol": 1e-9},
     "gbt": {"max_depth": 6, "learning_rate": 0.1, "n_estimators": 100, "subsample": 0.8, "colsample": 0.8},
     "gbt_deep": {"max_depth": 7, "learning_rate": 0.1, "n_estimators": 100, "subsample": 0.8, "colsample": 0.8},
 }
@@ -39,12 +39,15 @@ def make_estimator(kind: str, n_train: int, params: dict | None = None, weight_c
     Logistic regression: scikit-learn minimises 1/2||w||^2 + C * sum(s_i l_i);
     Spark minimises sum(s_i l_i) / sum(s_i) + lambda/2 ||w||^2, so
     lambda = 1 / (C * sum(s_i)) (= 1 / (C n) with balanced weights). The
-    intercept is unpenalised in both; features are already standardised."""
+    intercept is unpenalised in both; features are already standardised.
+    ``tol`` 1e-9 reproduces the scikit-learn optimum; every iteration is one
+    pass over the (cached) training vectors, so on very large inputs pass a
+    looser ``tol`` in ``params``."""
     p = {**PRESETS.get(kind, {}), **(params or {})}
     if kind == "logistic_regression":
         est = LogisticRegression(featuresCol=features, labelCol=label, maxIter=int(p["max_iter"]),
                                  regParam=1.0 / (p["C"] * max(n_train, 1)), elasticNetParam=0.0,
-                                 standardization=False, tol=1e-9, family="binomial")
+                                 standardization=False, tol=float(p["tol"]), family="binomial")
     elif kind in ("gbt", "gbt_deep"):
         kw = {}
         if p.get("validation_col"):  # ML-14: early stopping on a validation subset
