@@ -170,3 +170,20 @@ def test_assert_valid_and_reader_suffix(spark, tmp_path):
     spark.createDataFrame([(1.0, float("nan")), (2.0, 3.0)], "a double, b double").write.csv(p, header=True)
     back = read_table(spark, p, schema=__import__("pyspark.sql.types", fromlist=["x"]).StructType.fromDDL("a double, b double"))
     assert sorted((r["a"], r["b"]) for r in back.collect()) == [(1.0, None), (2.0, 3.0)]  # NaN -> NULL on load
+
+
+def test_write_splits_partition_pruning(spark, sf, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+
+    from riskframe.sources import fixtures as X
+    from riskframe.sources.io import write_splits
+    sp = S.stratified_split(X.applications(spark, sf), "LoanApproved", "app_id", S.SPLIT_701515)
+    path = str(tmp_path / "splits")
+    write_splits(sp, path)
+    test = spark.read.parquet(path).where(F.col("split") == "test")
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        test.explain()
+    assert "PartitionFilters: [isnotnull(split" in buf.getvalue()
+    assert test.count() == sp.where(F.col("split") == "test").count()
