@@ -79,14 +79,15 @@ def ranking_metrics(df: DataFrame, y: str = "defaulted", score: str = "risk_scor
     half), PR-AUC by trapezoid starting at (recall 0, precision 1), and KS."""
     c = score_cumsums(df, y, score)
     P, N = F.col("P").cast("double"), F.col("N").cast("double")
-    rec, rec_prev = F.col("tp") / P, F.col("tp_above") / P
+    # ANSI mode raises on x / 0: one-class inputs (P or N = 0) use try_divide
+    rec, rec_prev = F.try_divide(F.col("tp"), P), F.try_divide(F.col("tp_above"), P)
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
     above = F.col("tp_above") + F.col("fp_above")
     prec_prev = F.when(above == 0, F.lit(1.0)).otherwise(F.col("tp_above") / above)
     a = c.agg(
         F.sum(F.col("pos") * (F.col("neg_lt") + F.col("neg") / 2.0)).alias("__s"),
         F.sum((rec - rec_prev) * (prec + prec_prev) / 2.0).alias("__pr"),
-        F.max(F.abs(F.col("tp") / P - F.col("fp") / N)).alias("__ks"),
+        F.max(F.abs(F.try_divide(F.col("tp"), P) - F.try_divide(F.col("fp"), N))).alias("__ks"),
         F.first("P").alias("P"), F.first("N").alias("N"))
     bad = (F.col("P") == 0) | (F.col("N") == 0) | F.col("P").isNull()
     return a.select(
@@ -98,8 +99,8 @@ def ranking_metrics(df: DataFrame, y: str = "defaulted", score: str = "risk_scor
 def roc_curve(df: DataFrame, y: str = "defaulted", score: str = "risk_score") -> DataFrame:
     """EV-7: one point per distinct score (every threshold, no collinear drop)."""
     c = score_cumsums(df, y, score)
-    return c.select("threshold", "tp", "fp", (F.col("tp") / F.col("P")).alias("tpr"),
-                    (F.col("fp") / F.col("N")).alias("fpr"))
+    return c.select("threshold", "tp", "fp", F.try_divide(F.col("tp"), F.col("P").cast("double")).alias("tpr"),
+                    F.try_divide(F.col("fp"), F.col("N").cast("double")).alias("fpr"))
 
 
 def pr_curve(df: DataFrame, y: str = "defaulted", score: str = "risk_score") -> DataFrame:
@@ -131,7 +132,7 @@ def calibration_errors(df: DataFrame, y: str = "defaulted", score: str = "risk_s
     """EV-11: Brier score, expected and maximum calibration error (10 bins)."""
     cal = calibration_curve(df, y, score)
     gap = F.abs(F.col("prob_true") - F.col("prob_pred"))
-    e = cal.agg((F.sum(F.col("count") * gap) / F.sum("count")).alias("ece"), F.max(gap).alias("mce"))
+    e = cal.agg(F.try_divide(F.sum(F.col("count") * gap), F.sum("count")).alias("ece"), F.max(gap).alias("mce"))
     brier = df.where(F.col(score).isNotNull()).agg(
         F.avg(F.pow(F.col(score) - _y(y).cast("double"), 2)).alias("brier"))
     return brier.crossJoin(e)

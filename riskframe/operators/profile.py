@@ -97,9 +97,9 @@ def kde(df: DataFrame, cols: list[str], grid_points: int = 1000, fine_bins: int
     # cells (<= features x fine_bins) x grid: bounded by the parameters
     h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     pair = cells.join(F.broadcast(grid), "feature")
-    z = (F.col("x") - F.col("c")) / h
+    z = F.try_divide(F.col("x") - F.col("c"), h)  # constant column: h = 0 -> NULL density
     dens = pair.groupBy("feature", "gi", "x").agg(
-        (F.sum(F.col("w") * F.exp(-0.5 * z * z)) / (F.first("n") * F.first(h) * F.lit(math.sqrt(2 * math.pi))))
+        F.try_divide(F.sum(F.col("w") * F.exp(-0.5 * z * z)), F.first("n") * F.first(h) * F.lit(math.sqrt(2 * math.pi)))
         .alias("density"))
     return dens
 
@@ -304,7 +304,8 @@ def zscore_outliers(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame
     st = filled.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                     *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)])
     j = filled.crossJoin(F.broadcast(st))  # one-row statistics
-    cnt = j.agg(*[F.count_if(F.abs((F.col(c) - F.col(f"m{i}")) / F.col(f"s{i}")) > F.lit(z)).alias(f"k{i}")
+    # a constant column has std 0: z is undefined (NULL), never counted
+    cnt = j.agg(*[F.count_if(F.abs(F.try_divide(F.col(c) - F.col(f"m{i}"), F.col(f"s{i}"))) > F.lit(z)).alias(f"k{i}")
                   for i, c in enumerate(cols)])
     return _stack(cnt, cols, {"n_extreme": "k"})
 

@@ -73,7 +73,7 @@ def data_summary(df: DataFrame, target: str) -> DataFrame:
     y = F.col(target)
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.count_if(y == 0).alias("n_target_0"), F.count_if(y == 1).alias("n_target_1"),
-                  (F.sum(y) / F.count(F.lit(1))).alias("target_ratio")) \
+                  F.try_divide(F.sum(y), F.count(F.lit(1))).alias("target_ratio")) \
         .withColumn("n_cols", F.lit(len(df.columns)))
 
 

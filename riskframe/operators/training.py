@@ -101,8 +101,8 @@ def fold_metrics(scored: DataFrame, fold_col: str, y: str, score: str, threshold
     cum = value_cumsums(scored.where(F.col(score).isNotNull()), [score],
                         {"pos": yy, "neg": F.lit(1) - yy}, by=[fold_col])
     auc = cum.groupBy(fold_col).agg(
-        (F.sum(F.col("pos") * (F.col("neg_lt") + F.col("neg") / 2.0))
-         / (F.first("pos_tot") * F.first("neg_tot").cast("double"))).alias("roc_auc"))
+        F.try_divide(F.sum(F.col("pos") * (F.col("neg_lt") + F.col("neg") / 2.0)),
+                     F.first("pos_tot") * F.first("neg_tot").cast("double")).alias("roc_auc"))
     pred = F.col(score) >= F.lit(threshold)
     c = scored.groupBy(fold_col).agg(F.count_if(pred & (yy == 1)).alias("tp"), F.count_if(~pred & (yy == 0)).alias("tn"),
                                      F.count_if(pred & (yy == 0)).alias("fp"), F.count_if(~pred & (yy == 1)).alias("fn"))

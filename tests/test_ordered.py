@@ -57,3 +57,27 @@ def test_hashed_rank_is_row_number_by_md5(spark):
         ids = sorted((hashlib.md5(f"{r[0]}|42".encode()).hexdigest(), r[0]) for r in rows if r[3] == lab)
         for k, (_, i) in enumerate(ids, start=1):
             assert got[i] == (k, len(ids))
+
+
+def test_edge_cases_empty_single_null_one_class(spark):
+    from riskframe.operators import evaluation as V
+    from riskframe.operators import profile as P
+    empty = spark.createDataFrame([], "x double, label int")
+    assert O.exact_quantiles(empty, ["x"], [0.5]).collect() == []
+    one = spark.createDataFrame([(3.0, 1)], "x double, label int")
+    assert O.exact_quantiles(one, ["x"], [0.0, 0.5, 1.0]).select("quantile").distinct().collect()[0][0] == 3.0
+    nulls = spark.createDataFrame([(None, 1), (None, 0)], "x double, label int")
+    d = P.describe(nulls, ["x"]).first()
+    assert d["count"] == 0 and d["q50"] is None
+    # one class only: AUC undefined -> 0.5 for the univariate form, NULL for the metric row
+    assert P.univariate_auc(one, ["x"], "label").first()["roc_auc"] == 0.5
+    r = V.ranking_metrics(one.withColumnRenamed("label", "defaulted").withColumnRenamed("x", "risk_score")).first()
+    assert r["roc_auc"] is None
+
+
+def test_single_bucket_still_exact(spark):
+    df, rows = skewed(spark, n=500)
+    q = {r["q"]: r["quantile"] for r in O.exact_quantiles(df, ["x"], [0.25, 0.5], n_buckets=1).collect()}
+    vals = np.array([r[1] for r in rows])
+    assert q[0.25] == pytest.approx(float(np.quantile(vals, 0.25)))
+    assert q[0.5] == pytest.approx(float(np.quantile(vals, 0.5)))
