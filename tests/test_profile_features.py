@@ -187,3 +187,19 @@ def test_write_splits_partition_pruning(spark, sf, tmp_path):
         test.explain()
     assert "PartitionFilters: [isnotnull(split" in buf.getvalue()
     assert test.count() == sp.where(F.col("split") == "test").count()
+
+
+def test_constant_column_is_safe_everywhere(spark):
+    df = spark.createDataFrame([(5.0, i % 2, "a") for i in range(50)], "k double, label int, c string")
+    d = P.describe(df, ["k"]).first()
+    assert d["std"] == 0.0 and d["q50"] == 5.0
+    assert P.zscore_outliers(df, ["k"]).first()["n_extreme"] == 0
+    assert P.iqr_outliers(df, ["k"]).first()["n_outliers"] == 0
+    h = P.histogram(df, ["k"], 10).collect()
+    assert sum(r["count"] for r in h) == 50
+    assert all(r["density"] is None for r in P.kde(df, ["k"], grid_points=5).collect())
+    assert P.univariate_auc(df, ["k"], "label").first()["roc_auc"] == 0.5
+    iv = {r["feature"]: r["iv"] for r in P.information_value(df, ["k"], ["c"], "label").collect()}
+    assert iv["c"] == pytest.approx(0.0)
+    assert FE.fit_scaler(df, ["k"])["k"] == (5.0, 1.0)
+    assert Q.near_zero_variance(df, ["k"]).first()["near_zero"] is True
