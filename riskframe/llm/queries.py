@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing
+from . import ann, bpe, chat, exact_dedup, licenses, line_dedup, lm, packing, simhash, toxicity
 from .common import read
 
 
@@ -25,16 +25,28 @@ def pattern() -> str:
 SPECIAL_50K = {"<|endoftext|>": 50256}
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.rank_lines(spark, _vocabulary("byte_bpe_50k.tiktoken"))
     return packing.pack_documents(read(spark, sf_dir, "documents"), ranks, pattern(), SPECIAL_50K)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.rank_lines(spark, _vocabulary("byte_bpe_multi_50k.tiktoken"))
     return bpe.bpe_round_trip(read(spark, sf_dir, "documents"), ranks, pattern())
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -47,18 +59,39 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, d.text_sha256
 FROM d JOIN g ON d.text_sha256 = g.text_sha256"""
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_templates(read(spark, sf_dir, "documents")) \
+        .withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(read(spark, sf_dir, "conversations")))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
+    "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_lm_score": op5_lm_score,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
+    "op10_ann": op10_ann,
 }
 
 ORACLES = {
+    "op1_license_scan": licenses.ORACLE,
     "op6_exact_dedup": OP6_SQL,
     "op9_chat_format": chat.ORACLE,
 }
