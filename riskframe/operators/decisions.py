@@ -150,7 +150,8 @@ def best_thresholds(sweep: DataFrame, metric: str = "approval_rate") -> DataFram
     elif metric == "default_rate":
         order = [F.col("default_rate_in_approved").asc()]
     elif metric == "expected_loss":
-        if dict(sweep.dtypes).get("expected_loss_approved") is None:
+        # a sweep without amounts has the column, all NULL (at most 120 rows)
+        if "expected_loss_approved" not in sweep.columns or not sweep.agg(F.count("expected_loss_approved")).first()[0]:
             raise ValueError("expected_loss needs loan amounts")
         order = [F.col("expected_loss_approved").asc_nulls_last()]
     else:

@@ -32,12 +32,12 @@ def fit_medians(train: DataFrame, cols: list[str]) -> dict[str, float | None]:
 
 def fit_modes(train: DataFrame, cols: list[str], fallback: str = "Unknown") -> dict[str, str]:
     """FE-2 fit: most frequent value, ties -> smallest; all-NULL -> fallback.
-    Two distributed aggregations (counts, then max count per column); no
-    task holds a column's whole value set."""
+    Two distributed aggregations (counts, then the best (count, value) per
+    column, combined map-side); no task holds a column's whole value set."""
     cnt = long_form_str(train, cols).where(F.col("value").isNotNull()) \
         .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    mx = cnt.groupBy("feature").agg(F.max("n").alias("n"))
-    best = cnt.join(mx, ["feature", "n"]).groupBy("feature").agg(F.min("value").alias("mode"))
+    best = cnt.groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b")) \
+        .select("feature", F.col("b.value").alias("mode"))
     got = {r["feature"]: r["mode"] for r in best.collect()}
     return {c: got.get(c, fallback) for c in cols}
 
@@ -181,15 +181,18 @@ def one_hot(df: DataFrame, vocab: dict[str, list[str]], drop_first: bool = True,
 
 
 def fit_top_categories(train: DataFrame, cols: list[str], k: int = 10) -> dict[str, list[str]]:
-    """FE-9 fit: the ``k`` most frequent values per column (ties by value).
-    Per column a bounded top-k (each task keeps k rows, one k x tasks merge),
-    so a high-cardinality column never lands in one task."""
+    """FE-9 fit: the ``k`` most frequent values per column (ties by value), all
+    columns from one aggregation. Ranks are taken in salted slices of a column
+    first, so a high-cardinality column never lands in one task."""
     cnt = long_form_str(train, cols).where(F.col("value").isNotNull()) \
         .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    out: dict[str, list[str]] = {}
-    for c in cols:
-        top = cnt.where(F.col("feature") == c).orderBy(F.col("n").desc(), F.col("value")).limit(k).collect()
-        out[c] = [r["value"] for r in top]
+    order = [F.col("n").desc(), F.col("value")]
+    part = Window.partitionBy("feature", F.pmod(F.xxhash64("value"), F.lit(256))).orderBy(*order)
+    lead = cnt.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)      # at most 256 k rows a column
+    top = lead.withColumn("r", F.row_number().over(Window.partitionBy("feature").orderBy(*order))).where(F.col("r") <= k)
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in sorted(top.collect(), key=lambda r: r["r"]):
+        out[r["feature"]].append(r["value"])
     return out
 
 
@@ -207,17 +210,22 @@ def fit_target_encoding(train: DataFrame, col: str, target: str, smoothing: floa
     prior = train.agg(F.avg(_d(target)).alias("prior"))
     g = train.where(F.col(col).isNotNull()).groupBy(col).agg(
         F.count(F.lit(1)).alias("__n"), F.avg(_d(target)).alias("__m"))
-    return g.crossJoin(F.broadcast(prior)).select(
+    enc = g.crossJoin(F.broadcast(prior)).select(
         col, ((F.col("__n") * F.col("__m") + F.lit(smoothing) * F.col("prior"))
               / (F.col("__n") + F.lit(smoothing))).alias(f"{col}_te"), "prior")
+    # the NULL category always has a row: it carries the prior even if no
+    # training row has a category
+    none = prior.select(F.lit(None).cast(train.schema[col].dataType).alias(col),
+                        F.col("prior").alias(f"{col}_te"), "prior")
+    return enc.unionByName(none)
 
 
 def apply_target_encoding(df: DataFrame, enc: DataFrame, col: str) -> DataFrame:
     """FE-10 transform: unseen categories / NULL get the prior. The encoding
     table is joined normally: Catalyst / AQE broadcast it when its measured
     size allows, and shuffle-join it otherwise (high-cardinality keys)."""
-    prior = enc.select("prior").limit(1)
-    j = df.join(enc.drop("prior"), col, "left").crossJoin(F.broadcast(prior))
+    prior = enc.where(F.col(col).isNull()).select("prior")            # one row
+    j = df.join(enc.where(F.col(col).isNotNull()).drop("prior"), col, "left").crossJoin(F.broadcast(prior))
     return j.withColumn(f"{col}_te", F.coalesce(F.col(f"{col}_te"), F.col("prior"))).drop("prior")
 
 
@@ -312,10 +320,11 @@ class Preprocessor:
 
     @property
     def feature_cols(self) -> list[str]:
-        return [self.prefix + n for n in self.feature_names]
+        """Column names by position: a level may hold any character, dots too."""
+        return [f"{self.prefix}{i}" for i in range(len(self.feature_names))]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds one column per feature (``f__<name>``), source columns kept:
+        """Adds one column per feature (``f__<position>``), source columns kept:
         impute -> standard scale -> one-hot (drop first) -> non-finite to 0.
         One projection; no join, no shuffle."""
         out = []
@@ -324,13 +333,12 @@ class Preprocessor:
             med = self.medians.get(c)
             x = F.coalesce(_d(c), F.lit(med).cast("double")) if med is not None else _d(c)
             z = (x - F.lit(m)) / F.lit(s)
-            out.append(F.when(z.isNull() | F.isnan(z) | (F.abs(z) == F.lit(float("inf"))), F.lit(0.0))
-                       .otherwise(z).alias(self.prefix + c))
+            out.append(F.when(z.isNull() | F.isnan(z) | (F.abs(z) == F.lit(float("inf"))), F.lit(0.0)).otherwise(z))
         for c in self.categorical:
             v0 = F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c)))
             for v in self.vocab[c][1:]:
-                out.append(F.when(v0 == F.lit(v), 1.0).otherwise(0.0).alias(f"{self.prefix}{c}_{v}"))
-        return df.select("*", *out)
+                out.append(F.when(v0 == F.lit(v), 1.0).otherwise(0.0))
+        return df.select("*", *[x.alias(n) for x, n in zip(out, self.feature_cols)])
 
 
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import literal_table
-from .ordered import exact_quantiles, long_form, quantile_table, value_cumsums
+from .ordered import ValueTable, exact_quantiles, long_form, quantile_table, same, value_cumsums
 
 
 def _stack(one: DataFrame, cols: list[str], fields: dict[str, str], name: str = "feature") -> DataFrame:
@@ -26,7 +26,7 @@ def _d(c: str) -> Column:
 
 
 # ------------------------------------------------------------------ EDA-1/2
-def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+def describe(df: DataFrame, cols: list[str], table: ValueTable | None = None) -> DataFrame:
     """EDA-1 + EDA-2: count, mean, std (ddof 1), min, 25/50/75 %, max, and
     bias-corrected skewness / excess kurtosis rounded to 3 places (pandas).
     Spark's skewness/kurtosis are population moments g1/g2; correct with
@@ -40,7 +40,7 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
                  *[F.kurtosis(_d(c)).alias(f"g2{i}") for i, c in enumerate(cols)])
     st = _stack(one, cols, {"count": "n", "mean": "m", "std": "s", "min": "lo", "max": "hi",
                             "g1": "g1", "g2": "g2"})
-    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"]).drop("n")
+    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], table=table).drop("n")
     n = F.col("count").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
@@ -105,18 +105,38 @@ def kde(df: DataFrame, cols: list[str], grid_points: int = 1000, fine_bins: int
 
 
 # ------------------------------------------------------------------ EDA-5/7
-def category_counts(df: DataFrame, cols: list[str], top: int = 20, max_distinct: int = 50) -> DataFrame:
-    """EDA-5: value counts of columns with 1 < distinct <= max_distinct, top
-    ``top`` per column (ties by value). Only low-cardinality columns survive
-    the filter, so the per-feature window holds at most max_distinct rows."""
-    lf = long_form_str(df, cols).where(F.col("value").isNotNull())
-    cnt = lf.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))
-    nd = cnt.groupBy("feature").agg(F.count(F.lit(1)).alias("n_unique"))
-    ok = nd.where((F.col("n_unique") > 1) & (F.col("n_unique") <= max_distinct))
-    c = cnt.join(F.broadcast(ok), "feature")
-    w = Window.partitionBy("feature").orderBy(F.col("count").desc(), F.col("value").asc())
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top) \
-        .select("feature", "value", "count", "rank")
+def category_counts(df: DataFrame, cols: list[str], top: int | None = None,
+                    max_distinct: int | None = None) -> DataFrame:
+    """EDA-5: (feature, value, count, rank): every non-NULL value of every
+    column; ``rank`` is NULL.
+
+    ``top`` ranks the values (ties by value), keeps that many per column and
+    adds the rest of the column as one row with value NULL and rank top + 1.
+    ``max_distinct`` lists a column with more values, or with one, as a single
+    row with value NULL and rank 0. Counts of a column always add up to its
+    non-NULL rows. Ranks are taken in hash slices of a column first, so that no
+    task orders all values of a wide column."""
+    cnt = long_form_str(df, cols).where(F.col("value").isNotNull()) \
+        .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("count"))
+    none, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
+    if top is None and max_distinct is None:
+        return cnt.select("feature", "value", "count", rank.alias("rank"))
+    # one row per column
+    size = cnt.groupBy("feature").agg(F.count(F.lit(1)).alias("__nd"), F.sum("count").alias("__n"))
+    shown = (F.col("__nd") > 1) & (F.col("__nd") <= F.lit(max_distinct)) if max_distinct is not None else F.lit(True)
+    c = cnt.join(F.broadcast(size), "feature").where(shown)
+    skipped = size.where(~shown).select("feature", none.alias("value"), F.col("__n").alias("count"), F.lit(0).alias("rank"))
+    if top is None:
+        return c.select("feature", "value", "count", rank.alias("rank")).unionByName(skipped)
+    order = [F.col("count").desc(), F.col("value").asc()]
+    part = Window.partitionBy("feature", F.pmod(F.xxhash64("value"), F.lit(256))).orderBy(*order)
+    lead = c.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)     # at most 256 top rows
+    best = lead.withColumn("rank", F.row_number().over(Window.partitionBy("feature").orderBy(*order))) \
+        .where(F.col("rank") <= top).select("feature", "value", "count", "rank", "__n", "__nd")
+    rest = best.groupBy("feature").agg(F.first("__n").alias("__n"), F.first("__nd").alias("__nd"),
+                                       F.sum("count").alias("__k")).where(F.col("__nd") > top) \
+        .select("feature", none.alias("value"), (F.col("__n") - F.col("__k")).alias("count"), F.lit(top + 1).alias("rank"))
+    return best.select("feature", "value", "count", "rank").unionByName(rest).unionByName(skipped)
 
 
 def long_form_str(df: DataFrame, cols: list[str], carry: dict[str, Column] | None = None) -> DataFrame:
@@ -279,10 +299,10 @@ def univariate_auc(df: DataFrame, cols: list[str], target: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ EDA-15/16/17
-def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
+def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5, table: ValueTable | None = None) -> DataFrame:
     """EDA-15 + EDA-16: quartiles, fences, strict outlier count and boxplot
     whiskers (most extreme values inside the fences)."""
-    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q1", "median", "q3"], table=table)
     iqr = F.col("q3") - F.col("q1")
     f = q.select("feature", "q1", "median", "q3", (F.col("q1") - k * iqr).alias("lo_fence"),
                  (F.col("q3") + k * iqr).alias("hi_fence"))
@@ -297,9 +317,9 @@ def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
     return f.join(agg, "feature")
 
 
-def zscore_outliers(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame:
+def zscore_outliers(df: DataFrame, cols: list[str], z: float = 3.0, table: ValueTable | None = None) -> DataFrame:
     """EDA-17: NULL -> column median, then |x - mean| / std_pop > z counts."""
-    med = {r["feature"]: r["median"] for r in quantile_table(df, cols, [0.5], ["median"]).collect()}
+    med = {r["feature"]: r["median"] for r in quantile_table(df, cols, [0.5], ["median"], table=table).collect()}
     filled = df.select(*[F.coalesce(_d(c), F.lit(med.get(c))).alias(c) for c in cols])
     st = filled.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
                     *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)])
@@ -312,9 +332,10 @@ def zscore_outliers(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame
 
 # ------------------------------------------------------------------ EDA-18/19/20
 def target_distribution(df: DataFrame, target: str, warn_ratio: float = 3.0) -> DataFrame:
-    """EDA-18: count and percentage per target value; imbalance ratio
-    max/min count and a warning flag above ``warn_ratio``."""
-    c = df.groupBy(F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("count"))
+    """EDA-18: count and percentage per target value (NULLs left out, as a
+    value count does); imbalance ratio max/min count and a warning flag above
+    ``warn_ratio``."""
+    c = df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("count"))
     t = c.agg(F.sum("count").alias("__n"), F.max("count").alias("__mx"), F.min("count").alias("__mn"))
     return c.crossJoin(F.broadcast(t)).select(  # one-row totals
         "target", "count", (F.col("count") * 100.0 / F.col("__n")).alias("pct"),
@@ -322,15 +343,25 @@ def target_distribution(df: DataFrame, target: str, warn_ratio: float = 3.0) ->
         .withColumn("imbalanced", F.col("imbalance_ratio") > F.lit(warn_ratio))
 
 
-def numeric_by_class(df: DataFrame, cols: list[str], target: str, max_cols: int = 9) -> DataFrame:
+def target_histogram(df: DataFrame, target: str, bins: int = 40, max_values: int = 20) -> DataFrame:
+    """EDA-18 for a numeric target: more than ``max_values`` distinct values
+    give an equal-width histogram of ``bins`` bins (bin, bin_lo, bin_hi, count);
+    fewer give no rows (``target_distribution`` lists them)."""
+    many = df.agg(F.count_distinct(F.col(target)).alias("__nd")).where(F.col("__nd") > max_values)  # one row
+    h = histogram(df, [target], bins=bins).drop("feature")
+    return h.join(F.broadcast(many), how="cross").drop("__nd")
+
+
+def numeric_by_class(df: DataFrame, cols: list[str], target: str, max_cols: int | None = None) -> DataFrame:
     """EDA-19: per (feature, class): min, quartiles, max, mean (violin/box
-    data) for the first ``max_cols`` numeric columns."""
+    data) of all columns, or of the first ``max_cols`` that the caller asks
+    for. NULL is a class of its own."""
     cols = cols[:max_cols]
     q = quantile_table(df, cols, [0.25, 0.5, 0.75], ["q25", "median", "q75"], by=[target])
     lf = long_form(df, cols, carry={target: F.col(target)}).where(F.col("value").isNotNull())
     a = lf.groupBy("feature", target).agg(F.min("value").alias("min"), F.max("value").alias("max"),
                                           F.avg("value").alias("mean"))
-    return a.join(q.drop("n"), ["feature", target])
+    return same(a, q.drop("n"), ["feature", target])
 
 
 def top_variance(df: DataFrame, cols: list[str], k: int = 5) -> DataFrame:

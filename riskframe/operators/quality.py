@@ -18,12 +18,11 @@ RANGES = {"Age": (18, 100), "Income": (1, 1_000_000), "CreditScore": (0, 1000),
 
 
 def split_columns(df: DataFrame, exclude: list[str] | None = None) -> tuple[list[str], list[str]]:
-    """Numeric / non-numeric split from the schema (helper, reads no data)."""
+    """Numeric columns and all others, dates and times included (from the
+    schema; reads no data)."""
     ex = set(exclude or [])
     num = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in ex]
-    cat = [f.name for f in df.schema.fields if not isinstance(f.dataType, NUMERIC_TYPES)
-           and not isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-           and f.name not in ex]
+    cat = [f.name for f in df.schema.fields if f.name not in num and f.name not in ex]
     return num, cat
 
 

@@ -3,6 +3,7 @@ the training part of the exact stratified split; transforms apply to all rows.""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import features as FE
@@ -190,9 +191,17 @@ register(Query(
 
 
 # ------------------------------------------------------------------ FE-8/9
+def _melt(df, names):
+    """(app_id, feature, value) of the listed (column, name) pairs."""
+    return df.select("app_id", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for c, n in names]))
+        .alias("kv")).select("app_id", "kv.feature", "kv.value")
+
+
 def _one_hot(spark, sf):
     vocab = FE.fit_categories(_train_seen(spark, sf), ["Education", "City"])
-    return FE.one_hot(_dirty_split(spark, sf).select("app_id", "Education", "City"), vocab)
+    out = FE.one_hot(_dirty_split(spark, sf).select("app_id", "Education", "City"), vocab)
+    return _melt(out, [(c, c) for c in out.columns if c != "app_id"])
 
 
 register(Query(
@@ -200,11 +209,10 @@ register(Query(
     ctes=SPLIT_CTES + """,
 voc AS (SELECT 'Education' AS f, Education AS v FROM train_seen UNION SELECT 'City', City FROM train_seen),
 lv AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS k FROM voc),
-kept AS (SELECT f, v FROM lv WHERE k > 1),
-long AS (SELECT s.app_id, kept.f || '_' || kept.v AS name,
-  CASE WHEN (kept.f = 'Education' AND s.Education = kept.v) OR (kept.f = 'City' AND s.City = kept.v) THEN 1.0 ELSE 0.0 END AS x
-  FROM split s CROSS JOIN kept)""",
-    sql="PIVOT long ON name USING first(x) GROUP BY app_id"))
+kept AS (SELECT f, v FROM lv WHERE k > 1)""",
+    sql="""SELECT s.app_id, kept.f || '_' || kept.v AS feature,
+  CASE WHEN (kept.f = 'Education' AND s.Education = kept.v) OR (kept.f = 'City' AND s.City = kept.v) THEN 1e0 ELSE 0e0 END AS value
+  FROM split s CROSS JOIN kept"""))
 
 
 def _rare(spark, sf):
@@ -285,8 +293,11 @@ register(Query(
 def _preprocess(spark, sf):
     tr = _train(spark, sf)
     p = FE.fit_preprocessor(tr, NUMERIC, CATEGORICAL)
-    return p.transform(_dirty_split(spark, sf)).select(
-        "app_id", *[F.col(c).alias(n) for c, n in zip(p.feature_cols, p.feature_names)])
+    vec = FE.assemble(p.transform(_dirty_split(spark, sf)), p.feature_cols)
+    x = vector_to_array(F.col("features"))
+    return vec.select("app_id", F.explode(F.arrays_zip(
+        F.array(*[F.lit(n) for n in p.feature_names]).alias("feature"), x.alias("value"))).alias("kv")) \
+        .select("app_id", "kv.feature", "kv.value")
 
 
 def _preprocess_sql() -> tuple[str, str]:
@@ -308,9 +319,10 @@ def _preprocess_sql() -> tuple[str, str]:
             "FROM fall a CROSS JOIN kept k),\n"
             "zs AS (SELECT app_id, " + ", ".join(
                 f"coalesce(({c} - a_{c}) / CASE WHEN s_{c} = 0 OR s_{c} IS NULL THEN 1.0 ELSE s_{c} END, 0.0) AS {c}"
-                for c in NUMERIC) + " FROM fall, sc),\nohz AS (SELECT * FROM oh JOIN zs USING (app_id))")
-    return ctes, "PIVOT ohz ON name USING first(x) GROUP BY app_id, " + ", ".join(NUMERIC)
+                for c in NUMERIC) + " FROM fall, sc)")
+    return ctes, ("SELECT app_id, name AS feature, CAST(x AS DOUBLE) AS value FROM oh UNION ALL "
+                  + " UNION ALL ".join(f"SELECT app_id, '{c}', {c} FROM zs" for c in NUMERIC))
 
 
 _PP_CTES, _PP_SQL = _preprocess_sql()
-register(Query("preprocess", _preprocess, operators="FE-16 FE-18", ctes=_PP_CTES, sql=_PP_SQL, floats=NUMERIC))
+register(Query("preprocess", _preprocess, operators="FE-16 FE-18", ctes=_PP_CTES, sql=_PP_SQL, floats=["value"]))

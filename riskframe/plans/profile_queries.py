@@ -102,25 +102,41 @@ register(Query(
     floats=["x", "density"], ctes=_k_ctes, sql=_k_sql, digits={"density": 12, "x": 4}))
 
 
-def _cat_sql(table: str, cols: list[str], top: int = 20, maxd: int = 50) -> str:
+def _cat_cte(table: str, cols: list[str]) -> str:
     lf = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM {table} "
                             f"WHERE {c} IS NOT NULL" for c in cols)
-    return f"""SELECT feature, value, count, rank FROM (
- SELECT feature, value, count, n_unique,
-  CAST(row_number() OVER (PARTITION BY feature ORDER BY count DESC, value) AS INTEGER) AS rank
- FROM (SELECT feature, value, count(*) AS count, count(*) OVER (PARTITION BY feature) AS n_unique
-       FROM ({lf}) lf GROUP BY feature, value) a) b
-WHERE n_unique > 1 AND n_unique <= {maxd} AND rank <= {top}"""
+    return f"cnt AS (SELECT feature, value, count(*) AS count FROM ({lf}) lf GROUP BY feature, value)"
+
+
+_CAT_ALL = "SELECT feature, value, count, CAST(NULL AS INTEGER) AS rank FROM cnt"
+
+
+def _cat_top(top: int, maxd: int) -> str:
+    return f"""SELECT feature, value, count, CAST(rank AS INTEGER) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY feature ORDER BY count DESC, value) AS rank FROM (
+  SELECT *, count(*) OVER (PARTITION BY feature) AS nd FROM cnt) a WHERE nd > 1 AND nd <= {maxd}) b WHERE rank <= {top}
+UNION ALL SELECT feature, CAST(NULL AS VARCHAR), CAST(sum(count) AS BIGINT), {top + 1} FROM (
+ SELECT *, row_number() OVER (PARTITION BY feature ORDER BY count DESC, value) AS rank FROM (
+  SELECT *, count(*) OVER (PARTITION BY feature) AS nd FROM cnt) a WHERE nd > 1 AND nd <= {maxd}) b
+ WHERE rank > {top} GROUP BY feature
+UNION ALL SELECT feature, CAST(NULL AS VARCHAR), CAST(sum(count) AS BIGINT), 0 FROM cnt GROUP BY feature
+ HAVING count(*) <= 1 OR count(*) > {maxd}"""
 
 
 register(Query(
     "category_counts", lambda spark, sf: P.category_counts(X.applications(spark, sf), CATEGORICAL),
-    operators="EDA-5", sql=_cat_sql("applications", CATEGORICAL)))
+    operators="EDA-5", ctes=_cat_cte("applications", CATEGORICAL), sql=_CAT_ALL))
 
+_PART = ["p_brand", "p_type", "p_name"]
 register(Query(
     "category_counts_part",
-    lambda spark, sf: P.category_counts(X.read_parquet(spark, f"{sf}/part.parquet"), ["p_brand", "p_type", "p_name"]),
-    operators="EDA-5 EDA-22", sql=_cat_sql("part", ["p_brand", "p_type", "p_name"])))
+    lambda spark, sf: P.category_counts(X.read_parquet(spark, f"{sf}/part.parquet"), _PART),
+    operators="EDA-5 EDA-22", ctes=_cat_cte("part", _PART), sql=_CAT_ALL))
+
+register(Query(
+    "category_counts_top",
+    lambda spark, sf: P.category_counts(X.read_parquet(spark, f"{sf}/part.parquet"), _PART, top=10, max_distinct=50),
+    operators="EDA-5", ctes=_cat_cte("part", _PART), sql=_cat_top(10, 50)))
 
 register(Query(
     "approval_rate_by_category",
@@ -278,6 +294,17 @@ register(Query(
 FROM labels GROUP BY quality"""))
 
 
+register(Query(
+    "target_histogram", lambda spark, sf: P.target_histogram(X.applications(spark, sf), "Income"), operators="EDA-18",
+    floats=["bin_lo", "bin_hi"],
+    ctes="""mm AS (SELECT min(Income) AS lo, max(Income) AS hi FROM applications),
+b AS (SELECT CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((Income - lo) * 40.0 / (hi - lo)) AS INTEGER), 39) END AS bin
+  FROM applications, mm WHERE Income IS NOT NULL)""",
+    sql="""SELECT CAST(g.i AS INTEGER) AS bin, lo + g.i * (hi - lo) / 40.0 AS bin_lo,
+ CASE WHEN g.i = 39 THEN hi ELSE lo + (g.i + 1) * (hi - lo) / 40.0 END AS bin_hi,
+ (SELECT count(*) FROM b WHERE b.bin = g.i) AS count FROM range(40) g(i), mm"""))
+
+
 def _by_class_sql(table: str, cols: list[str], target: str) -> str:
     parts = []
     for c in cols:

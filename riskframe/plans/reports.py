@@ -18,6 +18,7 @@ from ..operators import decisions as D
 from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators.features import Preprocessor
+from ..operators.ordered import value_table
 from ..operators.training import Fitted
 from ..session import ensure_checkpoint_dir
 from ..sources.io import LOAN_SCHEMA, nan_to_null, read_table, write_table
@@ -31,20 +32,28 @@ def _long(df: DataFrame, section: str, feature: str | None, metrics: list[str])
 
 
 def eda_report(df: DataFrame, target: str, numeric: list[str] | None = None,
-               categorical: list[str] | None = None, top: int = 10) -> DataFrame:
-    """EDA-21: non-finite -> NULL and drop incomplete rows (DQ-12), then
-    shape, target distribution, IV (top 10), univariate AUC (top 10), VIF."""
+               categorical: list[str] | None = None) -> DataFrame:
+    """EDA-21: missing values of the input; then, with non-finite values as
+    NULL and incomplete rows dropped (DQ-12): shape, target distribution,
+    distributions, class comparison, correlation matrix, IV, univariate AUC and
+    VIF, each section in full."""
     clean = nan_to_null(df).dropna()
     num, cat = Q.split_columns(clean, exclude=[target])
     numeric = numeric or num
     categorical = categorical or cat
+    values = value_table(clean, numeric)          # one read for every quantile below
+    by_class = P.numeric_by_class(clean, numeric, target) \
+        .withColumn("key", F.concat_ws("=", "feature", F.col(target).cast("string")))
     parts = [
+        _long(Q.missing_report(nan_to_null(df)), "missing", "column", ["missing", "pct"]),
         _long(clean.agg(F.count(F.lit(1)).alias("rows")), "shape", None, ["rows"]),
+        _long(P.describe(clean, numeric, table=values), "distribution", "feature",
+              ["count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"]),
+        _long(by_class, "by_class", "key", ["min", "q25", "median", "q75", "max", "mean"]),
+        _long(P.correlation_long(clean, numeric).withColumn("pair", F.concat_ws("|", "f1", "f2")), "correlation", "pair", ["corr"]),
         _long(P.target_distribution(clean, target), "target", "target", ["count", "pct"]),
-        _long(P.information_value(clean, numeric, categorical, target).orderBy(F.col("iv").desc(), "feature").limit(top),
-              "information_value", "feature", ["iv"]),
-        _long(P.univariate_auc(clean, numeric, target).orderBy(F.col("roc_auc").desc(), "feature").limit(top),
-              "roc_auc", "feature", ["roc_auc"]),
+        _long(P.information_value(clean, numeric, categorical, target), "information_value", "feature", ["iv"]),
+        _long(P.univariate_auc(clean, numeric, target), "roc_auc", "feature", ["roc_auc"]),
         _long(P.vif(clean, numeric), "vif", "feature", ["vif"]),
     ]
     out = parts[0]
@@ -62,10 +71,11 @@ def profile_report(df: DataFrame, target: str | None = None) -> DataFrame:
         _long(Q.missing_report(df), "missing", "column", ["missing", "pct"]),
     ]
     if num:
-        parts += [_long(P.describe(df, num), "describe", "feature",
+        values = value_table(df, num)             # one read for the quantiles of all three sections
+        parts += [_long(P.describe(df, num, table=values), "describe", "feature",
                         ["count", "mean", "std", "min", "q25", "q50", "q75", "max", "skewness", "kurtosis"]),
-                  _long(P.iqr_outliers(df, num), "iqr_outliers", "feature", ["n_outliers"]),
-                  _long(P.zscore_outliers(df, num), "zscore", "feature", ["n_extreme"])]
+                  _long(P.iqr_outliers(df, num, table=values), "iqr_outliers", "feature", ["n_outliers"]),
+                  _long(P.zscore_outliers(df, num, table=values), "zscore", "feature", ["n_extreme"])]
     if len(num) > 1:
         parts.append(_long(P.top_correlated_pairs(df, num).select(F.concat_ws("|", "f1", "f2").alias("pair"), "corr"),
                            "top_corr", "pair", ["corr"]))

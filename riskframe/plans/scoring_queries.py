@@ -132,9 +132,11 @@ register(Query(
     "drift_by_month", lambda spark, sf: _fmt(M.drift_by_period(_decided(spark, sf)), ["period"]),
     operators="ST-4", floats=["actual_default_rate", "mean_predicted", "gap"],
     sql="""SELECT strftime(date_trunc('month', app_ts), '%Y-%m-%d %H:%M:%S') AS period, count(*) AS n,
- avg(CAST(defaulted AS DOUBLE)) AS actual_default_rate, avg(risk_score) AS mean_predicted,
- abs(avg(CAST(defaulted AS DOUBLE)) - avg(risk_score)) AS gap, abs(avg(CAST(defaulted AS DOUBLE)) - avg(risk_score)) > 0.10 AS alert
-FROM scored GROUP BY 1"""))
+ sum(CAST(defaulted AS DOUBLE)) / count(*) AS actual_default_rate, ps / count(*) AS mean_predicted,
+ abs(sum(CAST(defaulted AS DOUBLE)) / count(*) - ps / count(*)) AS gap,
+ abs(sum(CAST(defaulted AS DOUBLE)) / count(*) - ps / count(*)) > 0.10 AS alert
+FROM scored JOIN (SELECT date_trunc('month', app_ts) AS m, CAST(sum(CAST(risk_score AS DECIMAL(28,12))) AS DOUBLE) AS ps
+  FROM scored GROUP BY 1) p ON m = date_trunc('month', app_ts) GROUP BY 1, ps"""))
 
 register(Query(
     "portfolio_overview", lambda spark, sf: M.portfolio_overview(_decided(spark, sf)), operators="ST-5",

@@ -15,40 +15,12 @@ CATEGORICAL = ["Gender", "Education", "City", "EmploymentType"]
 TARGET = "LoanApproved"
 
 
-_PLANS: dict = {}
-
-
-def _memo(spark: SparkSession, key: tuple, build):
-    """Reuse a DataFrame *plan* per session (no data is cached): building a
-    plan costs JVM round-trips, executing it re-reads the files every time."""
-    k = (spark.sparkContext.applicationId, *key)
-    if k not in _PLANS:
-        _PLANS[k] = build()
-    return _PLANS[k]
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """A source that yields fewer splits than the cluster has cores (one small
-    file with one row group) is spread round-robin so map-side work uses every
-    core. At scale (thousands of files) this never fires and adds no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
-# Fact tables: the large side of every plan. Dimensions are left as read
-# (Catalyst broadcasts them when its size check allows).
-FACT_TABLES = {"orders", "lineitem", "events", "documents", "labels"}
-
-
-def read_parquet(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
-    return _memo(spark, ("parquet", path, spread),
-                 lambda: spread_small_input(spark.read.parquet(path)) if spread else spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: read_parquet(spark, f"{sf_dir}/{n}.parquet", spread=n in FACT_TABLES) for n in names}
+    return {n: read_parquet(spark, f"{sf_dir}/{n}.parquet") for n in names}
 
 
 # Column definitions of the view as SQL expressions: the same text is used by
@@ -79,23 +51,20 @@ _VIEW_EXPRS = [
 
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        t = load_tables(spark, sf_dir, ["orders", "customer", "nation"])
-        o, c, n = t["orders"], t["customer"], t["nation"]
-        # orders x customer is a large-large equi-join (shuffle on custkey; AQE
-        # splits a hot customer). nation is a fixed 25-row dimension: Catalyst's
-        # size check broadcasts it, no hint needed.
-        j = (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-             .join(n, F.col("c_nationkey") == F.col("n_nationkey")))
-        return j.selectExpr(*_BASE_EXPRS).selectExpr(*_VIEW_EXPRS)
-    return _memo(spark, ("applications", sf_dir), build)
+    t = load_tables(spark, sf_dir, ["orders", "customer", "nation"])
+    o, c, n = t["orders"], t["customer"], t["nation"]
+    # orders x customer is a large-large equi-join (shuffle on custkey; AQE
+    # splits a hot customer). nation is a fixed 25-row dimension: Catalyst's
+    # size check broadcasts it, no hint needed.
+    j = (o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+         .join(n, F.col("c_nationkey") == F.col("n_nationkey")))
+    return j.selectExpr(*_BASE_EXPRS).selectExpr(*_VIEW_EXPRS)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications with the polarity fixed once: ``defaulted = 1 - LoanApproved``
     next to ``risk_score`` = P(default)."""
-    return _memo(spark, ("scored", sf_dir), lambda: applications(spark, sf_dir)
-                 .selectExpr("*", "CAST(1 - LoanApproved AS INT) AS defaulted"))
+    return applications(spark, sf_dir).selectExpr("*", "CAST(1 - LoanApproved AS INT) AS defaulted")
 
 
 def applications_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:

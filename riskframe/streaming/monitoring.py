@@ -51,10 +51,14 @@ def sliding_approval(df: DataFrame, ts: str = "app_ts", window: str = "7 days",
 def drift_by_period(df: DataFrame, ts: str = "app_ts", score_col: str = "risk_score",
                     outcome: str = "defaulted", period: str = "month", threshold: float = 0.10) -> DataFrame:
     """ST-4 (batch form): actual default rate vs mean predicted score per
-    period; alert when they differ by more than ``threshold``."""
+    period; alert when they differ by more than ``threshold``. Scores are
+    summed as decimals of 12 places, so the mean doesn't depend on the order
+    of the rows."""
+    n = F.count(F.lit(1))
+    known = F.count(outcome)
     g = df.groupBy(F.date_trunc(period, F.col(ts)).alias("period")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col(outcome).cast("double")).alias("actual_default_rate"),
-        F.avg(score_col).alias("mean_predicted"))
+        n.alias("n"), F.try_divide(F.sum(F.col(outcome).cast("double")), known).alias("actual_default_rate"),
+        F.try_divide(F.sum(F.col(score_col).cast("decimal(28,12)")).cast("double"), F.count(score_col)).alias("mean_predicted"))
     gap = F.abs(F.col("actual_default_rate") - F.col("mean_predicted"))
     return g.withColumn("gap", gap).withColumn("alert", gap > F.lit(threshold))
 
@@ -158,13 +162,4 @@ def replay_join(spark: SparkSession, left: DataFrame, right: DataFrame, build, n
         q = (build(ls, rs).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
              .outputMode("append").trigger(availableNow=True).start())
         q.awaitTermination()
-    # outcomes after the last cut arrive in a final batch
-    rest = right.where(bucket(right_ts) > len(cuts))
-    if rest.limit(1).count():
-        rest.write.mode("append").parquet(rsrc)
-        ls = spark.readStream.schema(left.schema).parquet(lsrc)
-        rs = spark.readStream.schema(right.schema).parquet(rsrc)
-        q = (build(ls, rs).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-             .outputMode("append").trigger(availableNow=True).start())
-        q.awaitTermination()
     return spark.read.parquet(out)

@@ -81,3 +81,31 @@ def test_single_bucket_still_exact(spark):
     vals = np.array([r[1] for r in rows])
     assert q[0.25] == pytest.approx(float(np.quantile(vals, 0.25)))
     assert q[0.5] == pytest.approx(float(np.quantile(vals, 0.5)))
+
+
+def test_zero_inflated_buckets_are_even(spark):
+    """99 % zeros: buckets follow the distinct values, not the rows."""
+    df = spark.range(100_000).select(F.when(F.col("id") % 50 == 0, F.col("id") / 7.0).otherwise(0.0).alias("x"))
+    placed = O.placed_values(df, ["x"], {"cnt": F.lit(1).cast("long")}, n_buckets=8)
+    sizes = [r["count"] for r in placed.groupBy("bucket").count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 2000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_null_groups_labels_and_keys_are_kept(spark):
+    rows = [(i if i % 9 else None, float(i % 5), None if i % 10 == 0 else i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, x double, label int")
+    med = {r["label"]: r["med"] for r in O.quantile_table(df, ["x"], [0.5], ["med"], by=["label"]).collect()}
+    assert med == {k: float(np.median([x for _, x, y in rows if y == k])) for k in (0, 1, None)}
+    from riskframe.operators import profile as P
+    from riskframe.operators import sampling as S
+    for split in (S.stratified_split(df, "label", "id"), S.stratified_folds(df, "label", "id")):
+        assert split.count() == 100
+    ranks = sorted(r["rn"] for r in O.hashed_rank(df, "id", 1, ["label"]).where("label IS NULL").collect())
+    assert ranks == list(range(1, 11))
+    assert sorted(r["label"] is None for r in P.numeric_by_class(df, ["x"], "label").collect()) == [False, False, True]
+
+
+def test_more_hash_digits_give_the_same_ranks(spark):
+    df = spark.range(500).select("id", (F.col("id") % 2).alias("label"))
+    a = {r["id"]: r["rn"] for r in O.hashed_rank(df, "id", 42, ["label"]).collect()}
+    assert a == {r["id"]: r["rn"] for r in O.hashed_rank(df, "id", 42, ["label"], digits=5).collect()}

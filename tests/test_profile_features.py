@@ -203,3 +203,46 @@ def test_constant_column_is_safe_everywhere(spark):
     assert iv["c"] == pytest.approx(0.0)
     assert FE.fit_scaler(df, ["k"])["k"] == (5.0, 1.0)
     assert Q.near_zero_variance(df, ["k"]).first()["near_zero"] is True
+
+
+def test_target_encoding_keeps_rows_without_any_category(spark):
+    from riskframe.operators import features as FE
+    df = spark.createDataFrame([(None, i % 2) for i in range(100)], "c string, y int")
+    out = FE.apply_target_encoding(df, FE.fit_target_encoding(df, "c", "y"), "c")
+    assert out.count() == 100 and {r["c_te"] for r in out.collect()} == {0.5}
+
+
+def test_all_columns_and_all_values_are_reported(spark):
+    from riskframe.operators import profile as P
+    df = spark.range(60).select(*[(F.col("id") * (k + 1)).alias(f"x{k}") for k in range(12)], (F.col("id") % 2).alias("y"),
+                                F.col("id").cast("string").alias("c"))
+    assert P.numeric_by_class(df, [f"x{k}" for k in range(12)], "y").count() == 24
+    assert P.category_counts(df, ["c"]).count() == 60
+    top = P.category_counts(df, ["c"], top=5).collect()
+    assert sum(r["count"] for r in top) == 60 and [r["count"] for r in top if r["value"] is None] == [55]
+    listed = P.category_counts(df, ["c", "y"], max_distinct=50).collect()
+    assert [(r["feature"], r["count"], r["rank"]) for r in listed if r["value"] is None] == [("c", 60, 0)]
+
+
+def test_target_distribution_leaves_nulls_out(spark):
+    from riskframe.operators import profile as P
+    df = spark.createDataFrame([(None,)] * 10 + [(0,)] * 40 + [(1,)] * 50, "y int")
+    got = P.target_distribution(df, "y").collect()
+    assert len(got) == 2 and got[0]["imbalance_ratio"] == 1.25 and not got[0]["imbalanced"]
+
+
+def test_level_names_with_dots_train(spark):
+    from riskframe.operators import features as FE
+    rows = [(float(i), "St. Louis" if i % 3 else "a.b`c", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "x double, city string, y int")
+    p = FE.fit_preprocessor(df, ["x"], ["city"])
+    assert p.feature_names == ["x", "city_a.b`c"]
+    v = FE.assemble(p.transform(df), p.feature_cols).select("features").first()[0]
+    assert len(v) == 2
+
+
+def test_expected_loss_without_amounts_raises(spark):
+    from riskframe.operators import decisions as D
+    df = spark.createDataFrame([(0.1 * i, i % 2) for i in range(10)], "risk_score double, defaulted int")
+    with pytest.raises(ValueError):
+        D.best_thresholds(D.threshold_sweep(df, amount_col=None), "expected_loss")
