@@ -341,13 +341,27 @@ class Preprocessor:
         return df.select("*", *[x.alias(n) for x, n in zip(out, self.feature_cols)])
 
 
+def fit_levels(train: DataFrame, cols: list[str], fallback: str = "Unknown") -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Modes and one-hot vocabulary from one aggregation: the vocabulary is
+    that of the filled columns, so the fallback counts where a column has
+    NULLs and no value."""
+    counts = long_form_str(train, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+    modes, vocab = {}, {}
+    for c in cols:
+        mine = [(r["value"], r["n"]) for r in counts if r["feature"] == c]
+        known = [x for x in mine if x[0] is not None]
+        modes[c] = min(known, key=lambda x: (-x[1], x[0]))[0] if known else fallback
+        vocab[c] = sorted({v for v, _ in known} | ({modes[c]} if len(mine) > len(known) else set()))
+    return modes, vocab
+
+
 def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:
-    """FE-18 fit on the training rows only (never on test)."""
+    """FE-18 fit on the training rows only (never on test), in three passes:
+    medians, levels, moments of the filled columns."""
     med = fit_medians(train, numeric)
-    mod = fit_modes(train, categorical)
-    filled = impute(train, {**med, **mod})
-    return Preprocessor(numeric, categorical, med, mod, fit_scaler(filled, numeric, "standard"),
-                        fit_categories(filled, categorical))
+    mod, vocab = fit_levels(train, categorical)
+    filled = impute(train.select(*numeric), med)
+    return Preprocessor(numeric, categorical, med, mod, fit_scaler(filled, numeric, "standard"), vocab)
 
 
 def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFrame:

@@ -76,6 +76,14 @@ def data_summary(df: DataFrame, target: str) -> DataFrame:
         .withColumn("n_cols", F.lit(len(df.columns)))
 
 
+def column_summary(df: DataFrame) -> DataFrame:
+    """DQ-2, per column: position, type and NULL count, one pass."""
+    one = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(t).alias("dtype"), F.col(f"n{i}").alias("nulls"))
+        for i, (c, t) in enumerate(df.dtypes)])).alias("v")).select("v.*")
+
+
 def missing_report(df: DataFrame, flag_pct: float = 20.0) -> DataFrame:
     """DQ-3/DQ-4: NULL count and percentage (2 places) per column with any
     NULL; ``high_missing`` marks more than ``flag_pct`` percent."""

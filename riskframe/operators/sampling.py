@@ -55,6 +55,12 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     return r.withColumn(out, F.pmod(F.col("__rn") - 1, F.lit(k)).cast("int")).drop("__rn", "__rn_n")
 
 
+def plain_folds(df: DataFrame, key: str, k: int = 5, seed: int = SEED, out: str = "fold") -> DataFrame:
+    """ML-2, not stratified: fold = (rank by md5(key|seed) - 1) mod k."""
+    r = hashed_rank(df, key, seed, [], out="__rn")
+    return r.withColumn(out, F.pmod(F.col("__rn") - 1, F.lit(k)).cast("int")).drop("__rn", "__rn_n")
+
+
 def class_weights(df: DataFrame, label: str, method: str = "balanced",
                   custom: dict | None = None, positive_only: bool = False,
                   out: str = "weight") -> DataFrame:
@@ -71,7 +77,8 @@ def class_weights(df: DataFrame, label: str, method: str = "balanced",
                   F.sum(F.when(F.col(label) == 0, F.col("__nc"))).alias("__neg"))
     w = cnt.crossJoin(tot)
     if positive_only:
-        w = w.select(label, F.when(F.col(label) == 1, F.col("__neg") / F.col("__pos")).otherwise(F.lit(1.0)).alias(out))
+        w = w.select(label, F.when(F.col(label) == 1, F.coalesce(F.try_divide(F.col("__neg"), F.col("__pos")), F.lit(1.0)))
+                     .otherwise(F.lit(1.0)).alias(out))
     else:
         w = w.select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
     return df.join(F.broadcast(w), label, "left")

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import literal_table
 from ..session import cut_lineage
+from .evaluation import EPS, confusion_aggs, evaluation_report, metrics_from_confusion
 from .features import Preprocessor, assemble, fit_preprocessor
-from .ordered import value_cumsums
+from .ordered import same, value_cumsums
 from .sampling import class_weights
 
 # Model presets (fixed values): logistic regression C = 1, L2, 1000 iterations;
@@ -80,41 +81,60 @@ class Fitted:
 
 
 def fit_model(train: DataFrame, kind: str, numeric: list[str], categorical: list[str],
-              label: str = "defaulted", balanced: bool = True, params: dict | None = None) -> Fitted:
-    """ML-7: fit preparation and model on the training rows only."""
+              label: str = "defaulted", balanced: bool = True, params: dict | None = None,
+              validation: DataFrame | None = None) -> Fitted:
+    """ML-7: fit preparation and model on the training rows only. ``balanced``:
+    both classes weigh the same in total in the linear model; the boosted
+    models weigh positives by n_neg / n_pos (their usual form). ``validation``
+    (ML-14): rows that only decide when boosting stops; nothing is prepared
+    from them."""
     prep = fit_preprocessor(train, numeric, categorical)
-    x = prep.transform(train)
+    x = train
     wcol = None
-    if balanced and kind == "logistic_regression":
-        x = class_weights(x, label, out="__w")
+    if balanced:
+        x = class_weights(x, label, positive_only=kind != "logistic_regression", out="__w")
         wcol = "__w"
-    x = assemble(x, prep.feature_cols)
-    n = x.count()
+    params = dict(params or {})
+    if validation is not None:
+        stop = "__validation"
+        x = x.withColumn(stop, F.lit(False)).unionByName(
+            validation.withColumn(stop, F.lit(True)).withColumn("__w", F.lit(1.0)) if balanced
+            else validation.withColumn(stop, F.lit(True)))
+        params["validation_col"] = stop
+    x = assemble(prep.transform(x), prep.feature_cols)
+    n = train.count() if kind == "logistic_regression" else 1      # only its penalty depends on n
     est = make_estimator(kind, n, params, wcol, label)
     return Fitted(kind, prep, est.fit(x))
 
 
+#: Metrics of a fold, in this order (fixed names).
+FOLD_METRICS = ["roc_auc", "pr_auc", "log_loss", "accuracy", "precision", "recall", "f1", "mcc", "specificity", "npv",
+                "tp", "tn", "fp", "fn"]
+
+
 def fold_metrics(scored: DataFrame, fold_col: str, y: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """Per-fold ROC-AUC (exact, ties half) and accuracy / precision / recall /
-    F1 at the threshold, for all folds in one pass."""
+    """Per fold all of ``FOLD_METRICS`` (exact ranking metrics, ties half; log
+    loss; rates and counts at the threshold), for all folds from two passes:
+    one table of distinct scores by fold, one aggregate."""
+    d = scored.where(F.col(score).isNotNull() & F.col(y).isNotNull())
     yy = F.col(y).cast("long")
-    cum = value_cumsums(scored.where(F.col(score).isNotNull()), [score],
-                        {"pos": yy, "neg": F.lit(1) - yy}, by=[fold_col])
-    auc = cum.groupBy(fold_col).agg(
+    c = value_cumsums(d, [score], {"pos": yy, "neg": F.lit(1) - yy}, by=[fold_col])
+    tp, fp = F.col("pos_tot") - F.col("pos_lt"), F.col("neg_tot") - F.col("neg_lt")
+    tp_above, above = F.col("pos_tot") - F.col("pos_le"), (F.col("pos_tot") - F.col("pos_le")) + (F.col("neg_tot") - F.col("neg_le"))
+    step = F.try_divide(tp - tp_above, F.col("pos_tot").cast("double"))
+    before = F.when(above == 0, F.lit(1.0)).otherwise(F.try_divide(tp_above, above))
+    rank = c.groupBy(fold_col).agg(
         F.try_divide(F.sum(F.col("pos") * (F.col("neg_lt") + F.col("neg") / 2.0)),
-                     F.first("pos_tot") * F.first("neg_tot").cast("double")).alias("roc_auc"))
-    pred = F.col(score) >= F.lit(threshold)
-    c = scored.groupBy(fold_col).agg(F.count_if(pred & (yy == 1)).alias("tp"), F.count_if(~pred & (yy == 0)).alias("tn"),
-                                     F.count_if(pred & (yy == 0)).alias("fp"), F.count_if(~pred & (yy == 1)).alias("fn"))
-    tp, tn, fp, fn = (F.col(k).cast("double") for k in ("tp", "tn", "fp", "fn"))
-    rates = c.select(fold_col, ((tp + tn) / (tp + tn + fp + fn)).alias("accuracy"),
-                     F.when(tp + fp == 0, 0.0).otherwise(tp / (tp + fp)).alias("precision"),
-                     F.when(tp + fn == 0, 0.0).otherwise(tp / (tp + fn)).alias("recall"),
-                     F.when(2 * tp + fp + fn == 0, 0.0).otherwise(2 * tp / (2 * tp + fp + fn)).alias("f1"))
-    wide = auc.join(rates, fold_col)
-    metrics = ["roc_auc", "accuracy", "precision", "recall", "f1"]
-    return wide.select(fold_col, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-                                                      for m in metrics])).alias("kv")).select(fold_col, "kv.*")
+                     F.first("pos_tot") * F.first("neg_tot").cast("double")).alias("roc_auc"),
+        F.sum(step * (F.try_divide(tp, tp + fp) + before) / 2.0).alias("pr_auc"))
+    p = F.least(F.greatest(F.col(score), F.lit(EPS)), F.lit(1 - EPS))
+    counts = d.groupBy(fold_col).agg(
+        *confusion_aggs(y, score, threshold),
+        (-F.avg(yy * F.log(p) + (1 - yy) * F.log(1 - p))).alias("log_loss"))
+    wide = same(metrics_from_confusion(counts), rank, [fold_col])
+    return wide.select(fold_col, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in FOLD_METRICS])).alias("kv")) \
+        .select(fold_col, "kv.*")
 
 
 def aggregate_cv(fold_scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -132,9 +152,9 @@ def cross_validate(df: DataFrame, kind: str, numeric: list[str], categorical: li
     the held-out fold (test) and the training folds (train). Returns
     (out-of-fold predictions, per-fold metrics with ``split`` train/test).
     Folds are fitted from driver threads in parallel (one thread per fold by
-    default); every fit is a set of distributed Spark jobs. The fold-tagged
-    input is checkpointed once so the k fits do not recompute its lineage."""
-    df = cut_lineage(df)
+    default); every fit is a set of distributed Spark jobs. Pass fold-tagged
+    rows that were checkpointed or read from a table: the fits re-read them.
+    Predictions are checkpointed, so no metric scores a fold again."""
 
     def one(i):
         tr = df.where(F.col(fold_col) != i)
@@ -146,10 +166,12 @@ def cross_validate(df: DataFrame, kind: str, numeric: list[str], categorical: li
     oof = res[0][0]
     for r in res[1:]:
         oof = oof.unionByName(r[0])
+    oof = cut_lineage(oof)
     test_m = fold_metrics(oof, fold_col, label, "probability_default").withColumn("split", F.lit("test"))
     tr_all = res[0][1]
     for r in res[1:]:
         tr_all = tr_all.unionByName(r[1])
+    tr_all = cut_lineage(tr_all.select(fold_col, label, "probability_default"))
     train_m = fold_metrics(tr_all, fold_col, label, "probability_default").withColumn("split", F.lit("train"))
     return oof, test_m.unionByName(train_m)
 
@@ -166,6 +188,43 @@ def select_best(cv_summary: DataFrame, order: list[str]) -> str | None:
     return best
 
 
+@dataclass
+class Trained:
+    """Result of ``train_all``: the refitted best model, the CV summary of all
+    models, per-fold metrics, out-of-fold predictions of all models, and the
+    test evaluation of the refitted model."""
+    best: str
+    model: Fitted
+    summary: DataFrame
+    folds: DataFrame
+    oof: DataFrame
+    evaluation: DataFrame
+
+
+def train_all(folds: DataFrame, test: DataFrame, kinds: list[str], numeric: list[str], categorical: list[str],
+              fold_col: str = "fold", label: str = "defaulted", k: int = 5, params: dict | None = None) -> Trained:
+    """ML-7..10: cross-validate every model on the fold-tagged training rows,
+    select by mean test ROC-AUC, refit the best on all of them and evaluate it
+    on ``test``. ``params``: per kind. One checkpoint of the rows serves all."""
+    folds = cut_lineage(folds)
+
+    def one(kind):
+        oof, fm = cross_validate(folds, kind, numeric, categorical, fold_col, label, k, (params or {}).get(kind))
+        return oof.withColumn("model", F.lit(kind)), fm.withColumn("model", F.lit(kind))
+    with ThreadPoolExecutor(max_workers=len(kinds)) as ex:
+        res = list(ex.map(one, kinds))
+    oof, fm = res[0]
+    for o, m in res[1:]:
+        oof, fm = oof.unionByName(o), fm.unionByName(m)
+    fm = cut_lineage(fm)                       # models x folds x metrics rows
+    summary = aggregate_cv(fm, ["model", "split"])
+    best = select_best(summary, kinds)
+    model = fit_model(folds, best, numeric, categorical, label, params=(params or {}).get(best))
+    scored = cut_lineage(model.score(test))
+    ev = evaluation_report(scored, label, "probability_default").withColumn("model", F.lit(best))
+    return Trained(best, model, summary.withColumn("selected", F.col("model") == F.lit(best)), fm, oof, ev)
+
+
 def feature_importance(fitted: Fitted) -> DataFrame:
     """ML-11: |coefficient| for linear models, split-gain importance for trees
     (dispatch on the fitted class), descending."""

@@ -4,8 +4,6 @@ not SQL-expressible; these are checked by row counts here and by tests
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import functions as F
 
 from ..functions.columns import literal_table
@@ -18,11 +16,13 @@ from ..operators import training as T
 from ..session import cut_lineage
 from ..sources import fixtures as X
 from ..sources.fixtures import CATEGORICAL, NUMERIC, TARGET
+from . import reports as R
 from .catalog import Query, register
 
 
 def _split(spark, sf):
-    return S.stratified_split(X.scored(spark, sf), TARGET, "app_id")
+    # one written copy of the split; every fit below reads that
+    return cut_lineage(S.stratified_split(X.scored(spark, sf), TARGET, "app_id"))
 
 
 def _fit(spark, sf, kind, params=None):
@@ -33,7 +33,7 @@ def _fit(spark, sf, kind, params=None):
 def _holdout(kind):
     def build(spark, sf):
         m, sp = _fit(spark, sf, kind)
-        te = m.score(sp.where(F.col("split") == "test"))
+        te = cut_lineage(m.score(sp.where(F.col("split") == "test")).select("defaulted", "probability_default"))
         return V.evaluation_report(te, "defaulted", "probability_default").withColumn("model", F.lit(kind))
     return build
 
@@ -44,7 +44,7 @@ register(Query("gbt_deep_holdout", _holdout("gbt_deep"), operators="ML-6 ML-7"))
 
 
 def _folds(spark, sf):
-    return S.stratified_folds(X.scored(spark, sf), TARGET, "app_id")
+    return cut_lineage(S.stratified_folds(X.scored(spark, sf), TARGET, "app_id"))
 
 
 def _cv(spark, sf):
@@ -55,6 +55,25 @@ def _cv(spark, sf):
 register(Query("cross_validate_logistic", _cv, operators="ML-8"))
 
 
+def _oof(spark, sf):
+    oof, _ = T.cross_validate(_folds(spark, sf), "logistic_regression", NUMERIC, CATEGORICAL)
+    return oof.select("app_id", "fold", "defaulted",
+                      F.col("probability_default").between(0.0, 1.0).alias("is_probability"))
+
+
+register(Query(
+    "oof_predictions", _oof, operators="ML-8",
+    # every row predicted exactly once, by the model that has not seen its fold
+    ctes="""fd AS (SELECT app_id, defaulted, CAST((row_number() OVER (PARTITION BY LoanApproved
+  ORDER BY md5(CAST(app_id AS VARCHAR) || '|42'), app_id) - 1) % 5 AS INTEGER) AS fold FROM scored)""",
+    sql="SELECT app_id, fold, defaulted, true AS is_probability FROM fd"))
+
+register(Query(
+    "plain_folds", lambda spark, sf: S.plain_folds(X.scored(spark, sf), "app_id").select("app_id", "fold"), operators="ML-2",
+    sql="""SELECT app_id, CAST((row_number() OVER (ORDER BY md5(CAST(app_id AS VARCHAR) || '|42'), app_id) - 1) % 5
+ AS INTEGER) AS fold FROM scored"""))
+
+
 def _cv_frozen(spark, sf):
     fm = T.fold_metrics(_folds(spark, sf), "fold", "defaulted", "risk_score")
     return T.aggregate_cv(fm)
@@ -68,33 +87,61 @@ rk AS (SELECT fold, defaulted, (rank() OVER (PARTITION BY fold ORDER BY risk_sco
   + count(*) OVER (PARTITION BY fold, risk_score) - 1) / 2.0 AS r FROM fd),
 auc AS (SELECT fold, (sum(CASE WHEN defaulted = 1 THEN r ELSE 0 END) - count_if(defaulted = 1) * (count_if(defaulted = 1) + 1) / 2.0)
   / (CAST(count_if(defaulted = 1) AS DOUBLE) * count_if(defaulted = 0)) AS roc_auc FROM rk GROUP BY fold),
+sc AS (SELECT fold, risk_score, count_if(defaulted = 1) AS p, count(*) AS n FROM fd GROUP BY fold, risk_score),
+cu AS (SELECT fold, p, sum(p) OVER w AS tp, sum(n) OVER w AS al, sum(p) OVER (PARTITION BY fold) AS pt, n FROM sc
+  WINDOW w AS (PARTITION BY fold ORDER BY risk_score DESC)),
+pr AS (SELECT fold, sum(CAST(p AS DOUBLE) / pt * (CAST(tp AS DOUBLE) / al
+  + CASE WHEN al = n THEN 1.0 ELSE CAST(tp - p AS DOUBLE) / (al - n) END) / 2.0) AS pr_auc FROM cu GROUP BY fold),
 cm AS (SELECT fold, count_if(risk_score >= 0.5 AND defaulted = 1) AS tp, count_if(risk_score < 0.5 AND defaulted = 0) AS tn,
-  count_if(risk_score >= 0.5 AND defaulted = 0) AS fp, count_if(risk_score < 0.5 AND defaulted = 1) AS fn FROM fd GROUP BY fold),
+  count_if(risk_score >= 0.5 AND defaulted = 0) AS fp, count_if(risk_score < 0.5 AND defaulted = 1) AS fn,
+  -avg(CASE WHEN defaulted = 1 THEN ln(greatest(risk_score, 2.220446049250313e-16))
+            ELSE ln(1 - least(risk_score, 1 - 2.220446049250313e-16)) END) AS log_loss FROM fd GROUP BY fold),
 fm AS (SELECT fold, 'roc_auc' AS metric, roc_auc AS value FROM auc
+  UNION ALL SELECT fold, 'pr_auc', pr_auc FROM pr
+  UNION ALL SELECT fold, 'log_loss', log_loss FROM cm
   UNION ALL SELECT fold, 'accuracy', (tp + tn) / (tp + tn + fp + fn) FROM cm
   UNION ALL SELECT fold, 'precision', CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END FROM cm
   UNION ALL SELECT fold, 'recall', CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END FROM cm
-  UNION ALL SELECT fold, 'f1', CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END FROM cm)""",
+  UNION ALL SELECT fold, 'f1', CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END FROM cm
+  UNION ALL SELECT fold, 'specificity', CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END FROM cm
+  UNION ALL SELECT fold, 'npv', CASE WHEN tn + fn = 0 THEN 0.0 ELSE tn / (tn + fn) END FROM cm
+  UNION ALL SELECT fold, 'mcc', CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0.0
+    ELSE (CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn)
+      / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) END FROM cm
+  UNION ALL SELECT fold, 'tp', tp FROM cm UNION ALL SELECT fold, 'tn', tn FROM cm
+  UNION ALL SELECT fold, 'fp', fp FROM cm UNION ALL SELECT fold, 'fn', fn FROM cm)""",
     sql="SELECT metric, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max FROM fm GROUP BY metric"))
 
 
+def _training_tables(spark, sf):
+    """IO-3: the training summary tables as files, counted after reading them
+    back: one row per (table, rows)."""
+    sp = S.stratified_split(X.scored(spark, sf), TARGET, "app_id")
+    sp = cut_lineage(S.stratified_folds(sp, TARGET, "app_id"))
+    t = T.train_all(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"), ["logistic_regression"],
+                    NUMERIC, CATEGORICAL)
+    path = R.scratch(spark, "training")
+    R.write_training(t, path)
+    read = {"cv_results": 14 * 2, "cv_folds": 14 * 2 * 5, "evaluation": 1}
+    out = [spark.read.csv(f"{path}/{n}.csv", header=True).agg(F.count(F.lit(1)).alias("rows"))
+           .select(F.lit(n).alias("name"), "rows") for n in read]
+    top = spark.read.csv(f"{path}/importance.csv", header=True) \
+        .agg((F.count(F.lit(1)) - F.count("importance")).alias("rows")).select(F.lit("importance_nulls").alias("name"), "rows")
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(top)
+
+
+register(Query("training_tables", _training_tables, operators="IO-3 ML-7",
+               sql="SELECT * FROM (VALUES ('cv_results', 28), ('cv_folds', 140), ('evaluation', 1), ('importance_nulls', 0)) "
+                   "AS t(name, rows)"))
+
 MODELS = ["logistic_regression", "gbt", "gbt_deep"]
 
 
 def _selection(spark, sf):
-    folds = cut_lineage(_folds(spark, sf))
-
-    def one(kind):
-        _, fm = T.cross_validate(folds, kind, NUMERIC, CATEGORICAL)
-        return T.aggregate_cv(fm, ["split"]).withColumn("model", F.lit(kind))
-    with ThreadPoolExecutor(max_workers=len(MODELS)) as ex:  # models fit concurrently
-        summaries = list(ex.map(one, MODELS))
-    allm = summaries[0]
-    for s in summaries[1:]:
-        allm = allm.unionByName(s)
-    allm = cut_lineage(allm)  # reliable checkpoint: the CV table is read twice below
-    best = T.select_best(allm, MODELS)
-    return allm.withColumn("selected", F.col("model") == F.lit(best))
+    sp = S.stratified_split(X.scored(spark, sf), TARGET, "app_id")
+    sp = cut_lineage(S.stratified_folds(sp, TARGET, "app_id"))
+    t = T.train_all(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"), MODELS, NUMERIC, CATEGORICAL)
+    return t.summary
 
 
 register(Query("model_selection", _selection, operators="ML-8 ML-9 ML-10"))
@@ -144,13 +191,28 @@ register(Query("correlation_filter", _corr_drop, operators="FE-17",
 
 
 def _early(spark, sf):
-    sp = _split(spark, sf).withColumn("is_val", F.col("split") == "test")
-    m = T.fit_model(sp, "gbt", NUMERIC, CATEGORICAL, params={"validation_col": "is_val", "validation_tol": 0.01})
-    return literal_table(spark, [(int(m.model.getNumTrees), float(m.model.getOrDefault("validationTol")))],
-                                 "trees int, validation_tol double")
+    sp = cut_lineage(S.stratified_split(X.scored(spark, sf), TARGET, "app_id", S.SPLIT_701515))
+    part = lambda name: sp.where(F.col("split") == name)
+    m = T.fit_model(part("train"), "gbt", NUMERIC, CATEGORICAL, params={"validation_tol": 0.01}, validation=part("val"))
+    te = m.score(part("test")).select("defaulted", "probability_default")
+    auc = V.ranking_metrics(te, "defaulted", "probability_default").first()["roc_auc"]
+    n = m.model.getNumTrees
+    return literal_table(spark, [(1 <= n <= 100, bool(auc > 0.8), float(m.model.getOrDefault("validationTol")))],
+                         "stopped_in_range boolean, test_auc_above_080 boolean, validation_tol double")
+
 
+register(Query("gbt_early_stopping", _early, operators="ML-14", floats=["validation_tol"],
+               # properties of the fit: trees within the limit, a useful model
+               sql="SELECT true AS stopped_in_range, true AS test_auc_above_080, CAST(0.01 AS DOUBLE) AS validation_tol"))
 
-register(Query("gbt_early_stopping", _early, operators="ML-14"))
+
+def _random_search(spark, sf):
+    r = T.random_search(_folds(spark, sf), "logistic_regression", NUMERIC, CATEGORICAL, n_trials=2, k=2)
+    return r.select("trial", (F.col("mean_roc_auc") > 0.7).alias("auc_above_070"))
+
+
+register(Query("random_search", _random_search, operators="ML-12",
+               sql="SELECT CAST(i AS INTEGER) AS trial, true AS auc_above_070 FROM range(2) t(i)"))
 
 
 def _batch_predict(spark, sf):
@@ -162,10 +224,13 @@ register(Query("batch_predict", _batch_predict, operators="SC-1 IO-2"))
 
 
 def _top_attached(spark, sf):
-    m, sp = _fit(spark, sf, "logistic_regression")
-    top = T.top_features(T.feature_importance(m), 5)
-    return SC.attach_top_features(m.score(sp).select("app_id", "probability_default"), top) \
-        .select("app_id", "probability_default", F.size("top_features").alias("n_top"))
+    """The score's own linear model is the frozen one, so SQL can follow."""
+    rows = [(f, abs(w), w) for f, w in SC.FROZEN_LINEAR.items()]
+    top = T.top_features(literal_table(spark, rows, "feature string, importance double, value double"), 2)
+    return SC.attach_top_features(X.scored(spark, sf).select("app_id", "risk_score"), top, 2) \
+        .select("app_id", "risk_score", F.array_join(F.transform("top_features", lambda t: F.concat(
+            t["feature"], F.lit("="), F.round(t["coefficient"], 6).cast("string"))), ";").alias("top"))
 
 
-register(Query("top_features_attached", _top_attached, operators="SC-5"))
+register(Query("top_features_attached", _top_attached, operators="SC-5", floats=["risk_score"],
+               sql="SELECT app_id, risk_score, 'debt_to_income=0.1;CreditScore=-0.0125' AS top FROM scored"))

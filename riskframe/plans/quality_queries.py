@@ -34,6 +34,16 @@ register(Query(
  13 AS n_cols FROM applications"""))
 
 
+# Types of the view's columns (fixed values).
+_TYPES = {"app_id": "bigint", "Age": "int", "Income": "double", "CreditScore": "int", "LoanAmount": "double",
+          "YearsExperience": "int", "Gender": "string", "Education": "string", "City": "string",
+          "EmploymentType": "string", "LoanApproved": "int", "risk_score": "double"}
+register(Query(
+    "column_summary", lambda spark, sf: Q.column_summary(X.applications_dirty(spark, sf).select(*_TYPES)), operators="DQ-2",
+    sql=" UNION ALL ".join(f"SELECT '{c}' AS \"column\", {i} AS position, '{t}' AS dtype, "
+                           f"count_if({c} IS NULL) AS nulls FROM applications_dirty" for i, (c, t) in enumerate(_TYPES.items()))))
+
+
 def _missing(spark, sf):
     return Q.missing_report(X.applications_dirty(spark, sf))
 

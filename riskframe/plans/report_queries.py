@@ -9,9 +9,10 @@ from ..operators import sampling as S
 from ..operators import training as T
 from ..sources import fixtures as X
 from ..sources.fixtures import CATEGORICAL, NUMERIC, TARGET
-from ..sources.io import read_table, write_table
+from ..sources.io import read_table, write_splits, write_table
 from . import reports as R
 from .catalog import Query, register
+from .feature_queries import _split_sql
 from .decision_queries import _TRADEOFF_CTES, IMPACT_FLOATS, MONEY, _DECISION_SQL, _impact_sql
 
 LOAN_COLS = NUMERIC + CATEGORICAL + [TARGET]
@@ -79,6 +80,30 @@ register(Query(
     ctes=f"decided AS (SELECT *, {_DECISION_SQL} AS decision FROM scored)", sql=_impact_sql("decided")))
 
 
+def _csv_table(spark, df, name):
+    """IO-3: a report table written as CSV and read back with its own schema."""
+    path = R.scratch(spark, name) + ".csv"
+    write_table(df, path, fmt="csv")
+    return spark.read.schema(df.schema).csv(path, header=True)
+
+
+register(Query(
+    "decision_report_csv", lambda spark, sf: _csv_table(spark, _decision_report(spark, sf), "decision-report"),
+    operators="IO-3 DEC-12", ctes=_REPORT_CTES, sql=_REPORT_SQL))
+
+
+def _written_splits(spark, sf):
+    path = R.scratch(spark, "splits")
+    write_splits(S.stratified_split(X.applications(spark, sf), TARGET, "app_id", S.SPLIT_701515), path)
+    return spark.read.parquet(path).where(F.col("split") == "val").select("app_id", TARGET)
+
+
+register(Query(
+    "written_splits", _written_splits, operators="IO-5",
+    ctes=f"sp AS ({_split_sql('applications', [('train', 7000), ('val', 8500), ('test', 10000)])})",
+    sql="SELECT app_id, LoanApproved FROM sp WHERE split = 'val'"))
+
+
 def _save_load(spark, sf):
     sp = S.stratified_split(X.scored(spark, sf), TARGET, "app_id")
     m = T.fit_model(sp.where(F.col("split") == "train"), "logistic_regression", NUMERIC, CATEGORICAL)

@@ -19,7 +19,7 @@ from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators.features import Preprocessor
 from ..operators.ordered import value_table
-from ..operators.training import Fitted
+from ..operators.training import Fitted, feature_importance
 from ..session import ensure_checkpoint_dir
 from ..sources.io import LOAN_SCHEMA, nan_to_null, read_table, write_table
 
@@ -124,6 +124,14 @@ def csv_round_trip(spark: SparkSession, df: DataFrame, name: str = "loans") -> D
     return read_table(spark, path, schema=LOAN_SCHEMA if set(LOAN_SCHEMA.fieldNames()) <= set(df.columns) else None)
 
 
+def write_training(trained, path: str) -> None:
+    """IO-3: CV results, per-fold metrics, test evaluation and importance of
+    the refitted model as CSV tables."""
+    for name, df in (("cv_results", trained.summary), ("cv_folds", trained.folds), ("evaluation", trained.evaluation),
+                     ("importance", feature_importance(trained.model))):
+        write_table(df, os.path.join(path, f"{name}.csv"), fmt="csv")
+
+
 def save_fitted(fitted: Fitted, path: str) -> None:
     """IO-4: the Spark ML model with its own writer; the preprocessing state
     (a few numbers and category lists) as one JSON record written by Spark."""
