@@ -38,12 +38,12 @@ from .common import stored, text_or_empty
 
 HOT = 1 << 18
 CLASSES = 32
-GROUPS = 6
+GROUPS = 8
 #: Weight rows per feature.
 BIGRAM, TRIGRAM, SKIP = 1 << 15, 1 << 15, 1 << 14
 ROWS = BIGRAM + TRIGRAM + SKIP
 ROUNDS = 1
-RATE = 0.3
+RATE = 0.1
 BATCH = 16_384
 #: Bytes of text that are turned into token arrays at a time.
 CHUNK_BYTES = 4 << 20
@@ -272,22 +272,24 @@ def _sum_blocks(batches):
                                          schema=_UPDATE)
 
 
-def _grouped(sketch: np.ndarray, count: np.ndarray, groups: int) -> np.ndarray:
-    """Group of each hot word: k-means over mean sketches, weighted by count."""
+def _grouped(sketch: np.ndarray, count: np.ndarray, groups: int, tries: int = 4) -> np.ndarray:
+    """Group of each hot word: k-means++ over mean sketches, the best of some
+    starts, fitted on the 20,000 most frequent words."""
     if not len(count):
         return np.zeros(0, dtype=np.int64)
-    x = sketch - np.average(sketch, axis=0, weights=count)
-    lead = np.argsort(-count)[:20_000]
-    c = x[lead[:1]]
-    while len(c) < min(groups, len(lead)):               # farthest points first, among the frequent
-        far = ((x[lead[:2000], None, :] - c[None]) ** 2).sum(-1).min(axis=1)
-        c = np.vstack([c, x[lead[:2000]][far.argmax()]])
-    for _ in range(15):
-        near = ((x[lead, None, :] - c[None]) ** 2).sum(-1).argmin(axis=1)
-        for g in range(len(c)):
-            if (near == g).any():
-                c[g] = np.average(x[lead][near == g], axis=0, weights=count[lead][near == g])
-    return np.concatenate([((p[:, None, :] - c[None]) ** 2).sum(-1).argmin(axis=1) for p in np.array_split(x, max(len(x) // 8192, 1))])
+    y = sketch[np.argsort(-count, kind="stable")[:20_000]]
+    rng = np.random.default_rng(7)
+    far = lambda x, c: ((x[:, None, :] - c[None]) ** 2).sum(-1)
+    best = (math.inf, y[:1])
+    for _ in range(tries):
+        c = y[:1]
+        while len(c) < groups and (d := far(y, c).min(axis=1)).any():
+            c = np.vstack([c, y[rng.choice(len(y), p=d / d.sum())]])
+        for _ in range(15):
+            near = far(y, c).argmin(axis=1)
+            c = np.stack([y[near == g].mean(axis=0) if (near == g).any() else c[g] for g in range(len(c))])
+        best = min(best, (float(far(y, c).min(axis=1).sum()), c), key=lambda b: b[0])
+    return np.concatenate([far(x, best[1]).argmin(axis=1) for x in np.array_split(sketch, max(len(sketch) // 8192, 1))])
 
 
 def _balanced(group: np.ndarray, count: np.ndarray, classes: int) -> np.ndarray:
