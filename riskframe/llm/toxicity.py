@@ -1,7 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
 1. *Token log-odds with a Dirichlet prior.* From labelled training documents:
-   for each token the number of toxic and clean documents that hold it. The
+   for each token, and for each beginning of ``PREFIX`` bytes that a token not
+   in the table falls back to, the number of toxic and clean documents. The
    prior of a token is its share of all of them, worth ``PRIOR`` documents a class;
    the log-odds ratio is kept where its z-score passes ``MIN_Z``. Every other
    token scores ``-DRIFT``, which makes the expected score negative.
@@ -12,8 +13,8 @@
    E[exp(lambda s)] = 1 over clean tokens; K is its maximum-likelihood value
    over clean documents. A segment is significant by its normalised score
    lambda x - ln(K n). A logistic fit over the best and the summed normalised
-   scores, on labelled documents that the log-odds have not seen, turns them
-   into a probability.
+   scores turns them into a probability. Both are fitted on labelled documents
+   that the log-odds have not seen; the final log-odds then use all of them.
 
 The classifier is fitted on at most ``SAMPLE`` labelled documents, taken in the
 order of a hash; every document is scored, over its whole text.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, rows, text_or_empty
+from .common import batches_of, rows, stored, text_or_empty
 
 #: Bound of the labelled sample that the classifier is fitted on.
 SAMPLE = 50_000
@@ -41,6 +42,7 @@ MAX_TOKENS = 100_000
 PRIOR = 500.0
 MIN_Z = 3.0
 DRIFT = 0.05
+PREFIX = 4
 #: Share of the sample kept from the log-odds for the calibration: 1 in so many.
 CALIBRATE_1_IN = 4
 
@@ -53,6 +55,18 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split()
 
 
+def beginning(token: bytes) -> bytes:
+    """What a token falls back to; no token starts with ``^``."""
+    return b"^" + token[:PREFIX]
+
+
+def scored_tokens(toks: list[bytes], table: dict[bytes, float]) -> list[tuple[int, float]]:
+    """(position, log-odds) of the tokens that the table knows, whole or by
+    their beginning."""
+    get = table.get
+    return [(i, s) for i, t in enumerate(toks) if (s := get(t) or get(b"^" + t[:PREFIX]))]
+
+
 def segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score) of a text
     whose token at each listed position has the listed score and whose other
@@ -88,8 +102,8 @@ class ToxicityModel:
 
     def passages(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Tokens of the text; its segments with normalised scores."""
-        toks, get = tokens(text), self.table
-        hits = [(i, get[t]) for i, t in enumerate(toks) if t in get]
+        toks = tokens(text)
+        hits = scored_tokens(toks, self.table)
         base = math.log(self.k * max(len(toks), 1))
         return len(toks), [(a, b, self.lam * s - base) for a, b, s in segments(hits, self.drift)]
 
@@ -107,29 +121,32 @@ def held_out(doc_id: Column, fold: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % fold == 0
 
 
-_COUNTS = pa.schema([("token", pa.binary()), ("toxic", pa.int64()), ("clean", pa.int64())])
+_CLASSES = ("toxic", "clean", "cal_toxic", "cal_clean")
+_COUNTS = pa.schema([("token", pa.binary())] + [(c, pa.int64()) for c in _CLASSES])
+_COUNTS_DDL = "token binary, " + ", ".join(f"{c} long" for c in _CLASSES)
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]):
-    """Documents of each class that hold a token, added up per task; flushed
-    when the table is large."""
-    counts = (Counter(), Counter())
-    seen = [0, 0]
+    """Documents of each class, and of those the calibration's, that hold a
+    token or beginning, added up per task; flushed when the table is large. The
+    NULL token counts the documents themselves."""
+    counts = [Counter() for _ in _CLASSES]
 
     def flush():
-        for t in counts[0].keys() | counts[1].keys():
-            yield t, counts[1][t], counts[0][t]
-        counts[0].clear()
-        counts[1].clear()
+        for t in set().union(*counts):
+            yield (t, *(c[t] for c in counts))
+        for c in counts:
+            c.clear()
 
     def out():
-        for text, label in rows(batches):
-            counts[label].update(set(tokens(text)))
-            seen[label] += 1
-            if len(counts[0]) + len(counts[1]) > 500_000:
+        for text, label, cal in rows(batches):
+            held = set(tokens(text))
+            held |= {beginning(t) for t in held}
+            held.add(None)
+            counts[1 - label + 2 * cal].update(held)
+            if sum(map(len, counts)) > 500_000:
                 yield from flush()
         yield from flush()
-        yield None, seen[1], seen[0]        # the documents themselves
 
     return batches_of(out(), _COUNTS)
 
@@ -148,12 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, fold: int = 5, sample: int = SAMP
                            (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(CALIBRATE_1_IN)) == 0).alias("cal"))
     chosen = docs.select(F.col("doc_id").alias("d_id"), text_or_empty().alias("text")) \
         .join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).select("text", "toxic", "cal")
-    counts = chosen.where(~F.col("cal")).select("text", "toxic") \
-        .mapInArrow(_document_counts, "token binary, toxic long, clean long") \
-        .groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    table = _log_odds(counts, max_tokens)
-    model = ToxicityModel(table)
+    counts = stored(chosen.mapInArrow(_document_counts, _COUNTS_DDL).groupBy("token")
+                    .agg(*[F.sum(c).alias(c) for c in _CLASSES]), "toxicity-counts")
+    model = ToxicityModel(_log_odds(counts.select("token", "toxic", "clean"), max_tokens))
     _calibrate(model, chosen.where("cal").select("text", "toxic"), spark)
+    model.table = _log_odds(counts.select("token", (F.col("toxic") + F.col("cal_toxic")).alias("toxic"),
+                                          (F.col("clean") + F.col("cal_clean")).alias("clean")), max_tokens)
     return model
 
 
@@ -181,7 +198,7 @@ def _calibrate(model: ToxicityModel, labelled: DataFrame, spark) -> None:
         """Per document: label, tokens, best segment, squeezed token scores."""
         def one(text, label):
             toks = tokens(text)
-            hits = [(i, table[t]) for i, t in enumerate(toks) if t in table]
+            hits = scored_tokens(toks, table)
             found = [s for *_, s in segments(hits, drift)]
             return label, len(toks), found, [s for _, s in hits]
         return batches_of((one(t, y) for t, y in rows(batches)), _BEST, size=512)
