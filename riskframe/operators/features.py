@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import literal_table
+from ..session import cut_lineage
 from .ordered import quantile_table
 from .profile import long_form_str
 
@@ -180,6 +183,45 @@ def one_hot(df: DataFrame, vocab: dict[str, list[str]], drop_first: bool = True,
     return df.select(*base, *new)
 
 
+def fit_level_index(train: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """FE-8 for columns with any number of levels: (feature, value, position),
+    positions in lexicographic order from 0, and the number of levels per
+    column (all that reaches the driver). Levels are range-partitioned and
+    numbered per partition, so no task and no driver holds a column's levels."""
+    levels = long_form_str(train, cols).where(F.col("value").isNotNull()).distinct()
+    placed = cut_lineage(levels.repartitionByRange("feature", "value").withColumn("bucket", F.spark_partition_id()))
+    own = Window.partitionBy("feature", "bucket").orderBy("value")
+    before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("feature", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # features x partitions rows
+    offsets = counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    index = placed.withColumn("own", F.row_number().over(own)).join(F.broadcast(offsets.drop("n")), ["feature", "bucket"]) \
+        .select("feature", "value", (F.col("off") + F.col("own") - 1).cast("int").alias("position"))
+    sizes = {c: 0 for c in cols} | {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    return index, sizes
+
+
+def one_hot_sparse(df: DataFrame, index: DataFrame, sizes: dict[str, int], out: str = "one_hot") -> DataFrame:
+    """FE-8 as one sparse vector: the blocks of the columns in order, each with
+    its first level dropped; unseen values and NULL are all zeros. Levels meet
+    the rows in a join, which Spark broadcasts or shuffles by size."""
+    cols = [c for c, n in sizes.items() if n > 1]
+    for c in cols:
+        own = index.where(F.col("feature") == c).select(F.col("value").alias("__v"), F.col("position").alias(f"__p_{c}"))
+        df = df.join(own, F.col(f"`{c}`").cast("string") == F.col("__v"), "left").drop("__v")
+        # level 0 and what has no position share the last, dropped category
+        at = F.col(f"`__p_{c}`")
+        df = df.withColumn(f"__i_{c}", F.when(at > 0, at - 1).otherwise(sizes[c] - 1).cast("double")).drop(f"__p_{c}")
+    if not cols:
+        return df.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+    last = literal_table(df.sparkSession, [tuple(float(sizes[c] - 1) for c in cols)],
+                         ", ".join(f"i{k} double" for k in range(len(cols))))
+    enc = OneHotEncoder(inputCols=[f"i{k}" for k in range(len(cols))], outputCols=[f"__o{k}" for k in range(len(cols))])
+    hot = enc.fit(last).transform(df.withColumnsRenamed({f"__i_{c}": f"i{k}" for k, c in enumerate(cols)}))
+    parts = [f"__o{k}" for k in range(len(cols))]
+    return VectorAssembler(inputCols=parts, outputCol=out).transform(hot).drop(*parts, *[f"i{k}" for k in range(len(cols))])
+
+
 def fit_top_categories(train: DataFrame, cols: list[str], k: int = 10) -> dict[str, list[str]]:
     """FE-9 fit: the ``k`` most frequent values per column (ties by value), all
     columns from one aggregation. Ranks are taken in salted slices of a column

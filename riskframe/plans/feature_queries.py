@@ -215,6 +215,25 @@ kept AS (SELECT f, v FROM lv WHERE k > 1)""",
   FROM split s CROSS JOIN kept"""))
 
 
+def _one_hot_sparse(spark, sf):
+    index, sizes = FE.fit_level_index(_train_seen(spark, sf), ["Education", "City"])
+    out = FE.one_hot_sparse(_dirty_split(spark, sf).select("app_id", "Education", "City"), index, sizes)
+    x = vector_to_array(F.col("one_hot"))
+    return out.select("app_id", F.size(x).alias("width"), F.array_join(F.filter(
+        F.transform(x, lambda v, i: F.when(v > 0, i)), lambda i: i.isNotNull()).cast("array<string>"), ",").alias("ones"))
+
+
+register(Query(
+    "one_hot_sparse", _one_hot_sparse, operators="FE-8",
+    ctes=SPLIT_CTES + """,
+voc AS (SELECT 1 AS f, Education AS v FROM train_seen UNION SELECT 2, City FROM train_seen),
+lv AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS k FROM voc),
+kept AS (SELECT f, v, row_number() OVER (ORDER BY f, v) - 1 AS i FROM lv WHERE k > 1)""",
+    sql="""SELECT s.app_id, CAST((SELECT count(*) FROM kept) AS INTEGER) AS width,
+  coalesce(string_agg(CAST(kept.i AS VARCHAR), ',' ORDER BY kept.i), '') AS ones
+  FROM split s LEFT JOIN kept ON (kept.f = 1 AND s.Education = kept.v) OR (kept.f = 2 AND s.City = kept.v) GROUP BY s.app_id"""))
+
+
 def _rare(spark, sf):
     keep = FE.fit_top_categories(_train(spark, sf), ["City"], 10)
     return FE.merge_rare(_dirty_split(spark, sf), keep).select("app_id", "City")

@@ -202,6 +202,24 @@ register(Query(
  FROM decided) t WHERE ws + INTERVAL 7 DAY <= (SELECT max(app_ts) FROM decided) - INTERVAL 14 DAY GROUP BY ALL"""))
 
 
+def _stream_sliding(spark, sf):
+    with utc_session(spark):
+        return M.replay(spark, M.event_time(X.scored(spark, sf)),
+                        lambda s: _fmt(M.sliding_approval(M.score_stream(s), watermark="14 days"),
+                                       ["window_start", "window_end"]),
+                        "sliding", base=_root(spark, "sliding"))
+
+
+register(Query(
+    "stream_sliding_approval", _stream_sliding, operators="ST-3", floats=["approval_rate"], ctes=_DECIDED_CTE,
+    # as in stream_decision_mix: exactly the windows that the watermark has closed
+    sql="""SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+ count(*) AS n, count_if(decision = 'APPROVE') AS approved, count_if(decision = 'APPROVE') / count(*) AS approval_rate,
+ count_if(decision = 'APPROVE') / count(*) < 0.5 OR count_if(decision = 'APPROVE') / count(*) > 0.95 AS alert
+FROM (SELECT date_trunc('day', app_ts) - k * INTERVAL 1 DAY AS ws, decision FROM decided, range(7) r(k)) t
+WHERE ws + INTERVAL 7 DAY <= (SELECT max(app_ts) FROM decided) - INTERVAL 14 DAY GROUP BY ws"""))
+
+
 def _outcomes(scored):
     """Outcomes become known 60 days after the application (fixed delay)."""
     return scored.select("app_id", (F.col("app_ts") + F.expr("INTERVAL 60 DAYS")).alias("outcome_ts"), "defaulted")

@@ -112,28 +112,50 @@ def audit_log(df: DataFrame, key: str = "app_id", ts: str = "app_ts", watermark:
 
 
 # ---------------------------------------------------------------- stream runs
+def _cuts(df: DataFrame, ts: str, batches: int) -> list[int]:
+    """Cut points (seconds) of about equal arrivals in event-time order."""
+    secs = F.col(ts).cast("long")
+    c = df.agg(F.percentile_approx(secs, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
+    return sorted(set(c or []))
+
+
+def _stage(df: DataFrame, ts: str, cuts: list[int], path: str) -> None:
+    """One write of all arrivals, one folder each."""
+    secs = F.col(ts).cast("long")
+    arrival = sum((F.when(secs > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    df.withColumn("__arrival", arrival).write.partitionBy("__arrival").parquet(path)
+
+
+def _arrive(spark: SparkSession, schema, staged: str, i: int, source: str) -> None:
+    """Arrival ``i`` reaches the stream's folder (reads that arrival only)."""
+    spark.read.schema(schema).parquet(f"{staged}/__arrival={i}").write.mode("append").parquet(source)
+
+
+def _arrivals(df: DataFrame, n: int, staged: str) -> set[int]:
+    """Which arrivals have rows (a folder listing)."""
+    got = df.sparkSession.read.parquet(staged).select("__arrival").distinct().collect()
+    return {r[0] for r in got if r[0] < n}
+
+
 def replay(spark: SparkSession, df: DataFrame, build, name: str, ts: str = "app_ts", batches: int = 8,
            mode: str = "append", base: str | None = None) -> DataFrame:
     """Feed ``df`` to a streaming plan as ``batches`` arrivals in event-time
     order and return the sink as a batch DataFrame.
 
-    Arrival i appends the rows of the i-th event-time range (fixed cut points
-    from approximate quantiles, so each arrival is a pure filter written by
-    all tasks) to a file-source directory; then the stream runs with
-    ``trigger(availableNow=True)`` against one checkpoint. State, watermark
-    and processed-file log carry over between runs, as for data arriving over
-    time; a restart resumes from the checkpoint without duplicating output.
-    Everything lives under the shared checkpoint folder."""
+    The source is read twice: for the cut points and for one write of all
+    arrivals, a folder each. Arrival i then reaches the stream's source folder
+    and the stream runs with ``trigger(availableNow=True)`` against one
+    checkpoint. State, watermark and processed-file log carry over between
+    runs, as for data arriving over time; a restart resumes from the checkpoint
+    without duplicating output. Everything lives under the shared checkpoint
+    folder. Rows without an event time come with the first arrival."""
     root = os.path.join(base or os.path.join(ensure_checkpoint_dir(spark), "streams"), name)
-    src, out, ck = (os.path.join(root, d) for d in ("source", "out", "checkpoint"))
-    secs = F.col(ts).cast("long")
-    cuts = df.agg(F.percentile_approx(secs, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    bucket = sum(F.when(secs > F.lit(c), 1).otherwise(0) for c in cuts) if cuts else F.lit(0)
-    schema = df.schema
-    for i in range(len(cuts) + 1):
-        df.where(bucket == i).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(schema).parquet(src)
+    staged, src, out, ck = (os.path.join(root, d) for d in ("staged", "source", "out", "checkpoint"))
+    cuts = _cuts(df, ts, batches)
+    _stage(df, ts, cuts, staged)
+    for i in sorted(_arrivals(df, len(cuts) + 1, staged)):
+        _arrive(spark, df.schema, staged, i, src)
+        stream = spark.readStream.schema(df.schema).parquet(src)
         q = (build(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
              .outputMode(mode).trigger(availableNow=True).start())
         q.awaitTermination()
@@ -147,16 +169,16 @@ def replay_join(spark: SparkSession, left: DataFrame, right: DataFrame, build, n
     event-time order, cut at the same fixed points of the left side's time."""
     root = os.path.join(base or os.path.join(ensure_checkpoint_dir(spark), "streams"), name)
     lsrc, rsrc, out, ck = (os.path.join(root, d) for d in ("left", "right", "out", "checkpoint"))
-    secs = F.col(left_ts).cast("long")
-    cuts = left.agg(F.percentile_approx(secs, [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-
-    def bucket(col):
-        s = F.col(col).cast("long")
-        return sum(F.when(s > F.lit(c), 1).otherwise(0) for c in cuts) if cuts else F.lit(0)
+    cuts = _cuts(left, left_ts, batches)
+    for df, ts, side in ((left, left_ts, "left-staged"), (right, right_ts, "right-staged")):
+        _stage(df, ts, cuts, os.path.join(root, side))
+    have = [_arrivals(df, len(cuts) + 1, os.path.join(root, side)) for df, side in ((left, "left-staged"), (right, "right-staged"))]
     for i in range(len(cuts) + 1):
-        left.where(bucket(left_ts) == i).write.mode("append").parquet(lsrc)
-        right.where(bucket(right_ts) == i).write.mode("append").parquet(rsrc)
+        for df, side, src, own in ((left, "left-staged", lsrc, have[0]), (right, "right-staged", rsrc, have[1])):
+            if i in own:
+                _arrive(spark, df.schema, os.path.join(root, side), i, src)
+            else:                       # the folder must exist for the stream to start
+                df.sparkSession.createDataFrame([], df.schema).write.mode("append").parquet(src)
         ls = spark.readStream.schema(left.schema).parquet(lsrc)
         rs = spark.readStream.schema(right.schema).parquet(rsrc)
         q = (build(ls, rs).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)

@@ -246,3 +246,16 @@ def test_expected_loss_without_amounts_raises(spark):
     df = spark.createDataFrame([(0.1 * i, i % 2) for i in range(10)], "risk_score double, defaulted int")
     with pytest.raises(ValueError):
         D.best_thresholds(D.threshold_sweep(df, amount_col=None), "expected_loss")
+
+
+def test_one_hot_of_many_levels_without_the_driver(spark):
+    from riskframe.operators import features as FE
+    n = 200_000
+    df = spark.range(n).select("id", F.when(F.col("id") == 0, "St. Louis").otherwise(F.format_string("c%06d", "id")).alias("city"),
+                               F.lit(None).cast("string").alias("none"))
+    index, sizes = FE.fit_level_index(df, ["city", "none"])
+    assert sizes == {"city": n, "none": 0}
+    new = spark.createDataFrame([(1, "St. Louis"), (2, "c000001"), (3, "c000002"), (4, "unseen"), (5, None)], "id long, city string")
+    got = {r["id"]: r["one_hot"] for r in FE.one_hot_sparse(new.withColumn("none", F.lit("x")), index, sizes).collect()}
+    assert all(v.size == n - 1 for v in got.values())
+    assert {k: v.indices.tolist() for k, v in got.items()} == {1: [], 2: [0], 3: [1], 4: [], 5: []}   # S sorts before c
