@@ -80,14 +80,18 @@ class Tokens:
 def tokens_of(texts: pa.Array) -> Tokens:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    words = coded.dictionary.cast(pa.large_binary())
+    _, edges, data = words.buffers()
+    edges = np.frombuffer(edges, dtype=np.int64)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = data.to_pybytes() if data is not None else b""
     ids = coded.indices.to_numpy(zero_copy_only=False)
     text_of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
-    if b"" in words:                                  # an empty piece at either end of a text
-        real = ids != words.index(b"")
+    empty = np.flatnonzero(np.diff(edges) == 0)
+    if len(empty):                                    # an empty piece at either end of a text
+        real = ids != empty[0]
         ids, text_of = ids[real], text_of[real]
-    digest = xxhash.xxh64_intdigest
-    keys = np.array([digest(w) for w in words] + [int(END)], dtype=np.uint64)
+    digest, at = xxhash.xxh64_intdigest, edges.tolist()
+    keys = np.array([digest(data[i:j]) for i, j in zip(at, at[1:])] + [int(END)], dtype=np.uint64)
     starts = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)) + 1)])
     out = np.full(starts[-1], len(words), dtype=np.int32)
     inner = np.ones(starts[-1], dtype=bool)
@@ -216,24 +220,26 @@ def gradient_steps(model: Model, tokens: Iterator[Tokens], seed: int = 0, rate:
     w, bias = model.weights.copy(), model.bias.copy()
     seen, past = np.zeros(ROWS, dtype=np.float32), np.ones(ROWS, dtype=np.float32)
     past_bias, total = 1.0, 0
+    first = (0, BIGRAM, BIGRAM + TRIGRAM)
     rng = np.random.default_rng(seed)
     for t in tokens:
         f, y = features(t), model.classes(t.keys)[t.ids]
         order = rng.permutation(len(y))
         for a in range(0, len(y), BATCH):
             pick = order[a:a + BATCH]
-            rows, g = f[pick], None
+            rows = f[pick]
             g = class_probabilities(w, bias, rows)
             g[np.arange(len(pick)), y[pick]] -= 1
-            flat = rows.ravel()
-            by_row = np.argsort(flat, kind="stable")
-            sorted_rows = flat[by_row]
-            start = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-            ids, times = sorted_rows[start], np.diff(np.r_[start, len(flat)])
-            step = np.add.reduceat(g[by_row // 3], start, axis=0)
-            past[ids] += (step * step).mean(axis=1)
-            w[ids] -= (rate / np.sqrt(past[ids]))[:, None] * step
-            seen[ids] += times
+            for k in range(3):              # 16-bit keys: numpy sorts them by radix
+                own = rows[:, k] - first[k]
+                by_row = np.argsort(own.astype(np.uint16), kind="stable")
+                in_order = rows[by_row, k]
+                start = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+                ids, times = in_order[start], np.diff(np.r_[start, len(in_order)])
+                step = np.add.reduceat(g[by_row], start, axis=0)
+                past[ids] += np.einsum("ij,ij->i", step, step) / CLASSES
+                w[ids] -= (rate / np.sqrt(past[ids]))[:, None] * step
+                seen[ids] += times
             up = g.sum(axis=0)
             past_bias += float((up * up).mean())
             bias -= rate / math.sqrt(past_bias) * up
