@@ -247,7 +247,11 @@ def gradient_steps(model: Model, tokens: Iterator[Tokens], seed: int = 0, rate:
     return w, bias, seen, total
 
 
-_UPDATE = pa.schema([("block", pa.int32()), ("part", pa.binary())])
+_UPDATE = pa.schema([("block", pa.int32()), ("slot", pa.int32()), ("part", pa.binary())])
+_UPDATE_DDL = "block int, slot int, part binary"
+#: Slots in which a block is summed before its slots are: no task reads a block
+#: of every partition.
+SLOTS = 64
 
 
 def _steps(shared, fold_seed: int):
@@ -261,21 +265,24 @@ def _steps(shared, fold_seed: int):
         rows = np.hstack([w * seen[:, None], seen[:, None]])
         blocks = [rows[a:a + BLOCK_ROWS] for a in range(0, ROWS, BLOCK_ROWS)] + [np.r_[bias * total, total][None, :]]
         for i, x in enumerate(blocks):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())],
-                                             schema=_UPDATE)
+            yield _update(i, TaskContext.get().partitionId() % SLOTS, x)
     return run
 
 
+def _update(block: int, slot: int, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([slot], pa.int32()),
+                                       pa.array([x.astype("<f4").tobytes()], pa.binary())], schema=_UPDATE)
+
+
 def _sum_blocks(batches):
     """Sums of the blocks that were dealt to this task."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
             v = np.frombuffer(x, dtype="<f4")
             sums[i] = sums[i] + v if i in sums else v.astype(np.float64)
     for i, v in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v.astype("<f4").tobytes()], pa.binary())],
-                                         schema=_UPDATE)
+        yield _update(i, 0, v)
 
 
 def _grouped(sketch: np.ndarray, count: np.ndarray, groups: int, tries: int = 4) -> np.ndarray:
@@ -350,9 +357,11 @@ def fit(texts: DataFrame, *, hot: int = HOT, rounds: int = ROUNDS):
     model = Model(keys, cls.astype(np.int16), count, mass, np.zeros((ROWS, CLASSES), dtype=np.float32), bias.astype(np.float32))
     for r in range(rounds if row["n"] else 0):
         shared = spark.sparkContext.broadcast(model)
-        summed = texts.select("text").mapInArrow(_steps(shared, 1000 * r), "block int, part binary") \
-            .repartition("block").mapInArrow(_sum_blocks, "block int, part binary").toArrow()   # ROWS x (CLASSES + 1) numbers
-        for i, x in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist()):
+        updates = texts.select("text").mapInArrow(_steps(shared, 1000 * r), _UPDATE_DDL)
+        for deal in (["block", "slot"], ["block"]):
+            updates = updates.repartition(*deal).mapInArrow(_sum_blocks, _UPDATE_DDL)
+        summed = updates.toArrow()                        # ROWS x (CLASSES + 1) numbers
+        for i, x in zip(summed.column("block").to_pylist(), summed.column("part").to_pylist()):
             v = np.frombuffer(x, dtype="<f4").reshape(-1, CLASSES + 1)
             if i * BLOCK_ROWS >= ROWS:
                 model.bias = (v[0, :-1] / v[0, -1]).astype(np.float32)
