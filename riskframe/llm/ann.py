@@ -5,14 +5,15 @@ norm, so that the largest inner product is the smallest distance. A random
 rotation follows. Centroids are fitted on at most ``SAMPLE`` vectors (in the
 order of a hash); every vector goes to the list of its nearest centroid.
 
-Search: a query probes its nearest lists. A list is cut into blocks of vectors
-and its queries into blocks of queries, so that no list, however full, meets
-in one task. Within a block the rotated vectors are scanned in column blocks:
-after d of D dimensions a candidate is given up when its partial distance,
-scaled by D / d, exceeds the best ``k``-th distance so far by the factor
-(1 + EPSILON / sqrt(d))^2, a hypothesis test with a failure probability that
-falls with EPSILON. What is left is scored exactly, in double precision, on
-the original vectors.
+Search: a query probes its nearest lists, as many as hold ``TARGET`` of the
+true neighbours within the sample. Its ``k``-th best score within the sample
+is its threshold from the start. Small lists share a bin, large ones are cut
+into blocks, and so are a bin's queries: no list, however full, meets in one
+task. Within a block the rotated vectors are scanned in column blocks: after d
+of D dimensions a candidate is given up when its partial distance, scaled by
+D / d, exceeds the threshold's by the factor (1 + EPSILON / sqrt(d))^2, a
+hypothesis test with a failure probability that falls with EPSILON. What is
+left is scored exactly, in double precision, on the original vectors.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ K = 20
 SAMPLE = 20_000
 #: Lists: about the square root of the vectors, within these bounds.
 LISTS = (8, 4096)
-#: Lists a query probes at least.
-PROBES = 40
-#: Vectors and queries of a list that meet in one task.
+#: Share of the sample's true neighbours that the probed lists must hold.
+TARGET = 0.97
+#: Sampled vectors whose neighbours set the number of probes.
+CALIBRATE = 256
+#: Vectors, and queries, of a bin that meet in one task.
 BLOCK = 4096
+#: Queries scanned at a time within a task.
+CHUNK = 64
 COLUMNS = 16
 EPSILON = 2.1
 SEED = 7
@@ -50,11 +55,12 @@ def valid_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
 
 class Index:
-    """What tasks need of the index: rotation, norm bound and centroids
-    (bounded by the number of lists)."""
+    """What tasks need of the index: rotation, norm bound, centroids (bounded
+    by the number of lists) and the bounded sample."""
 
-    def __init__(self, rotation: np.ndarray, bound: float, centroids: np.ndarray):
-        self.rotation, self.bound, self.centroids = rotation, bound, centroids
+    def __init__(self, rotation: np.ndarray, bound: float, ids: np.ndarray, sample: np.ndarray):
+        self.rotation, self.bound, self.ids, self.sample = rotation, bound, ids, sample
+        self.centroids = np.zeros((1, len(rotation)))
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Distances that order queries' candidates by inner product. A query's
@@ -70,6 +76,33 @@ class Index:
         c = self.centroids
         return (c * c).sum(axis=1)[None, :] - 2 * y @ c.T
 
+    def least_scores(self, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+        """A score that each query's k-th neighbour reaches for certain: the
+        k-th best within the sample, the query's own row left out."""
+        out = np.full(len(x), -np.inf)
+        if len(self.ids) <= k:
+            return out
+        for a in range(0, len(x), 256):
+            s = x[a:a + 256] @ self.sample.T
+            s[ids[a:a + 256, None] == self.ids[None, :]] = -np.inf
+            out[a:a + 256] = np.partition(s, -k, axis=1)[:, -k]
+        return out - 1e-9 * self.bound * np.sqrt((x * x).sum(axis=1))
+
+    def probes(self, k: int, target: float, queries: int) -> int:
+        """Lists to probe so that they hold ``target`` of the true neighbours of
+        some sampled vectors within the sample. (The whole table is denser, so
+        its neighbours are nearer.)"""
+        n = min(queries, len(self.ids))
+        lists = np.concatenate([self.by_distance(self.rotated(x)).argmin(axis=1)
+                                for x in np.array_split(self.sample, max(len(self.sample) // 4096, 1))])
+        q = self.sample[:n]
+        s = q @ self.sample.T
+        s[np.arange(n), np.arange(n)] = -np.inf
+        near = np.argsort(-s, axis=1)[:, :min(k, len(self.ids) - 1)]
+        place = self.by_distance(self.rotated(q, query=True)).argsort(axis=1, kind="stable").argsort(axis=1)
+        ranks = np.sort(np.take_along_axis(place, lists[near], axis=1).ravel())
+        return int(ranks[min(int(np.ceil(target * len(ranks))), len(ranks) - 1)]) + 1 if len(ranks) else 1
+
 
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -84,11 +117,11 @@ def fit_index(vectors: DataFrame, *, sample: int = SAMPLE, rounds: int = 12) ->
     n = stats["n"]
     if not n:
         return None
-    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    x = _matrix(got.column(0))
+    got = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "v").toArrow()
+    x = _matrix(got.column(1))
     rng = np.random.default_rng(SEED)
     q, r = np.linalg.qr(rng.standard_normal((x.shape[1] + 1, x.shape[1] + 1)))
-    index = Index(q * np.sign(np.diag(r)), math.sqrt(stats["m2"]), np.zeros((1, x.shape[1] + 1)))
+    index = Index(q * np.sign(np.diag(r)), math.sqrt(stats["m2"]), got.column(0).to_numpy(), x)
     y = np.unique(index.rotated(x).round(12), axis=0)     # copies must not take all centroids
     lists = min(max(round(math.sqrt(n)), LISTS[0]), LISTS[1], len(y))
     c = y[rng.choice(len(y), lists, replace=False)]
@@ -116,83 +149,141 @@ def assign(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, list int")
 
 
-_PROBED = pa.schema([("vec_id", pa.int64()), ("v", pa.list_(pa.float64())), ("lists", pa.list_(pa.int32()))])
-
+def _probe(shared, sizes: np.ndarray, bins: np.ndarray, probes: int, k: int, kind: pa.DataType):
+    """Per query and bin: the lists to scan there, and the query's threshold.
+    At least ``probes`` lists, and more until they hold 4 (k + 1) vectors."""
+    schema = pa.schema([("bin", pa.int32()), ("vec_id", pa.int64()), ("v", pa.list_(kind)),
+                        ("least", pa.float64()), ("lists", pa.list_(pa.int32()))])
 
-def probe(queries: DataFrame, index: Index, sizes: np.ndarray, *, probes: int = PROBES, k: int = K) -> DataFrame:
-    """Adds ``lists``: the nearest lists, ``probes`` of them at least and more
-    until they hold 4 (k + 1) vectors."""
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            order = index.by_distance(index.rotated(_matrix(b.column(1)), query=True)).argsort(axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1)
-            need = np.maximum((held < 4 * (k + 1)).sum(axis=1) + 1, probes)
-            lists = [o[:m][sizes[o[:m]] > 0].tolist() for o, m in zip(order, need)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.float64())),
-                                              pa.array(lists, pa.list_(pa.int32()))], schema=_PROBED)
-    return queries.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, lists array<int>")
-
-
-def scan(base: np.ndarray, query: np.ndarray, k: int, seed_rows: np.ndarray, columns: int = COLUMNS) -> np.ndarray:
-    """Rows of ``base`` (column blocks, rotated) that survive the tests for one
-    rotated query. ``seed_rows``: rows scanned in full first for the threshold."""
-    blocks, dims = base, sum(b.shape[1] for b in base)
-    n = len(blocks[0])
-    if n <= k:
-        return np.arange(n)
-    first = np.zeros(len(seed_rows))
-    at = 0
-    for b in blocks:
-        diff = b[seed_rows] - query[at:at + b.shape[1]]
-        first += np.einsum("ij,ij->i", diff, diff)
-        at += b.shape[1]
-    limit = np.partition(first, k - 1)[k - 1] if len(first) >= k else np.inf
-    alive, part, at = np.arange(n), np.zeros(n), 0
-    for b in blocks:
-        diff = b[alive] - query[at:at + b.shape[1]]
-        part = part + np.einsum("ij,ij->i", diff, diff)
+        index: Index = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                b = batch.slice(a, 512)
+                ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
+                order = index.by_distance(index.rotated(x, query=True)).argsort(axis=1, kind="stable")
+                need = np.maximum((np.cumsum(sizes[order], axis=1) < 4 * (k + 1)).sum(axis=1) + 1, probes)
+                least = index.least_scores(ids, x, k)
+                at, got, lists = [], [], []
+                for i, (o, m) in enumerate(zip(order, need)):
+                    mine = np.sort(o[:m][sizes[o[:m]] > 0])
+                    for part in np.split(mine, np.flatnonzero(np.diff(bins[mine])) + 1) if len(mine) else []:
+                        at.append(i)
+                        got.append(int(bins[part[0]]))
+                        lists.append(part.tolist())
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(got, pa.int32()), b.column(0).take(take), b.column(1).take(take).cast(pa.list_(kind)),
+                     pa.array(least[at]), pa.array(lists, pa.list_(pa.int32()))], schema=schema)
+    return run
+
+
+def scan(blocks: list[np.ndarray], queries: np.ndarray, limit: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs that survive the tests. ``blocks``: the rotated rows
+    in column blocks; ``limit``: each query's squared distance to beat;
+    ``allowed``: which pairs are to be scanned at all."""
+    dims, at = sum(b.shape[1] for b in blocks), blocks[0].shape[1]
+    b, z = blocks[0], queries[:, :at]
+    part = np.maximum((z * z).sum(axis=1)[:, None] - 2 * z @ b.T + (b * b).sum(axis=1)[None, :], 0.0)
+    slack = lambda d: (1 + EPSILON / math.sqrt(d)) ** 2 * d / dims if d < dims else 1.0
+    tiny = 1e-9 * (1 + (queries * queries).sum(axis=1))
+    q, r = np.nonzero(allowed & (part <= (limit * slack(at) + tiny)[:, None]))
+    d = part[q, r]
+    for b in blocks[1:]:
+        diff = b[r] - queries[q, at:at + b.shape[1]]
+        d = d + np.einsum("ij,ij->i", diff, diff)
         at += b.shape[1]
-        slack = (1 + EPSILON / math.sqrt(at)) ** 2 if at < dims else 1 + 1e-9
-        keep = part * (dims / at) <= limit * slack + 1e-9
-        alive, part = alive[keep], part[keep]
-    return alive
+        keep = d <= limit[q] * slack(at) + tiny[q]
+        q, r, d = q[keep], r[keep], d[keep]
+    return q, r
 
 
-def _search_block(index: Index, k: int, columns: int):
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND_DDL = "query_id long, vec_id long, score double"
 
+
+def _in_sample(shared, k: int):
+    """Each query's k nearest within the sample: the rows that its threshold
+    comes from, so that no query ends with fewer than k."""
+    def run(batches):
+        index: Index = shared.value
+        order = np.argsort(index.ids, kind="stable")
+        ids, base = index.ids[order], index.sample[order]
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                b = batch.slice(a, 256)
+                asks, x = b.column(0).to_numpy(), _matrix(b.column(1))
+                s = x @ base.T
+                s[asks[:, None] == ids[None, :]] = -np.inf
+                n = min(4 * k, len(ids))
+                near = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                q, r = np.repeat(np.arange(len(x)), n), near.ravel()
+                own = np.isfinite(s[q, r])
+                q, r = q[own], r[own]
+                score = (base[r] * x[q]).sum(axis=1)            # the order of sums of the search
+                best = np.lexsort((ids[r], -score, q))
+                q, r, score = q[best], r[best], score[best]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([pa.array(asks[q[keep]]), pa.array(ids[r[keep]]), pa.array(score[keep])],
+                                                 schema=_FOUND)
+    return run
+
+
+def _search_block(shared, k: int, columns: int):
     def run(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table.column("ask").to_numpy(), dtype=bool)
-        ids, v = np.asarray(table.column("vec_id").to_numpy()), _matrix(table.column("v"))
+        index: Index = shared.value
+        asks = table.column("ask").to_numpy()
         if asks.all() or not asks.any():
-            return out.empty_table()
+            return _FOUND.empty_table()
+        ids, v = table.column("vec_id").to_numpy(), _matrix(table.column("v"))
         order = np.argsort(ids[~asks], kind="stable")
         base_ids, base = ids[~asks][order], v[~asks][order]
+        lists = [x or [] for x in table.column("lists").to_pylist()]
+        base_list = np.array([x[0] for x, a in zip(lists, asks) if not a])[order]
         query_ids, queries = ids[asks], v[asks]
+        wanted = [x for x, a in zip(lists, asks) if a]
+        least = table.column("least").to_numpy()[asks]
         y, z = index.rotated(base), index.rotated(queries, query=True)
         blocks = [np.ascontiguousarray(y[:, c:c + columns]) for c in range(0, y.shape[1], columns)]
+        # the threshold as a squared distance between rotated vectors
+        limit = 2 * index.bound ** 2 - 2 * index.bound / np.sqrt((queries * queries).sum(axis=1)) * least
+        names, place = np.unique(base_list, return_inverse=True)
         got = ([], [], [])
-        for j, query_id in enumerate(query_ids):
-            seeds = np.arange(min(len(base), 4 * k))
-            rows = scan(blocks, z[j], k + 1, seeds, columns)
-            rows = rows[base_ids[rows] != query_id]
-            score = (base[rows] * queries[j]).sum(axis=1)      # one order of sums for every row
-            best = np.lexsort((base_ids[rows], -score))[:k]
-            got[0].append(np.full(len(best), query_id))
-            got[1].append(base_ids[rows][best])
-            got[2].append(score[best])
-        return pa.table([np.concatenate(c) for c in got], schema=out)
+        for a in range(0, len(queries), CHUNK):
+            part = slice(a, a + CHUNK)
+            allowed = np.array([np.isin(names, w) for w in wanted[part]])[:, place]
+            allowed &= query_ids[part, None] != base_ids[None, :]
+            q, r = scan(blocks, z[part], limit[part], allowed)
+            score = np.concatenate([(base[r[i:i + 65536]] * queries[part][q[i:i + 65536]]).sum(axis=1)   # one order of sums
+                                    for i in range(0, len(r), 65536)] or [np.zeros(0)])
+            best = np.lexsort((base_ids[r], -score, q))
+            q, r, score = q[best], r[best], score[best]
+            first = np.searchsorted(q, q)                   # where the query's rows begin
+            keep = (np.arange(len(q)) - first < k) & (score >= least[part][q])
+            got[0].append(query_ids[part][q[keep]])
+            got[1].append(base_ids[r[keep]])
+            got[2].append(score[keep])
+        return pa.table([np.concatenate(c) for c in got], schema=_FOUND)
     return run
 
 
-def nearest(table: DataFrame, *, queries=None, k: int = K, probes: int = PROBES, sample: int = SAMPLE,
+def binned(sizes: np.ndarray, block: int) -> np.ndarray:
+    """Bins of neighbouring lists that hold up to ``block`` vectors together."""
+    out, held, at = np.zeros(len(sizes), dtype=np.int64), 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > block:
+            at, held = at + 1, 0
+        out[i], held = at, held + int(n)
+    return out
+
+
+def nearest(table: DataFrame, *, queries=None, k: int = K, target: float = TARGET, sample: int = SAMPLE,
             block: int = BLOCK, columns: int = COLUMNS, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query (rows where the column
     ``queries`` holds; default: id divisible by 20) its ``k`` nearest rows with
-    another id by inner product, ties to the smaller id.
+    another id by inner product, ties to the smaller id. ``target`` 1 probes
+    every list.
 
     Vectors that are NULL, zero, or hold NULL or non-finite components take no
     part, nor do rows without an id. Rows repeated with one id count once (the
@@ -205,30 +296,39 @@ def nearest(table: DataFrame, *, queries=None, k: int = K, probes: int = PROBES,
         return spark.range(0).select(F.col("id").alias("query_id"), F.col("id").cast("int").alias("rank"),
                                      F.col("id").alias("vec_id"), F.col("id").cast("double").alias("score"))
     index, _ = fitted
-    listed = assign(vectors, index)
+    shared = spark.sparkContext.broadcast(index)               # bounded: sample, centroids, rotation
+    kind = pa.float32() if "float" in dict(table.dtypes)[vector_col] else pa.float64()
+    vector = "array<float>" if kind == pa.float32() else "array<double>"
+    listed = assign(vectors, index).withColumn("v", F.col("v").cast(vector))
     sizes = np.zeros(len(index.centroids), dtype=np.int64)
     for r in listed.groupBy("list").count().collect():         # one row per list: at most LISTS[1]
         sizes[r["list"]] = r["count"]
+    probes = len(sizes) if target >= 1 else index.probes(k, target, CALIBRATE)
+    bins = binned(sizes, block)
     asked = queries if queries is not None else F.col("vec_id") % 20 == 0
-    probed = probe(vectors.where(asked), index, sizes, probes=probes, k=k) \
-        .select("vec_id", "v", F.explode("lists").alias("list"))
-    loads = np.zeros(len(sizes), dtype=np.int64)
-    for r in probed.groupBy("list").count().collect():
-        loads[r["list"]] = r["count"]
-    # at most LISTS[1] rows: a bounded broadcast
-    grid = F.broadcast(spark.createDataFrame(
-        [(i, max(-(-int(x) // block), 1), max(-(-int(y) // block), 1)) for i, (x, y) in enumerate(zip(sizes, loads))],
-        "list int, n_base int, n_ask int"))
+    probed = vectors.where(asked).mapInArrow(_probe(shared, sizes, bins, probes, k, kind),
+                                             f"bin int, vec_id long, v {vector}, least double, lists array<int>")
+    loads = {r["bin"]: r["count"] for r in probed.groupBy("bin").count().collect()}
+    held = np.bincount(bins, weights=sizes).astype(int)
+    # a row per list, at most LISTS[1]: bounded broadcasts
+    n_ask = [max(-(-loads.get(b, 0) // block), 1) for b in range(len(held))]
+    n_base = [max(-(-int(x) // block), 1) for x in held]
+    grid = F.broadcast(spark.createDataFrame([(i, int(b), n_base[b], n_ask[b]) for i, b in enumerate(bins)],
+                                             "list int, bin int, n_base int, n_ask int"))
+    by_bin = F.broadcast(spark.createDataFrame([(b, n_base[b], n_ask[b]) for b in range(len(held))],
+                                               "bin int, n_base int, n_ask int"))
     spot = F.xxhash64("vec_id")
-    base = listed.join(grid, "list").withColumn("bb", F.pmod(spot, F.col("n_base")).cast("int")) \
-        .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_ask") - 1)))
-    ask = probed.join(grid, "list").withColumn("qb", F.pmod(spot, F.col("n_ask")).cast("int")) \
-        .withColumn("bb", F.explode(F.sequence(F.lit(0), F.col("n_base") - 1)))
-    cols = ["list", "bb", "qb", "ask", "vec_id", "v"]
-    both = base.withColumn("ask", F.lit(False)).select(cols) \
-        .unionByName(ask.withColumn("ask", F.lit(True)).select(cols))
-    found = both.groupBy("list", "bb", "qb").applyInArrow(
-        _search_block(index, k, columns), "query_id long, vec_id long, score double")
+    base = listed.join(grid, "list").select(
+        "bin", F.pmod(spot, F.col("n_base")).cast("int").alias("bb"),
+        F.explode(F.sequence(F.lit(0), F.col("n_ask") - 1)).alias("qb"), F.lit(False).alias("ask"), "vec_id", "v",
+        F.lit(None).cast("double").alias("least"), F.array("list").alias("lists"))
+    ask = probed.join(by_bin, "bin").select(
+        "bin", F.explode(F.sequence(F.lit(0), F.col("n_base") - 1)).alias("bb"),
+        F.pmod(spot, F.col("n_ask")).cast("int").alias("qb"), F.lit(True).alias("ask"), "vec_id", "v", "least", "lists")
+    found = base.unionByName(ask).groupBy("bin", "bb", "qb").applyInArrow(
+        _search_block(shared, k, columns), _FOUND_DDL)
+    seeds = vectors.where(asked).mapInArrow(_in_sample(shared, k), _FOUND_DDL)
+    found = found.unionByName(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

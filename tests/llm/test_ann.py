@@ -40,7 +40,7 @@ def clustered(n, seed=0, dim=24, norms=False):
 def test_recall(spark):
     for norms in (False, True):
         rows = clustered(3000, norms=norms)
-        want, got = brute(rows, 20), answers(ann.nearest(table(spark, rows), probes=16))
+        want, got = brute(rows, 20), answers(ann.nearest(table(spark, rows)))
         assert got.keys() == want.keys()
         hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
         assert hits >= 0.9 * 20 * len(want)
@@ -54,7 +54,7 @@ def test_all_lists_probed_is_exact_with_copies_and_small_blocks(spark):
     """A third of the rows are copies of one vector: ties to the smaller id."""
     rows = clustered(600, seed=3, dim=8)
     rows = [(i, rows[7][1] if i % 3 == 0 else v, 0) for i, v, _ in rows]
-    got = answers(ann.nearest(table(spark, rows), probes=10_000, block=64))
+    got = answers(ann.nearest(table(spark, rows), target=1, block=64))
     want = brute(rows, 20)
     for q in want:
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
@@ -73,13 +73,31 @@ def test_empty_and_single(spark):
     assert ann.nearest(table(spark, [(0, [1.0, 2.0], 0)])).count() == 0
 
 
+def test_recall_without_clusters(spark):
+    """Random directions: many lists must be probed."""
+    rng = np.random.default_rng(5)
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(rng.standard_normal((4000, 48)))]
+    want, got = brute(rows, 20), answers(ann.nearest(table(spark, rows), sample=1000, block=500))
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_scan_abandons_early_and_keeps_the_nearest():
     rng = np.random.default_rng(1)
     base = rng.standard_normal((4000, 64))
     q, _ = np.linalg.qr(rng.standard_normal((64, 64)))
     y = base @ q
-    z = y[17] + 0.05 * rng.standard_normal(64)
+    z = y[[17, 18]] + 0.05 * rng.standard_normal((2, 64))
     blocks = [np.ascontiguousarray(y[:, c:c + 16]) for c in range(0, 64, 16)]
-    rows = ann.scan(blocks, z, 10, np.arange(100))
-    near = np.argsort(((y - z) ** 2).sum(axis=1))[:10]
-    assert set(near) <= set(rows.tolist()) and len(rows) < 2000
+    exact = ((y[None] - z[:, None]) ** 2).sum(-1)
+    limit = np.sort(exact, axis=1)[:, 9]
+    allowed = np.ones((2, 4000), dtype=bool)
+    allowed[1, ::2] = False
+    queries, rows = ann.scan(blocks, z, limit, allowed)
+    for i in (0, 1):
+        kept = set(rows[queries == i].tolist())
+        near = {j for j in np.flatnonzero(exact[i] <= limit[i]).tolist() if allowed[i, j]}
+        assert kept == near and all(allowed[i, list(kept)])
+
+
+def test_small_lists_share_bins():
+    assert ann.binned(np.array([3, 0, 2, 9, 1, 1]), 5).tolist() == [0, 0, 0, 1, 2, 2]
