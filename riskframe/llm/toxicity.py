@@ -3,9 +3,11 @@
 1. *Token log-odds with a Dirichlet prior.* From labelled training documents:
    for each token, and for each beginning of ``PREFIX`` bytes that a token not
    in the table falls back to, the number of toxic and clean documents. The
-   prior of a token is its share of all of them, worth ``PRIOR`` documents a class;
-   the log-odds ratio is kept where its z-score passes ``MIN_Z``. Every other
-   token scores ``-DRIFT``, which makes the expected score negative.
+   prior of a token is its share of all of them, as strong as a ``PRIOR`` share of the
+   documents; equal texts count once;
+   the log-odds ratio is kept where it passes ``MIN_ODDS`` and its z-score
+   ``MIN_Z``. Every other token has a penalty that makes the expected score of
+   clean text negative.
 2. *Segments.* A linear-time scan (Ruzzo and Tompa) finds all maximal scoring
    segments of a document's token scores.
 3. *Extreme-value calibration.* In text of n tokens the best chance segment
@@ -39,8 +41,14 @@ from .common import batches_of, rows, stored, text_or_empty
 SAMPLE = 50_000
 #: Bound of the token table (largest |z| first).
 MAX_TOKENS = 100_000
-PRIOR = 500.0
-MIN_Z = 3.0
+#: Strength of the prior: a share of the labelled documents.
+PRIOR = 0.04
+MIN_Z = 2.5
+#: A frequent token may lean significantly, but hardly; only those that lean by
+#: this much (natural log) speak for a passage.
+MIN_ODDS = 3.0
+#: Least penalty of any other token; larger where clean texts would not score
+#: negative on average.
 DRIFT = 0.05
 PREFIX = 4
 #: Share of the sample kept from the log-odds for the calibration: 1 in so many.
@@ -164,7 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, fold: int = 5, sample: int = SAMP
     picked = picked.select(F.col("doc_id").alias("l_id"), "toxic",
                            (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibrate")), F.lit(CALIBRATE_1_IN)) == 0).alias("cal"))
     chosen = docs.select(F.col("doc_id").alias("d_id"), text_or_empty().alias("text")) \
-        .join(F.broadcast(picked), F.col("d_id") == F.col("l_id")).select("text", "toxic", "cal")
+        .join(F.broadcast(picked), F.col("d_id") == F.col("l_id"))
+    # copies would make the words of one text look like words of many; at most
+    # `sample` texts (of repeated doc_ids, some more) move
+    chosen = chosen.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("len")) \
+        .agg(F.min(F.struct("l_id", "text", "toxic", "cal")).alias("x")).select("x.text", "x.toxic", "x.cal")
     counts = stored(chosen.mapInArrow(_document_counts, _COUNTS_DDL).groupBy("token")
                     .agg(*[F.sum(c).alias(c) for c in _CLASSES]), "toxicity-counts")
     model = ToxicityModel(_log_odds(counts.select("token", "toxic", "clean"), max_tokens))
@@ -181,38 +193,42 @@ def _log_odds(counts: DataFrame, max_tokens: int) -> dict[bytes, float]:
     # one row
     t = counts.where("token IS NOT NULL AND toxic + clean >= 3").crossJoin(F.broadcast(of)) \
         .where("n1 > 0 AND n0 > 0")
-    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / (F.col("n1") + F.col("n0"))
+    strength = F.lit(PRIOR) * (F.col("n1") + F.col("n0"))
+    prior = F.lit(PRIOR) * (F.col("toxic") + F.col("clean"))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    ra, rb = F.col("n1") + F.lit(PRIOR) - a, F.col("n0") + F.lit(PRIOR) - b
+    ra, rb = F.col("n1") + strength - a, F.col("n0") + strength - b
     t = t.withColumn("odds", F.log(a / F.greatest(ra, F.lit(0.5))) - F.log(b / F.greatest(rb, F.lit(0.5)))) \
         .withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b))
-    best = t.where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "token").limit(max_tokens).select("token", "odds")
+    best = t.where((F.abs("z") >= MIN_Z) & (F.abs("odds") >= MIN_ODDS)).orderBy(F.abs("z").desc(), "token").limit(max_tokens).select("token", "odds")
     got = best.toArrow()
     return {bytes(k): v for k, v in zip(got.column(0).to_pylist(), got.column(1).to_pylist())}
 
 
 def _calibrate(model: ToxicityModel, labelled: DataFrame, spark) -> None:
-    table, drift = model.table, model.drift
+    table = model.table
 
-    def best(batches):
-        """Per document: label, tokens, best segment, squeezed token scores."""
+    def hits(batches):
+        """Per document: label, tokens, positions and scores of known tokens."""
         def one(text, label):
             toks = tokens(text)
-            hits = scored_tokens(toks, table)
-            found = [s for *_, s in segments(hits, drift)]
-            return label, len(toks), found, [s for _, s in hits]
-        return batches_of((one(t, y) for t, y in rows(batches)), _BEST, size=512)
+            found = scored_tokens(toks, table)
+            return label, len(toks), [i for i, _ in found], [s for _, s in found]
+        return batches_of((one(t, y) for t, y in rows(batches)), _HITS, size=512)
 
-    # at most SAMPLE / CALIBRATE_1_IN documents' segment scores
-    got = labelled.mapInArrow(best, "label int, n long, found array<double>, hits array<double>").toArrow().to_pylist()
+    # at most SAMPLE / CALIBRATE_1_IN documents' known tokens
+    got = labelled.mapInArrow(hits, "label int, n long, at array<int>, scores array<double>").toArrow().to_pylist()
     clean = [r for r in got if r["label"] == 0]
     if not clean or len(clean) == len(got):
         share = min(max((len(got) - len(clean) + 0.5) / (len(got) + 1.0), 1e-3), 1 - 1e-3)
         model.weights = (math.log(share / (1 - share)), 0.0, 0.0)
         return
-    total = sum(r["n"] for r in clean)
-    hits = np.array([s for r in clean for s in r["hits"]] or [0.0])
-    model.lam = _lambda(hits, max(total - len(hits), 1), drift)
+    scores = np.array([s for r in clean for s in r["scores"]] or [0.0])
+    others = max(sum(r["n"] for r in clean) - len(scores), 1)
+    # twice what the known tokens add on average
+    model.drift = max(DRIFT, 2 * float(scores.sum()) / others)
+    model.lam = _lambda(scores, others, model.drift)
+    for r in got:
+        r["found"] = [s for *_, s in segments(list(zip(r["at"], r["scores"])), model.drift)]
     top = np.array([max(r["found"], default=0.0) for r in clean])
     n = np.array([max(r["n"], 1) for r in clean], dtype=float)
     model.k = min(max(len(clean) / max(float((n * np.exp(-model.lam * top)).sum()), 1e-9), 1e-6), 1e6)
@@ -225,8 +241,8 @@ def _calibrate(model: ToxicityModel, labelled: DataFrame, spark) -> None:
     model.weights = _logistic(np.array(rowsx), np.array(y, dtype=float))
 
 
-_BEST = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("found", pa.list_(pa.float64())),
-                   ("hits", pa.list_(pa.float64()))])
+_HITS = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("at", pa.list_(pa.int32())),
+                   ("scores", pa.list_(pa.float64()))])
 
 
 def _lambda(hits: np.ndarray, others: int, drift: float) -> float:
@@ -245,18 +261,30 @@ def _lambda(hits: np.ndarray, others: int, drift: float) -> float:
     return hi
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Newton steps of a ridge logistic regression over the bounded sample."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+    """Ridge logistic regression over the bounded sample: Newton steps, halved
+    until the objective falls (labels may be separable)."""
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+    z = x / scale
+
+    def cost(w):
+        m = z @ w
+        return float(np.logaddexp(0, m).sum() - (y * m).sum() + ridge / 2 * (w @ w))
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    now = cost(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        g = z.T @ (p - y) + ridge * w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), g)
+        t = 1.0
+        while t > 1e-6 and cost(w - t * step) > now:
+            t /= 2
+        w = w - t * step
+        before, now = now, cost(w)
+        if before - now < 1e-9:
             break
-    return tuple(float(v) for v in w)
+    return tuple(float(v) for v in w / scale)
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("passages", pa.int32())])
