@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -71,11 +71,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def keep_rows(docs: DataFrame, kept: DataFrame, key: Column) -> DataFrame:
     """Rows of ``docs`` (all columns) whose (doc_id, key) is in ``kept``
     (columns ``doc_id``, ``key``; no repeats), one row for each of them:
-    repeated rows of one document with one key collapse to the smallest."""
-    from pyspark.sql import Window
-
-    d = docs.withColumn("__key", key)
-    k = kept.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__k"))
-    j = d.join(k, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__k")), "left_semi")
-    w = Window.partitionBy("doc_id", "__key").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return j.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated rows of one document with one key collapse to the smallest.
+
+    The texts move once: the join and the window share their keys, which are
+    never NULL. The join is a merge join at every size (``kept`` grows with the
+    table)."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keys = ["__id", "__none", "__key"]
+
+    def keyed(df, k, columns):
+        return df.select(*columns, F.coalesce(F.col("doc_id"), F.lit(0)).alias("__id"),
+                         F.col("doc_id").isNull().alias("__none"), k.alias("__key"))
+
+    j = keyed(docs, key, names).join(keyed(kept, F.col("key"), []).hint("merge"), keys, "left_semi")
+    w = Window.partitionBy(*keys).orderBy(*names)
+    return j.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(*names)
