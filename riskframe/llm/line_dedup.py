@@ -176,6 +176,9 @@ def line_templates(docs: DataFrame, *, depth: int = DEPTH, similarity: float = S
     # the bound counts a row twice if two of its different lines join one template
     recur = hits.groupBy("template", "row").agg(F.lit(1).alias("one")) \
         .groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
+    # written, so that the join deals both sides out anew and Spark can split a
+    # very common template
+    recur = stored(recur, "line-templates")
     dropped = hits.join(recur, "template").groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
     return per_doc.join(dropped, "row", "left").select(
         "doc_id", "text_key", F.size("nos").cast("long").alias("n_lines"),
