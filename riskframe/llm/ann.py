@@ -6,8 +6,10 @@ rotation follows. Centroids are fitted on at most ``SAMPLE`` vectors (in the
 order of a hash); every vector goes to the list of its nearest centroid.
 
 Search: a query probes its nearest lists, as many as hold ``TARGET`` of the
-true neighbours within the sample. Its ``k``-th best score within the sample
-is its threshold from the start. Small lists share a bin, large ones are cut
+true neighbours within the sample. Its ``k``-th best score among the sampled
+rows of those lists is its threshold from the start; the sample gives no row of
+the result. A query left with fewer than ``k`` rows scans its lists again
+without a threshold. Small lists share a bin, large ones are cut
 into blocks, and so are a bin's queries: no list, however full, meets in one
 task. Within a block the rotated vectors are scanned in column blocks: after d
 of D dimensions a candidate is given up when its partial distance, scaled by
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 K = 20
 #: Bound of the sample that the centroids are fitted on.
 SAMPLE = 20_000
@@ -61,6 +65,7 @@ class Index:
     def __init__(self, rotation: np.ndarray, bound: float, ids: np.ndarray, sample: np.ndarray):
         self.rotation, self.bound, self.ids, self.sample = rotation, bound, ids, sample
         self.centroids = np.zeros((1, len(rotation)))
+        self.lists = np.zeros(len(ids), dtype=np.int64)
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Distances that order queries' candidates by inner product. A query's
@@ -76,15 +81,16 @@ class Index:
         c = self.centroids
         return (c * c).sum(axis=1)[None, :] - 2 * y @ c.T
 
-    def least_scores(self, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-        """A score that each query's k-th neighbour reaches for certain: the
-        k-th best within the sample, the query's own row left out."""
+    def least_scores(self, ids: np.ndarray, x: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+        """A score that each query's k-th neighbour within its lists reaches for
+        certain: the k-th best among their sampled rows, the query's own row
+        left out; -inf with fewer. ``probed``: which lists each query scans."""
         out = np.full(len(x), -np.inf)
         if len(self.ids) <= k:
             return out
         for a in range(0, len(x), 256):
             s = x[a:a + 256] @ self.sample.T
-            s[ids[a:a + 256, None] == self.ids[None, :]] = -np.inf
+            s[~probed[a:a + 256][:, self.lists] | (ids[a:a + 256, None] == self.ids[None, :])] = -np.inf
             out[a:a + 256] = np.partition(s, -k, axis=1)[:, -k]
         return out - 1e-9 * self.bound * np.sqrt((x * x).sum(axis=1))
 
@@ -93,14 +99,12 @@ class Index:
         some sampled vectors within the sample. (The whole table is denser, so
         its neighbours are nearer.)"""
         n = min(queries, len(self.ids))
-        lists = np.concatenate([self.by_distance(self.rotated(x)).argmin(axis=1)
-                                for x in np.array_split(self.sample, max(len(self.sample) // 4096, 1))])
         q = self.sample[:n]
         s = q @ self.sample.T
         s[np.arange(n), np.arange(n)] = -np.inf
         near = np.argsort(-s, axis=1)[:, :min(k, len(self.ids) - 1)]
         place = self.by_distance(self.rotated(q, query=True)).argsort(axis=1, kind="stable").argsort(axis=1)
-        ranks = np.sort(np.take_along_axis(place, lists[near], axis=1).ravel())
+        ranks = np.sort(np.take_along_axis(place, self.lists[near], axis=1).ravel())
         return int(ranks[min(int(np.ceil(target * len(ranks))), len(ranks) - 1)]) + 1 if len(ranks) else 1
 
 
@@ -132,6 +136,8 @@ def fit_index(vectors: DataFrame, *, sample: int = SAMPLE, rounds: int = 12) ->
         np.add.at(sums, near, y)
         c = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], c)
     index.centroids = c
+    index.lists = np.concatenate([index.by_distance(index.rotated(p)).argmin(axis=1)
+                                  for p in np.array_split(x, max(len(x) // 4096, 1))])
     return index, n
 
 
@@ -149,9 +155,9 @@ def assign(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, list int")
 
 
-def _probe(shared, sizes: np.ndarray, bins: np.ndarray, probes: int, k: int, kind: pa.DataType):
-    """Per query and bin: the lists to scan there, and the query's threshold.
-    At least ``probes`` lists, and more until they hold 4 (k + 1) vectors."""
+def _probe(shared, sizes: np.ndarray, bins: np.ndarray, probes: int, k: int, kind: pa.DataType, limited: bool = True):
+    """Per query and bin: the lists to scan there, and the query's threshold
+    (none unless ``limited``). At least ``probes`` lists, and more until they hold 4 (k + 1) vectors."""
     schema = pa.schema([("bin", pa.int32()), ("vec_id", pa.int64()), ("v", pa.list_(kind)),
                         ("least", pa.float64()), ("lists", pa.list_(pa.int32()))])
 
@@ -163,7 +169,11 @@ def _probe(shared, sizes: np.ndarray, bins: np.ndarray, probes: int, k: int, kin
                 ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
                 order = index.by_distance(index.rotated(x, query=True)).argsort(axis=1, kind="stable")
                 need = np.maximum((np.cumsum(sizes[order], axis=1) < 4 * (k + 1)).sum(axis=1) + 1, probes)
-                least = index.least_scores(ids, x, k)
+                least = np.full(len(x), -np.inf)
+                if limited:
+                    probed = np.zeros(order.shape, dtype=bool)
+                    np.put_along_axis(probed, order, np.arange(order.shape[1])[None, :] < need[:, None], axis=1)
+                    least = index.least_scores(ids, x, probed, k)
                 at, got, lists = [], [], []
                 for i, (o, m) in enumerate(zip(order, need)):
                     mine = np.sort(o[:m][sizes[o[:m]] > 0])
@@ -202,33 +212,6 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 _FOUND_DDL = "query_id long, vec_id long, score double"
 
 
-def _in_sample(shared, k: int):
-    """Each query's k nearest within the sample: the rows that its threshold
-    comes from, so that no query ends with fewer than k."""
-    def run(batches):
-        index: Index = shared.value
-        order = np.argsort(index.ids, kind="stable")
-        ids, base = index.ids[order], index.sample[order]
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                b = batch.slice(a, 256)
-                asks, x = b.column(0).to_numpy(), _matrix(b.column(1))
-                s = x @ base.T
-                s[asks[:, None] == ids[None, :]] = -np.inf
-                n = min(4 * k, len(ids))
-                near = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                q, r = np.repeat(np.arange(len(x)), n), near.ravel()
-                own = np.isfinite(s[q, r])
-                q, r = q[own], r[own]
-                score = (base[r] * x[q]).sum(axis=1)            # the order of sums of the search
-                best = np.lexsort((ids[r], -score, q))
-                q, r, score = q[best], r[best], score[best]
-                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-                yield pa.RecordBatch.from_arrays([pa.array(asks[q[keep]]), pa.array(ids[r[keep]]), pa.array(score[keep])],
-                                                 schema=_FOUND)
-    return run
-
-
 def _search_block(shared, k: int, columns: int):
     def run(table: pa.Table) -> pa.Table:
         index: Index = shared.value
@@ -295,7 +278,7 @@ def nearest(table: DataFrame, *, queries=None, k: int = K, target: float = TARGE
     if fitted is None:
         return spark.range(0).select(F.col("id").alias("query_id"), F.col("id").cast("int").alias("rank"),
                                      F.col("id").alias("vec_id"), F.col("id").cast("double").alias("score"))
-    index, _ = fitted
+    index, n = fitted
     shared = spark.sparkContext.broadcast(index)               # bounded: sample, centroids, rotation
     kind = pa.float32() if "float" in dict(table.dtypes)[vector_col] else pa.float64()
     vector = "array<float>" if kind == pa.float32() else "array<double>"
@@ -306,8 +289,29 @@ def nearest(table: DataFrame, *, queries=None, k: int = K, target: float = TARGE
     probes = len(sizes) if target >= 1 else index.probes(k, target, CALIBRATE)
     bins = binned(sizes, block)
     asked = queries if queries is not None else F.col("vec_id") % 20 == 0
-    probed = vectors.where(asked).mapInArrow(_probe(shared, sizes, bins, probes, k, kind),
-                                             f"bin int, vec_id long, v {vector}, least double, lists array<int>")
+    asks = vectors.where(asked)
+
+    def search(queries: DataFrame, limited: bool) -> DataFrame:
+        probed = queries.mapInArrow(_probe(shared, sizes, bins, probes, k, kind, limited),
+                                    f"bin int, vec_id long, v {vector}, least double, lists array<int>")
+        return _scanned(listed, probed, shared, sizes, bins, k, block, columns)
+
+    found = stored(search(asks, True), "ann-found")
+    got = found.groupBy("query_id").count()
+    short = asks.join(got, asks.vec_id == got.query_id, "left").where(F.coalesce("count", F.lit(0)) < min(k, n - 1))
+    short = stored(short.select("vec_id", "v"), "ann-short")
+    if not short.isEmpty():
+        found = found.unionByName(search(short, False))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
+        .select("query_id", "rank", "vec_id", "score")
+
+
+def _scanned(listed: DataFrame, probed: DataFrame, shared, sizes: np.ndarray, bins: np.ndarray, k: int, block: int,
+             columns: int) -> DataFrame:
+    """Each query's ``k`` best rows of every block of its lists."""
+    spark = listed.sparkSession
     loads = {r["bin"]: r["count"] for r in probed.groupBy("bin").count().collect()}
     held = np.bincount(bins, weights=sizes).astype(int)
     # a row per list, at most LISTS[1]: bounded broadcasts
@@ -325,10 +329,5 @@ def nearest(table: DataFrame, *, queries=None, k: int = K, target: float = TARGE
     ask = probed.join(by_bin, "bin").select(
         "bin", F.explode(F.sequence(F.lit(0), F.col("n_base") - 1)).alias("bb"),
         F.pmod(spot, F.col("n_ask")).cast("int").alias("qb"), F.lit(True).alias("ask"), "vec_id", "v", "least", "lists")
-    found = base.unionByName(ask).groupBy("bin", "bb", "qb").applyInArrow(
+    return base.unionByName(ask).groupBy("bin", "bb", "qb").applyInArrow(
         _search_block(shared, k, columns), _FOUND_DDL)
-    seeds = vectors.where(asked).mapInArrow(_in_sample(shared, k), _FOUND_DDL)
-    found = found.unionByName(seeds).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", "vec_id", "score")

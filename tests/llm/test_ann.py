@@ -101,3 +101,30 @@ def test_scan_abandons_early_and_keeps_the_nearest():
 
 def test_small_lists_share_bins():
     assert ann.binned(np.array([3, 0, 2, 9, 1, 1]), 5).tolist() == [0, 0, 0, 1, 2, 2]
+
+
+def test_rows_come_from_the_probed_lists_only(spark):
+    """The sample is the whole table; one list of a target of nearly nothing is
+    still all that a query may answer from."""
+    rows = clustered(2000, seed=9)
+    df = table(spark, rows)
+    index, _ = ann.fit_index(ann.valid_vectors(df))
+    x = np.array([np.float32(r[1]).astype(float) for r in rows])
+    home = index.by_distance(index.rotated(x)).argmin(axis=1)
+    order = index.by_distance(index.rotated(x, query=True)).argsort(axis=1, kind="stable")
+    sizes = np.bincount(home, minlength=len(index.centroids))
+    got = answers(ann.nearest(df, target=1e-9))
+    assert len(got) == 100
+    for q, found in got.items():
+        need = max(int((np.cumsum(sizes[order[q]]) < 4 * 21).sum()) + 1, 1)
+        assert len(found) == 20 and {home[i] for i, _ in found} <= set(order[q][:need].tolist())
+
+
+def test_lists_alone_recall_with_a_small_sample(spark):
+    """A sample of a twentieth of the table: thresholds and probes come from it,
+    rows from the lists."""
+    for norms in (False, True):
+        rows = clustered(6000, seed=11, norms=norms)
+        want, got = brute(rows, 20), answers(ann.nearest(table(spark, rows), sample=300))
+        assert all(len(found) == 20 for found in got.values())
+        assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
