@@ -16,7 +16,7 @@ block, so its work grows with its lines, not with lines times templates.
    line leaves it once, and numbers them. The table is bounded: it is sent on
    when it is full.
 2. What is left is dealt out by leaf and put into the tree.
-3. Templates held by at least ``MIN_DOCS`` documents recur; their lines are
+3. Templates held by at least ``min_docs`` documents recur; their lines are
    found by the numbers that the first step gave them, and dropped.
 """
 
@@ -34,6 +34,8 @@ from .common import batches_of, keep_rows, rows, stored, text_or_empty
 DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
+#: Documents that make a repeated passage: what op7_line_dedup asks for.
+REPEATED = 2
 FIELD = "<*>"
 #: Characters of masked lines that a task holds before it sends them on.
 HOLD_CHARS = 24 << 20

@@ -60,7 +60,7 @@ FROM d JOIN g ON d.text_sha256 = g.text_sha256"""
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_templates(read(spark, sf_dir, "documents")) \
+    return line_dedup.line_templates(read(spark, sf_dir, "documents"), min_docs=line_dedup.REPEATED) \
         .withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
 
 

@@ -72,3 +72,12 @@ def test_edge_rows_drop_lines_and_empty_table(spark):
     assert (9, "") in texts and (3, None) in texts and (14, "x" * 5000) in texts
     assert clean.count() == len(EDGE) - 1                    # the repeated row
     assert line_dedup.line_templates(empty_docs(spark)).count() == 0
+
+
+def test_query_drops_a_passage_of_two_documents(spark, tmp_path):
+    from riskframe.llm.queries import op7_line_dedup
+
+    passage = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    rows = [(1, "own words here\n" + passage), (2, passage + "\nsome other end"), (3, "nothing of it")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.dropped for r in op7_line_dedup(spark, str(tmp_path)).collect()} == {1: "1", 2: "0", 3: ""}
