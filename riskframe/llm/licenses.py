@@ -3,13 +3,17 @@
 A text's canonical form is lower case, without copyright lines, with one
 spelling of equivalent words and single spaces for punctuation and white
 space. Its SHA-256 is looked up among the digests of known licences (a hash
-join over entire texts; the known side is a fixed list). Single lines that
+join over entire texts; the known side is a fixed list). A text that begins
+with title or copyright lines, comment marks in front or not, is looked up
+without that beginning too. Single lines that
 speak of a licence are looked up the same way among known notices.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,8 +115,39 @@ NOTICES = {
     "SPDX-License-Identifier: GPL-3.0": "GPL-3.0",
 }
 
+#: Clause that makes the two-clause licence the three-clause one.
+NO_ENDORSEMENT = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse
+or promote products derived from this software without specific prior written permission.
+
+"""
+
+
+def more_texts() -> dict[str, str]:
+    """Text to id: the licences whose whole texts are files beside this module,
+    the three-clause BSD licence, and common forms of the same texts (clauses
+    with bullets for numbers, the Apache licence without its appendix or with
+    the appendix filled in)."""
+    out = {f.read_text(encoding="utf-8"): f.stem for f in sorted((Path(__file__).parent / "texts").glob("*.txt"))}
+    apache = next(t for t, i in out.items() if i == "Apache-2.0")
+    out[apache[:apache.index("APPENDIX:")]] = "Apache-2.0"
+    out[re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", apache)] = "Apache-2.0"
+    bsd = {"BSD-2-Clause": LICENSES["BSD-2-Clause"],
+           "BSD-3-Clause": LICENSES["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", NO_ENDORSEMENT + "THIS SOFTWARE IS PROVIDED")}
+    for i, t in bsd.items():
+        out |= {t: i, re.sub(r"(?m)^[0-9]\. ", "", t): i}
+    return out
+
+
 # lines that only state a copyright: "Copyright (c) 2020 X", "(c) 2020 X", "© X", "All rights reserved."
 COPYRIGHT = (r"(?m)^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*$")
+# title and copyright lines at the beginning of a (lower-case) text; marks of
+# comments and headings may stand before and after
+_NEW = r"[\"'“”]?(?:new|revised|modified|simplified)[\"'“”]?"
+_TITLE = (r"(?:the[ \t]+)?(?:mit(?:/x11|/expat)?|x11|expat|isc|0bsd|zlib(?:[ /]libpng)?|unlicense|software|"
+          rf"(?:(?:{_NEW}|(?:[023]|zero|two|three)-clause) )?bsd(?:[ -](?:[023]|zero|two|three)[ -]clause)?(?: {_NEW}(?: or {_NEW})?)?)"
+          r"(?:[ \t]+licen[cs]e)?(?:[ \t]*\([^()\n]{1,60}\))?|licen[cs]e")
+HEADER = (r"\A(?:[^\p{L}\p{N}]*+(?:(?:(?:portions )?copyright\b|c\)[ \t]*[0-9]|(?<=©[ \t]{0,4})[\p{L}\p{N}]|all rights reserved|"
+          rf"spdx-license-identifier)[^\n]*+|(?:{_TITLE})[^\p{{L}}\p{{N}}\n]*+)(?:\n|\z)){{1,200}}")
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 LICENSE_LINE = "licen"
 
@@ -133,6 +168,18 @@ def known_digests(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
         .select(digest(F.col("k.text")).alias("digest"), F.col("k.id").alias("id"))
 
 
+def known_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
+    """``digest``, ``license_id`` of the texts as they are and without header."""
+    t = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("text"), F.lit(i).alias("id")) for t, i in texts.items()])).alias("k")).select("k.text", "k.id")
+    forms = F.array(digest(F.col("text")), digest(without_header(F.col("text"))))
+    return t.select(F.explode(forms).alias("digest"), "id").groupBy("digest").agg(F.min("id").alias("license_id"))
+
+
+def without_header(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), HEADER, "")
+
+
 def license_scan(docs: DataFrame, *, licenses: dict[str, str] | None = None,
                  notices: dict[str, str] | None = None) -> DataFrame:
     """One row per input row: ``doc_id``, ``text_digest`` (of the canonical
@@ -144,19 +191,22 @@ def license_scan(docs: DataFrame, *, licenses: dict[str, str] | None = None,
     none; other columns are not read. Nothing but the fixed lists is broadcast
     and nothing is shuffled."""
     spark = docs.sparkSession
-    known = known_digests(spark, {t: i for i, t in (licenses or LICENSES).items()}) \
-        .groupBy("digest").agg(F.min("id").alias("license_id"))
+    texts = {t: i for i, t in (licenses or LICENSES).items()} | ({} if licenses else more_texts())
+    known = known_texts(spark, texts)
     lines_known = known_digests(spark, notices or NOTICES).groupBy("digest").agg(F.min("id").alias("id")).collect()
     ids = F.create_map(*[F.lit(x) for r in lines_known for x in (r["digest"], r["id"])])  # a dozen constants
     # split only the few texts that speak of a licence at all
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     lines = F.when(F.contains(F.lower("text"), F.lit(LICENSE_LINE)), F.filter(
         F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit(LICENSE_LINE)))).otherwise(F.array().cast("array<string>"))
-    d = d.select("doc_id", digest(F.col("text")).alias("text_digest"), lines.alias("lines"))
+    headed = F.when(F.regexp_like(F.lower("text"), F.lit(HEADER)), digest(without_header(F.col("text"))))
+    d = d.select("doc_id", digest(F.col("text")).alias("text_digest"), headed.alias("body_digest"), lines.alias("lines"))
     found = F.array_sort(F.array_distinct(F.filter(
         F.transform("lines", lambda x: F.try_element_at(ids, digest(x))), lambda x: x.isNotNull())))
-    return d.join(F.broadcast(known), d.text_digest == known.digest, "left").select(
-        "doc_id", "text_digest", "license_id", F.array_join(found, ",").alias("notices"),
+    body = known.select(F.col("digest").alias("b_digest"), F.col("license_id").alias("b_id"))
+    return d.join(F.broadcast(known), d.text_digest == known.digest, "left") \
+        .join(F.broadcast(body), d.body_digest == body.b_digest, "left").select(
+        "doc_id", "text_digest", F.coalesce("license_id", "b_id").alias("license_id"), F.array_join(found, ",").alias("notices"),
         F.size("lines").cast("long").alias("license_lines"))
 
 

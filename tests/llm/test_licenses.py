@@ -41,3 +41,26 @@ def test_edge_rows_and_empty_table(spark):
 def test_plan_is_native(spark):
     plan = licenses.license_scan(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_licence_files_with_titles_comment_marks_and_bare_copyright_lines(spark):
+    texts = licenses.LICENSES
+    more = {i: t for t, i in reversed(list(licenses.more_texts().items()))}
+    marked = lambda mark, t: "\n".join(f"{mark} {line}" for line in t.split("\n"))
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 Someone\n\n" + MIT),
+            ("MIT", "The MIT License (MIT)\n=====================\n\nCopyright © 2018 to present, X Ltd and contributors.\n\n" + MIT),
+            ("MIT", marked("#", "Copyright (c) 2001 X\nCopyright The Y Authors\n\n" + MIT)),
+            ("MIT", "/*\n" + marked(" *", "Copyright Someone <a@b.c>\n\n" + MIT) + "\n */"),
+            ("ISC", "ISC License\n\nCopyright 2020, X\n\n" + texts["ISC"]),
+            ("Zlib", "zlib License\n\n(C) 1995 X\n\n" + texts["Zlib"]),
+            ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + texts["BSD-2-Clause"]),
+            ("BSD-2-Clause", "Copyright X\n" + texts["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")),
+            ("BSD-3-Clause", "BSD 3-Clause \"New\" or \"Revised\" License\n\nCopyright (c) X\n\n" + more["BSD-3-Clause"]),
+            ("Unlicense", more["Unlicense"]), ("GPL-3.0", more["GPL-3.0"]), ("MPL-2.0", more["MPL-2.0"]),
+            ("LGPL-2.1", more["LGPL-2.1"]), ("CC0-1.0", more["CC0-1.0"]), ("GPL-2.0", more["GPL-2.0"])]
+    apache = next(t for t, i in licenses.more_texts().items() if i == "Apache-2.0" and "[yyyy]" in t)
+    rows += [("Apache-2.0", apache), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2018 X Inc.")),
+             ("Apache-2.0", apache[:apache.index("APPENDIX:")]),
+             (None, "MIT License\n"), (None, "Copyright X\n" + MIT + " and one word more"), (None, "\n" * 100_000 + "Copyright X\n" * 500)]
+    got = scan(spark, [(n, t) for n, (_, t) in enumerate(rows)])
+    assert [got[n].license_id for n in range(len(rows))] == [i for i, _ in rows]
