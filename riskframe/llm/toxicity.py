@@ -78,8 +78,9 @@ def scored_tokens(toks: list[bytes], table: dict[bytes, float]) -> list[tuple[in
 def segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score) of a text
     whose token at each listed position has the listed score and whose other
-    tokens score ``-drift``. Linear time in the listed tokens."""
-    found: list[list] = []      # start, end, score before it, score up to its end
+    tokens score ``-drift``. Linear time in the listed tokens: a segment knows
+    the nearest earlier one with a smaller score before it."""
+    found: list[list] = []      # start, end, score before it, score up to its end, link
     total, last = 0.0, -1
     for at, s in scored:
         total -= drift * (at - last - 1)
@@ -88,16 +89,17 @@ def segments(scored: list[tuple[int, float]], drift: float) -> list[tuple[int, i
             total += s
             continue
         start, before, total = at, total, total + s
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
-                found.append([start, at, before, total])
+                found.append([start, at, before, total, j])
                 break
-            start, before = found[j][0], found[j][2]
+            start, before, link = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(a, b, up - low) for a, b, low, up in found]
+            j = link
+    return [(a, b, up - low) for a, b, low, up, _ in found]
 
 
 @dataclass

@@ -97,3 +97,35 @@ def test_passages_are_the_planted_ones(spark):
     found = [(r.first_token, r.last_token) for r in toxicity.passages(
         spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()]
     assert found == [(60, 63)]
+
+
+def test_segments_follow_links():
+    """Falling sums: every hit would step over all earlier segments."""
+    import random
+    import time
+
+    def plain(scored, drift):
+        found, total, last = [], 0.0, -1
+        for at, s in scored:
+            total -= drift * (at - last - 1)
+            last = at
+            if s <= 0:
+                total += s
+                continue
+            start, before, total = at, total, total + s
+            while True:
+                j = max((i for i, f in enumerate(found) if f[2] < before), default=-1)
+                if j < 0 or found[j][3] >= total:
+                    found.append([start, at, before, total])
+                    break
+                start, before = found[j][0], found[j][2]
+                del found[j:]
+        return [(a, b, up - low) for a, b, low, up in found]
+
+    rng = random.Random(8)
+    for _ in range(200):
+        scored = [(i, rng.choice((-2.0, -1.0, 0.5, 1.0, 1.5))) for i in range(60) if rng.random() < 0.7]
+        assert toxicity.segments(scored, 0.3) == plain(scored, 0.3)
+    began = time.process_time()
+    assert len(toxicity.segments([(20 * i, 0.5) for i in range(60_000)], 0.05)) == 60_000
+    assert time.process_time() - began < 5
