@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, licenses, line_dedup, lm, packing, simhash, toxicity
+from . import ann, bpe, chat, exact_dedup, licenses, line_dedup, lm, mixing, packing, periodic, simhash, spelling, toxicity
 from .common import read
 
 
@@ -77,6 +77,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(read(spark, sf_dir, "documents"), slips=True)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(read(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -88,10 +100,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_ann": op10_ann,
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLES = {
     "op1_license_scan": licenses.ORACLE,
     "op6_exact_dedup": OP6_SQL,
     "op9_chat_format": chat.ORACLE,
+    "op13_mixing": mixing.ORACLE,
 }
