@@ -13,11 +13,13 @@ P(word | context) = P(class | context) * P(word | class).
   distribution over the same words as the unigram base: the V known ones and
   one unknown.
 
-Training: in each round every partition takes gradient steps (row-wise
-Adagrad, numpy mini-batches) over all its training tokens, from the common
-weights; weight rows are then averaged, weighted by how often each partition
-touched them. Sums are made by Spark in blocks of rows; the model that reaches
-the driver has a fixed size. Words beyond the hot ones are never broadcast:
+Training: in each round every worker takes gradient steps (row-wise Adagrad,
+numpy mini-batches) over all its training tokens, from the common weights;
+weight rows are then averaged, weighted by how often each worker touched them.
+A worker is one or more input partitions with at least as many bytes of text as
+a model has, and sends touched rows only, so the updates are no larger than the
+text. Sums are made by Spark in blocks of rows; the model that reaches the
+driver has a fixed size. Words beyond the hot ones are never broadcast:
 texts look their counts up in a join.
 """
 
@@ -247,11 +249,19 @@ def gradient_steps(model: Model, tokens: Iterator[Tokens], seed: int = 0, rate:
     return w, bias, seen, total
 
 
-_UPDATE = pa.schema([("block", pa.int32()), ("slot", pa.int32()), ("part", pa.binary())])
-_UPDATE_DDL = "block int, slot int, part binary"
-#: Slots in which a block is summed before its slots are: no task reads a block
-#: of every partition.
+_UPDATE = pa.schema([("block", pa.int32()), ("slot", pa.int32()), ("rows", pa.binary()), ("part", pa.binary())])
+_UPDATE_DDL = "block int, slot int, rows binary, part binary"
+#: Slots in which a block is summed before its slots are, where there are more
+#: workers: no task reads a block of every worker.
 SLOTS = 64
+#: Bytes that a token of a text takes, about; and those of a model.
+TOKEN_BYTES = 6
+MODEL_BYTES = 4 * ROWS * (CLASSES + 1)
+
+
+def workers(tokens: int) -> int:
+    """Workers of a round: each has at least a model's bytes of text."""
+    return max(tokens * TOKEN_BYTES // MODEL_BYTES, 1)
 
 
 def _steps(shared, fold_seed: int):
@@ -262,27 +272,37 @@ def _steps(shared, fold_seed: int):
                                               seed=fold_seed + TaskContext.get().partitionId())
         if not total:
             return
-        rows = np.hstack([w * seen[:, None], seen[:, None]])
-        blocks = [rows[a:a + BLOCK_ROWS] for a in range(0, ROWS, BLOCK_ROWS)] + [np.r_[bias * total, total][None, :]]
-        for i, x in enumerate(blocks):
-            yield _update(i, TaskContext.get().partitionId() % SLOTS, x)
+        slot = TaskContext.get().partitionId() % SLOTS
+        for i, first in enumerate(range(0, ROWS, BLOCK_ROWS)):
+            used = np.flatnonzero(seen[first:first + BLOCK_ROWS])
+            if len(used):
+                n = seen[first + used, None]
+                yield _update(i, slot, used, np.hstack([w[first + used] * n, n]))
+        yield _update(ROWS // BLOCK_ROWS, slot, np.zeros(1, dtype=int), np.r_[bias * total, total][None, :])
     return run
 
 
-def _update(block: int, slot: int, x: np.ndarray) -> pa.RecordBatch:
+def _update(block: int, slot: int, rows: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """Some rows of a block, each followed by how often it was used."""
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([slot], pa.int32()),
+                                       pa.array([rows.astype("<u2").tobytes()], pa.binary()),
                                        pa.array([x.astype("<f4").tobytes()], pa.binary())], schema=_UPDATE)
 
 
+def _rows_of(rows: bytes, part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(rows, dtype="<u2").astype(int), np.frombuffer(part, dtype="<f4").reshape(-1, CLASSES + 1)
+
+
 def _sum_blocks(batches):
     """Sums of the blocks that were dealt to this task."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for i, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-            v = np.frombuffer(x, dtype="<f4")
-            sums[i] = sums[i] + v if i in sums else v.astype(np.float64)
+        for i, rows, part in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
+            at, v = _rows_of(rows, part)
+            sums.setdefault(i, np.zeros((BLOCK_ROWS, CLASSES + 1)))[at] += v
     for i, v in sums.items():
-        yield _update(i, 0, v)
+        used = np.flatnonzero(v[:, -1])
+        yield _update(i, 0, used, v[used])
 
 
 def _grouped(sketch: np.ndarray, count: np.ndarray, groups: int, tries: int = 4) -> np.ndarray:
@@ -357,17 +377,17 @@ def fit(texts: DataFrame, *, hot: int = HOT, rounds: int = ROUNDS):
     model = Model(keys, cls.astype(np.int16), count, mass, np.zeros((ROWS, CLASSES), dtype=np.float32), bias.astype(np.float32))
     for r in range(rounds if row["n"] else 0):
         shared = spark.sparkContext.broadcast(model)
-        updates = texts.select("text").mapInArrow(_steps(shared, 1000 * r), _UPDATE_DDL)
-        for deal in (["block", "slot"], ["block"]):
+        some = workers(row["n"])
+        updates = texts.select("text").coalesce(some).mapInArrow(_steps(shared, 1000 * r), _UPDATE_DDL)
+        for deal in (["block", "slot"], ["block"])[some <= SLOTS:]:
             updates = updates.repartition(*deal).mapInArrow(_sum_blocks, _UPDATE_DDL)
-        summed = updates.toArrow()                        # ROWS x (CLASSES + 1) numbers
-        for i, x in zip(summed.column("block").to_pylist(), summed.column("part").to_pylist()):
-            v = np.frombuffer(x, dtype="<f4").reshape(-1, CLASSES + 1)
+        summed = updates.toArrow()                        # at most ROWS x (CLASSES + 1) numbers
+        for i, rows, part in zip(*(summed.column(c).to_pylist() for c in ("block", "rows", "part"))):
+            at, v = _rows_of(rows, part)
             if i * BLOCK_ROWS >= ROWS:
                 model.bias = (v[0, :-1] / v[0, -1]).astype(np.float32)
-                continue
-            used = v[:, -1] > 0
-            model.weights[i * BLOCK_ROWS:i * BLOCK_ROWS + len(v)][used] = v[used, :-1] / v[used, -1:]
+            else:
+                model.weights[i * BLOCK_ROWS + at] = v[:, :-1] / v[:, -1:]
     return model, types.select("w", "n"), least, row["n"], row["v"]
 
 

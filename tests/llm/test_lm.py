@@ -93,3 +93,15 @@ def test_tokens_and_features():
     assert (f[0] == f[4]).all() and (f[0] == f[5]).all()
     assert f[1, 0] != f[0, 0] and f[1, 2] == f[0, 2]             # after the first word: new bigram, same skip
     assert f.max() < lm.ROWS and f.min() >= 0
+
+
+def test_updates_are_no_larger_than_the_text():
+    assert lm.workers(0) == 1
+    for tokens in (10**6, 10**8, 10**12):
+        assert lm.workers(tokens) * lm.MODEL_BYTES <= max(tokens * lm.TOKEN_BYTES, lm.MODEL_BYTES)
+    x = np.random.default_rng(1).random((3, lm.CLASSES + 1)).astype(np.float32)
+    sent = [lm._update(4, 0, np.array(at), x[:len(at)]) for at in ([5, 900, 1023], [900, 901])]
+    (got,) = lm._sum_blocks(iter(sent))
+    at, v = lm._rows_of(got.column(2)[0].as_py(), got.column(3)[0].as_py())
+    assert at.tolist() == [5, 900, 901, 1023]                    # rows that nobody touched are not sent
+    assert np.allclose(v, [x[0], x[1] + x[0], x[1], x[2]])
