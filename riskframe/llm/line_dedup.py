@@ -16,8 +16,9 @@ block, so its work grows with its lines, not with lines times templates.
    line leaves it once, and numbers them. The table is bounded: it is sent on
    when it is full.
 2. What is left is dealt out by leaf and put into the tree.
-3. Templates held by at least ``min_docs`` documents recur; their lines are
-   found by the numbers that the first step gave them, and dropped.
+3. Templates held by at least ``min_docs`` different texts recur; their lines
+   are found by the numbers that the first step gave them, and dropped, all but
+   the first of each template.
 """
 
 from __future__ import annotations
@@ -33,9 +34,8 @@ from .common import batches_of, keep_rows, rows, stored, text_or_empty
 
 DEPTH = 3
 SIMILARITY = 0.8
-MIN_DOCS = 3
-#: Documents that make a repeated passage: what op7_line_dedup asks for.
-REPEATED = 2
+#: Different texts that make a template recur.
+MIN_DOCS = 2
 FIELD = "<*>"
 #: Characters of masked lines that a task holds before it sends them on.
 HOLD_CHARS = 24 << 20
@@ -159,11 +159,15 @@ def line_templates(docs: DataFrame, *, depth: int = DEPTH, similarity: float = S
                    min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per input row: ``doc_id``, ``text_key`` (hash of the text),
     ``n_lines`` (lines, blank ones too), ``n_dropped``, ``dropped`` (numbers
-    from 0 of the lines whose template recurs, in order).
-
-    A template recurs if at least ``min_docs`` rows hold it, so repeated rows
-    count. Blank lines are never dropped. NULL text is empty (one blank line);
-    an empty table gives no row; other columns are not read. Lines end at LF."""
+    from 0 of the lines to drop, in order).
+
+    A template recurs if at least ``min_docs`` different texts hold it: repeated
+    rows and exact copies count once. Of a recurring template's lines the one
+    with the smallest (doc_id, text_key, number) stays, in every row that
+    repeats that document; a NULL doc_id counts as the largest. So every
+    template stays somewhere, and no text loses a line to its own copies alone.
+    Blank lines are never dropped. NULL text is empty (one blank line); an empty
+    table gives no row; other columns are not read. Lines end at LF."""
     text = text_or_empty()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     local = stored(src.mapInArrow(_number_lines, _LOCAL_DDL), "lines")
@@ -173,15 +177,19 @@ def line_templates(docs: DataFrame, *, depth: int = DEPTH, similarity: float = S
         .repartition("leaf").sortWithinPartitions("leaf", "line", "no") \
         .mapInArrow(_tree(similarity, min_docs), _JOINED_DDL).select("no", "template")
     per_doc = local.where("row IS NOT NULL")
-    hits = per_doc.select("row", F.posexplode("nos").alias("pos", "no")).where("no IS NOT NULL").join(named, "no")
-    hits = stored(hits.select("row", "pos", "template"), "line-hits")
-    # the bound counts a row twice if two of its different lines join one template
-    recur = hits.groupBy("template", "row").agg(F.lit(1).alias("one")) \
-        .groupBy("template").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("template")
+    hits = per_doc.select("row", "doc_id", "text_key", F.posexplode("nos").alias("pos", "no")).where("no IS NOT NULL").join(named, "no")
+    hits = stored(hits.select("row", "doc_id", "text_key", "pos", "template"), "line-hits")
+    # one row per text first: the bound counts a text twice if two of its
+    # different lines join one template
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "pos")
+    recur = hits.groupBy("template", "text_key").agg(F.min(place).alias("first")) \
+        .groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs) \
+        .select("template", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "text_key", "pos")])
     # written, so that the join deals both sides out anew and Spark can split a
     # very common template
     recur = stored(recur, "line-templates")
-    dropped = hits.join(recur, "template").groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("text_key") == F.col("first_text_key")) & (F.col("pos") == F.col("first_pos"))
+    dropped = hits.join(recur, "template").where(~stays).groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
     return per_doc.join(dropped, "row", "left").select(
         "doc_id", "text_key", F.size("nos").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
