@@ -186,6 +186,15 @@ def platt_transform(model, df: DataFrame, score: str = "risk_score", out: str =
     return df.withColumn(out, F.lit(1.0) / (1 + F.exp(-(F.lit(a) * F.log(p / (1 - p)) + F.lit(b)))))
 
 
+def auc_by(df: DataFrame, group: str, y: str, score: str) -> dict:
+    """Exact ROC-AUC (ties half) of every group, from one table of running
+    sums; one row per group reaches the driver. None where a class is missing."""
+    yy = _y(y)
+    c = value_cumsums(df, [score], {"pos": yy, "neg": F.lit(1) - yy}, by=[group])
+    auc = F.try_divide(F.sum(F.col("pos") * (F.col("neg_lt") + F.col("neg") / 2.0)), F.first("pos_tot") * F.first("neg_tot").cast("double"))
+    return {r[group]: r["auc"] for r in c.groupBy(group).agg(auc.alias("auc")).collect()}
+
+
 def evaluation_report(df: DataFrame, y: str = "defaulted", score: str = "risk_score",
                       threshold: float = 0.5) -> DataFrame:
     """EV-15: one row with roc_auc, pr_auc, log_loss, the EV-2 rates, MCC,

@@ -387,6 +387,8 @@ def fit_levels(train: DataFrame, cols: list[str], fallback: str = "Unknown") ->
     """Modes and one-hot vocabulary from one aggregation: the vocabulary is
     that of the filled columns, so the fallback counts where a column has
     NULLs and no value."""
+    if not cols:
+        return {}, {}
     counts = long_form_str(train, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect()
     modes, vocab = {}, {}
     for c in cols:

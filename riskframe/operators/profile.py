@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import literal_table
+from ..session import cut_lineage
 from .ordered import ValueTable, exact_quantiles, long_form, quantile_table, same, value_cumsums
 
 
@@ -104,6 +105,52 @@ def kde(df: DataFrame, cols: list[str], grid_points: int = 1000, fine_bins: int
     return dens
 
 
+def kde_bounded(df: DataFrame, cols: list[str], grid_points: int = 1000, tolerance: float = 1e-6) -> DataFrame:
+    """EDA-4 with an error bound: ``feature, gi, x, density, error_bound`` on
+    the grid and with the bandwidth of :func:`kde`.
+
+    Distinct values collapse into cells of a fraction of the bandwidth, and a
+    cell stands at the mean of its values. The first-order error then vanishes,
+    and a cell of weight w and variance v is off by at most w v / 2 times the
+    largest second derivative of the kernel within it; cells out of the
+    kernel's reach add at most its value there. ``error_bound`` sums this up and
+    is at most ``tolerance`` times the highest density a kernel of this
+    bandwidth can give, because the cell width follows from ``tolerance``. Work
+    is grid points x cells within reach, both independent of the rows. NULL and
+    NaN are ignored; a constant column has a NULL density."""
+    lf = long_form(df, cols).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    st = lf.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
+                                   F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"))
+    h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    st = cut_lineage(st.withColumn("h", F.when(h > 0, h)))                     # one row per column
+    reach = math.sqrt(2 * math.log(4 / tolerance))                             # half the tolerance for what is left out
+    cell_share = math.sqrt(tolerance)                                          # cell width in bandwidths: v <= width^2 / 4
+    stats = F.broadcast(st)
+    at = F.floor((F.col("value") - F.col("lo")) / (F.col("h") * F.lit(cell_share))).cast("long")
+    cells = lf.join(stats, "feature").where("h IS NOT NULL").groupBy("feature", at.alias("cell")) \
+        .agg(F.count(F.lit(1)).alias("w"), F.avg("value").alias("c"), F.var_pop("value").alias("v"))
+    # strips of the kernel's reach: a grid point meets the cells of three of them
+    strip = lambda x: F.floor((x - F.col("lo")) / (F.col("h") * F.lit(reach))).cast("long")
+    cells = cells.join(stats, "feature").withColumn("strip", strip(F.col("c"))).select("feature", "strip", "w", "c", "v")
+    span = F.col("hi") - F.col("lo")
+    grid = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("gi")) \
+        .withColumn("x", F.col("lo") - span / 2 + F.col("gi") * (2 * span) / F.lit(float(grid_points - 1)))
+    near = grid.withColumn("own", strip(F.col("x"))) \
+        .withColumn("strip", F.explode_outer(F.when(F.col("h").isNotNull(), F.sequence(F.col("own") - 1, F.col("own") + 1))))
+    z = (F.col("x") - F.col("c")) / F.col("h")
+    # the largest |z^2 - 1| exp(-z^2 / 2) within a cell, from the slope bound 1.4 of that function
+    curve = F.abs(z * z - 1) * F.exp(-0.5 * z * z) + F.lit(1.4 * cell_share)
+    sums = near.join(cells, ["feature", "strip"], "left").groupBy("feature", "gi").agg(
+        F.first("x").alias("x"), F.first("h").alias("h"), F.first("n").alias("n"),
+        F.coalesce(F.sum(F.col("w") * F.exp(-0.5 * z * z)), F.lit(0.0)).alias("kernels"),
+        F.coalesce(F.sum("w"), F.lit(0)).alias("met"),
+        F.coalesce(F.sum(F.col("w") * F.col("v") / (2 * F.col("h") * F.col("h")) * curve), F.lit(0.0)).alias("off"))
+    scale = F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
+    left_out = (F.col("n") - F.col("met")) * F.lit(math.exp(-0.5 * reach * reach))
+    return sums.select("feature", "gi", "x", (F.col("kernels") / scale).alias("density"),
+                       ((F.col("off") + left_out) / scale).alias("error_bound"))
+
+
 # ------------------------------------------------------------------ EDA-5/7
 def category_counts(df: DataFrame, cols: list[str], top: int | None = None,
                     max_distinct: int | None = None) -> DataFrame:
@@ -155,11 +202,25 @@ def rate_by_category(df: DataFrame, cols: list[str], target: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ EDA-8/9/10
+#: Columns up to which every pair is an aggregate of its own in one plan.
+WIDE = 24
+
+
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows where both are known; NULL if one is
+    constant there (``corr`` fails then in ANSI mode)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b)))
+
+
 def correlation_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """EDA-8: Pearson correlation of every pair (pairwise-complete), one scan
-    with k(k-1)/2 ``corr`` aggregates; long form (f1, f2, corr) incl. diagonal."""
+    with k(k-1)/2 ``corr`` aggregates (more than ``WIDE`` columns: blocked
+    cross-products); long form (f1, f2, corr) incl. diagonal."""
+    if len(cols) > WIDE:
+        from .wide import correlation_wide
+        return correlation_wide(df, cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    one = df.agg(*[F.corr(_d(cols[i]), _d(cols[j])).alias(f"c{i}_{j}") for i, j in pairs]) if pairs \
+    one = df.agg(*[_corr(_d(cols[i]), _d(cols[j])).alias(f"c{i}_{j}") for i, j in pairs]) if pairs \
         else df.agg(F.lit(1).alias("__dummy"))
     structs = []
     for i, j in pairs:
@@ -185,11 +246,14 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
     VIF_i = (R^-1)_ii of the k x k correlation matrix. The matrix (k^2
     numbers) is the only thing that reaches the driver. Singular / empty ->
     NULL."""
+    if len(cols) > WIDE:
+        from .wide import vif_wide
+        return vif_wide(df, cols)
     from ..sources.io import nan_to_null
     clean = nan_to_null(df.select(*[_d(c).alias(c) for c in cols])).dropna()
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     row = clean.agg(F.count(F.lit(1)).alias("n"),
-                    *[F.corr(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+                    *[_corr(F.col(cols[i]), F.col(cols[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
     k = len(cols)
     vals: list[float | None] = [None] * k
     if row["n"] and row["n"] > 1:

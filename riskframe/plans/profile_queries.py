@@ -102,6 +102,31 @@ register(Query(
     floats=["x", "density"], ctes=_k_ctes, sql=_k_sql, digits={"density": 12, "x": 4}))
 
 
+def _kde_exact(spark, sf):
+    """The bounded density in units of 1 / std, so that every column has the
+    same digits, and whether its error bound keeps the tolerance."""
+    cols, tolerance = ["Income", "CreditScore", "LoanAmount"], 1e-8
+    a = X.applications(spark, sf)
+    sd = a.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols])
+    sd = sd.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("sd")) for c in cols])).alias("s")).select("s.*")
+    n = a.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    d = P.kde_bounded(a, cols, grid_points=100, tolerance=tolerance)
+    j = d.join(F.broadcast(sd), d.feature == sd.f).crossJoin(F.broadcast(n))            # three rows and one
+    peak = 1 / (F.lit(float(np.sqrt(2 * np.pi))) * F.col("sd") * F.pow("n", F.lit(-0.2)))
+    return j.select("feature", "gi", (F.col("density") * F.col("sd")).alias("density"), (F.col("error_bound") <= tolerance * peak).alias("bounded"))
+
+
+register(Query(
+    "kde_exact", _kde_exact, operators="EDA-4", floats=["density"], digits={"density": 5},
+    # every row is a kernel of its own
+    ctes="""ex AS (SELECT feature, CAST(value AS DOUBLE) AS v FROM (SELECT CAST(Income AS DOUBLE) AS Income, CAST(CreditScore AS DOUBLE) AS CreditScore,
+  CAST(LoanAmount AS DOUBLE) AS LoanAmount FROM applications) UNPIVOT (value FOR feature IN (Income, CreditScore, LoanAmount))),
+es AS (SELECT feature, min(v) AS lo, max(v) AS hi, CAST(count(*) AS DOUBLE) AS n, stddev_samp(v) AS sd FROM ex GROUP BY feature),
+eg AS (SELECT *, CAST(i AS INTEGER) AS gi, lo - (hi - lo) / 2 + i * (2 * (hi - lo)) / 99e0 AS x, sd * pow(n, -0.2) AS h FROM es, range(100) t(i))""",
+    sql=f"""SELECT eg.feature, gi, sum(exp(-0.5 * ((x - v) / h) * ((x - v) / h))) * any_value(sd) / any_value(n * h * {float(np.sqrt(2 * np.pi))!r}) AS density,
+ true AS bounded FROM eg JOIN ex ON eg.feature = ex.feature GROUP BY eg.feature, gi"""))
+
+
 def _cat_cte(table: str, cols: list[str]) -> str:
     lf = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM {table} "
                             f"WHERE {c} IS NOT NULL" for c in cols)
@@ -174,8 +199,42 @@ register(Query(
     sql="""SELECT f1, f2, corr, abs(corr) AS abs_corr FROM cl JOIN pos a ON cl.f1 = a.f JOIN pos b ON cl.f2 = b.f
 WHERE a.p > b.p ORDER BY abs(corr) DESC, a.p, b.p LIMIT 10"""))
 
+
+
+def _vif_sql(table: str, cols: list[str]) -> str:
+    """The correlation matrix inverted by sweeping every column in turn."""
+    k = range(len(cols))
+    sql = "SELECT " + ", ".join(f"{'1e0' if i == j else f'corr(CAST({cols[i]} AS DOUBLE), CAST({cols[j]} AS DOUBLE))'} AS r{i}_{j}"
+                                for i in k for j in k) + f" FROM {table}"
+    for p in k:
+        cell = {(i, j): f"r{i}_{j} - r{i}_{p} * r{p}_{j} / r{p}_{p}" if p not in (i, j) else f"1 / r{p}_{p}" if i == j
+                else f"r{p}_{j} / r{p}_{p}" if i == p else f"-r{i}_{p} / r{p}_{p}" for i in k for j in k}
+        sql = "SELECT " + ", ".join(f"{e} AS r{i}_{j}" for (i, j), e in cell.items()) + f" FROM ({sql}) s{p}"
+    return " UNION ALL ".join(f"SELECT '{c}' AS feature, r{i}_{i} AS vif FROM ({sql}) t{i}" for i, c in enumerate(cols))
+
+
+register(Query(
+    "vif", lambda spark, sf: P.vif(X.applications(spark, sf), NUMERIC), operators="EDA-10", floats=["vif"],
+    sql=_vif_sql("applications", NUMERIC)))
+
+#: Products of pairs of columns: a wide table of correlated columns.
+_WIDE = [f"{a} * {b}" for i, a in enumerate(NUMERIC) for b in NUMERIC[i:]] + [f"{c} * {c} * {c}" for c in NUMERIC] + \
+    [f"{a} * {b} * {c}" for i, a in enumerate(NUMERIC) for j, b in enumerate(NUMERIC[i:], i) for c in NUMERIC[j + 1:] if a != b]
+_WIDE_COLS = [f"w{i}" for i in range(len(_WIDE))]
+
+
+def _wide(spark, sf):
+    exprs = [f"CAST(CASE WHEN app_id % {i + 7} > 0 THEN CAST({e.split(' * ')[0]} AS DOUBLE) * {' * '.join(e.split(' * ')[1:])} END AS DOUBLE) AS w{i}"
+             for i, e in enumerate(_WIDE)]
+    return P.correlation_long(X.applications(spark, sf).selectExpr(*exprs), _WIDE_COLS)
+
+
 register(Query(
-    "vif", lambda spark, sf: P.vif(X.applications(spark, sf), NUMERIC), operators="EDA-10"))
+    "correlation_wide", _wide, operators="EDA-8", floats=["corr"],
+    ctes="wd AS MATERIALIZED (SELECT " + ", ".join(
+        f"CASE WHEN app_id % {i + 7} > 0 THEN CAST({e.split(' * ')[0]} AS DOUBLE) * {' * '.join(e.split(' * ')[1:])} END AS w{i}"
+        for i, e in enumerate(_WIDE)) + " FROM applications)",
+    sql=_corr_sql("wd", _WIDE_COLS)))
 
 register(Query(
     "vif_pair", lambda spark, sf: P.vif(X.applications(spark, sf), ["CreditScore", "Income"]),

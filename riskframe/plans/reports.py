@@ -10,13 +10,14 @@ import os
 import uuid
 
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import literal_table
 from ..operators import decisions as D
 from ..operators import profile as P
 from ..operators import quality as Q
+from ..operators.boosting import TREE_PRESETS, Booster
 from ..operators.features import Preprocessor
 from ..operators.ordered import value_table
 from ..operators.training import Fitted, feature_importance
@@ -62,6 +63,18 @@ def eda_report(df: DataFrame, target: str, numeric: list[str] | None = None,
     return out
 
 
+def eda_summary(df: DataFrame, target: str, path: str, top: int = 10) -> DataFrame:
+    """IO-3: the summary part of the EDA report, written as JSON lines under
+    ``path`` and read back: missing values, shape, target, VIF and the ``top``
+    information values and univariate AUCs (ties by name)."""
+    r = eda_report(df, target).where(F.col("section").isin("missing", "shape", "target", "information_value", "roc_auc", "vif"))
+    rn = F.row_number().over(Window.partitionBy("section").orderBy(F.col("value").desc_nulls_last(), "feature"))
+    ranked = F.col("section").isin("information_value", "roc_auc")          # one row per column
+    r = r.withColumn("rn", rn).where(~ranked | (F.col("rn") <= top)).drop("rn")
+    write_table(r, path, fmt="json")
+    return df.sparkSession.read.schema(r.schema).json(path)
+
+
 def profile_report(df: DataFrame, target: str | None = None) -> DataFrame:
     """EDA-22: schema-free profile: overview -> missing -> describe ->
     outliers -> z-scores -> correlation pairs -> categories -> target."""
@@ -133,13 +146,18 @@ def write_training(trained, path: str) -> None:
 
 
 def save_fitted(fitted: Fitted, path: str) -> None:
-    """IO-4: the Spark ML model with its own writer; the preprocessing state
+    """IO-4: the Spark ML model with its own writer (trees of ``boosting`` as a
+    table of records); the preprocessing state
     (a few numbers and category lists) as one JSON record written by Spark."""
-    fitted.model.write().overwrite().save(os.path.join(path, "model"))
+    spark = SparkSession.getActiveSession()
+    if isinstance(fitted.model, Booster):
+        records = list(enumerate(fitted.model.records()))                # one per tree
+        literal_table(spark, records, "part int, record string").write.mode("overwrite").parquet(os.path.join(path, "model"))
+    else:
+        fitted.model.write().overwrite().save(os.path.join(path, "model"))
     p = fitted.prep
     state = json.dumps({"kind": fitted.kind, "numeric": p.numeric, "categorical": p.categorical,
                         "medians": p.medians, "modes": p.modes, "scaler": p.scaler, "vocab": p.vocab})
-    spark = SparkSession.getActiveSession()
     literal_table(spark, [(state,)], "state string").write.mode("overwrite").json(os.path.join(path, "prep"))
 
 
@@ -147,5 +165,8 @@ def load_fitted(spark: SparkSession, path: str) -> Fitted:
     st = json.loads(spark.read.json(os.path.join(path, "prep")).first()["state"])
     prep = Preprocessor(st["numeric"], st["categorical"], st["medians"], st["modes"],
                         {k: tuple(v) for k, v in st["scaler"].items()}, st["vocab"])
+    if st["kind"] in TREE_PRESETS:
+        parts = spark.read.parquet(os.path.join(path, "model")).orderBy("part").collect()
+        return Fitted(st["kind"], prep, Booster.from_records([r["record"] for r in parts]))
     cls = GBTClassificationModel if st["kind"].startswith("gbt") else LogisticRegressionModel
     return Fitted(st["kind"], prep, cls.load(os.path.join(path, "model")))

@@ -9,7 +9,8 @@ ALLOWED_GLOBAL_WINDOWS = {"pareto_thresholds", "plain_folds"}
 SKIP_PREFIX = ("stream_", "model_", "gbt_", "logistic_", "cross_validate", "feature_importance",
                "feature_selection", "batch_predict", "top_features", "platt", "eda_report",
                "csv_round_trip", "report_write", "profile_report", "decision_report", "oof_", "random_search",
-               "training_tables", "written_splits", "op", "pipeline")
+               "training_tables", "written_splits", "op", "pipeline", "boosted_", "tree_contributions",
+               "select_model", "tpe_search", "minority_")
 
 
 def _walk(node):
