@@ -71,7 +71,7 @@ def slipped(word: bytes, prefix: int) -> bytes:
 _COUNTS = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
 
-def count_words(docs: DataFrame, *, slips: bool = False) -> DataFrame:
+def count_words(docs: DataFrame, *, slips: bool = False, hold: int = HOLD_WORDS) -> DataFrame:
     """(word, n): runs of letters, A-Z in lower case, of at least ``MIN_LENGTH``
     letters. ``slips`` takes a letter out of the occurrences that the
     contract's rule picks (none in a row with a NULL doc_id)."""
@@ -88,7 +88,7 @@ def count_words(docs: DataFrame, *, slips: bool = False) -> DataFrame:
                             table[slipped(w, prefix)] += n
                 else:
                     table.update(found)
-                if len(table) > HOLD_WORDS:
+                if len(table) > hold:
                     yield from flush()
             yield from flush()
 
