@@ -9,9 +9,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import scoring as SC
-from ..session import ensure_checkpoint_dir, utc_session
+from ..session import cut_lineage, ensure_checkpoint_dir, utc_session
 from ..sources import fixtures as X
 from ..streaming import monitoring as M
+from ..streaming import state as ST
 from .catalog import Query, register
 
 _DEC = ("CASE WHEN risk_score < 3e-1 THEN 'APPROVE' WHEN risk_score > 7e-1 THEN 'REJECT' ELSE 'REVIEW' END")
@@ -234,4 +235,79 @@ def _stream_drift(spark, sf):
                              "drift", base=_root(spark, "drift"))
 
 
-register(Query("stream_drift", _stream_drift, operators="ST-4"))
+register(Query(
+    "stream_drift", _stream_drift, operators="ST-4", floats=["actual_default_rate", "mean_predicted", "gap"],
+    # a window is emitted once no decision in it can meet an outcome any more:
+    # the watermark (30 days after the latest decision) less the 90 days of delay
+    sql="""SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, avg(CAST(defaulted AS DOUBLE)) AS actual_default_rate,
+ avg(risk_score) AS mean_predicted, abs(avg(CAST(defaulted AS DOUBLE)) - avg(risk_score)) AS gap,
+ abs(avg(CAST(defaulted AS DOUBLE)) - avg(risk_score)) > 0.10 AS alert
+FROM (SELECT *, time_bucket(INTERVAL 30 DAY, app_ts, TIMESTAMP '1970-01-01 00:00:00') AS ws FROM scored) t
+WHERE ws + INTERVAL 30 DAY <= (SELECT max(app_ts) FROM scored) - INTERVAL 120 DAY GROUP BY ws"""))
+
+
+def _portfolio_rows(spark, sf, name):
+    with utc_session(spark), ST.rocksdb_state(spark):
+        return M.replay(spark, M.event_time(X.scored(spark, sf)), lambda s: ST.portfolio_stream(M.score_stream(s)), name,
+                        batches=5, base=_root(spark, name))
+
+
+register(Query(
+    "stream_portfolio", lambda spark, sf: ST.portfolio_view(_portfolio_rows(spark, sf, "portfolio")), operators="ST-5",
+    ctes=_DECIDED_CTE + ", mx AS (SELECT date_trunc('day', max(app_ts)) AS d0 FROM decided)",
+    sql="""SELECT count(*) AS total_all, count_if(app_ts >= d0 - INTERVAL 6 DAY) AS total_week,
+ count_if(app_ts >= d0) AS total_today, count_if(decision = 'APPROVE') AS approved_all,
+ count_if(decision = 'APPROVE' AND app_ts >= d0 - INTERVAL 6 DAY) AS approved_week,
+ count_if(decision = 'APPROVE' AND app_ts >= d0) AS approved_today FROM decided, mx"""))
+
+
+def _stream_last(spark, sf):
+    rows = ST.last_decisions_view(_portfolio_rows(spark, sf, "last"))
+    return _fmt(rows.withColumnsRenamed({"id": "app_id", "at": "app_ts"}), ["app_ts"])
+
+
+register(Query(
+    "stream_last_decisions", _stream_last, operators="ST-5", ctes=_DECIDED_CTE,
+    sql="""SELECT app_id, strftime(app_ts, '%Y-%m-%d %H:%M:%S') AS app_ts, decision FROM decided
+ORDER BY decided.app_ts DESC, app_id DESC LIMIT 10"""))
+
+
+def _stream_audit_once(spark, sf):
+    """Every application, and a tenth of them again 400 days later, which no
+    watermark of the stream would still know."""
+    a = X.scored(spark, sf)
+    again = a.where("app_id % 10 = 3").withColumn("app_ts", F.col("app_ts") + F.expr("INTERVAL 400 DAYS"))
+    base = _root(spark, "audit-once")
+    with utc_session(spark):
+        M.replay(spark, M.event_time(a.unionByName(again)), lambda s: s.select("app_id", "app_ts", "risk_score"), "audit",
+                 batches=4, base=base, sink=ST.audit_sink(f"{base}/log"))
+        log = ST.read_audit(spark, f"{base}/log")
+        return cut_lineage(_fmt(log, ["app_ts"]))
+
+
+register(Query(
+    "stream_audit_once", _stream_audit_once, operators="ST-6", floats=["risk_score"],
+    sql="SELECT app_id, strftime(app_ts, '%Y-%m-%d %H:%M:%S') AS app_ts, risk_score FROM scored"))
+
+
+def _stream_model(spark, sf):
+    """ST-1 with a fitted model: frozen preparation and logistic regression
+    score the stream, then the policy decides."""
+    from . import model_check_queries as C
+
+    m = C._two_fit(C._two_split(spark, sf))
+    with utc_session(spark):
+        return M.replay(spark, M.event_time(X.scored(spark, sf).drop("risk_score")),
+                        lambda s: M.score_stream(s, model=m).select("app_id", "risk_score", "decision"), "model",
+                        batches=3, base=_root(spark, "model"))
+
+
+def _stream_model_sql() -> tuple[str, str]:
+    from . import model_check_queries as C
+
+    return C._FIT, f"""SELECT app_id, p AS risk_score, CASE WHEN p < 3e-1 THEN 'APPROVE' WHEN p > 7e-1 THEN 'REJECT' ELSE 'REVIEW' END AS decision
+FROM (SELECT app_id, {C._PROB} AS p FROM sp, fit, st)"""
+
+
+register(Query("stream_model_scoring", _stream_model, operators="ST-1 ML-4", floats=["risk_score"], digits={"risk_score": 4},
+               ctes=_stream_model_sql()[0], sql=_stream_model_sql()[1]))

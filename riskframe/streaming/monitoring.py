@@ -138,7 +138,7 @@ def _arrivals(df: DataFrame, n: int, staged: str) -> set[int]:
 
 
 def replay(spark: SparkSession, df: DataFrame, build, name: str, ts: str = "app_ts", batches: int = 8,
-           mode: str = "append", base: str | None = None) -> DataFrame:
+           mode: str = "append", base: str | None = None, sink=None) -> DataFrame | None:
     """Feed ``df`` to a streaming plan as ``batches`` arrivals in event-time
     order and return the sink as a batch DataFrame.
 
@@ -147,8 +147,9 @@ def replay(spark: SparkSession, df: DataFrame, build, name: str, ts: str = "app_
     and the stream runs with ``trigger(availableNow=True)`` against one
     checkpoint. State, watermark and processed-file log carry over between
     runs, as for data arriving over time; a restart resumes from the checkpoint
-    without duplicating output. Everything lives under the shared checkpoint
-    folder. Rows without an event time come with the first arrival."""
+    without duplicating output. With ``sink``, a ``foreachBatch`` function,
+    output goes there and nothing is returned. Everything lives under the shared
+    checkpoint folder. Rows without an event time come with the first arrival."""
     root = os.path.join(base or os.path.join(ensure_checkpoint_dir(spark), "streams"), name)
     staged, src, out, ck = (os.path.join(root, d) for d in ("staged", "source", "out", "checkpoint"))
     cuts = _cuts(df, ts, batches)
@@ -156,10 +157,10 @@ def replay(spark: SparkSession, df: DataFrame, build, name: str, ts: str = "app_
     for i in sorted(_arrivals(df, len(cuts) + 1, staged)):
         _arrive(spark, df.schema, staged, i, src)
         stream = spark.readStream.schema(df.schema).parquet(src)
-        q = (build(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-             .outputMode(mode).trigger(availableNow=True).start())
+        w = build(stream).writeStream.option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True)
+        q = w.foreachBatch(sink).start() if sink else w.format("parquet").option("path", out).start()
         q.awaitTermination()
-    return spark.read.parquet(out)
+    return None if sink else spark.read.parquet(out)
 
 
 def replay_join(spark: SparkSession, left: DataFrame, right: DataFrame, build, name: str,
