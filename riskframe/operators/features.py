@@ -188,7 +188,11 @@ def fit_level_index(train: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[
     positions in lexicographic order from 0, and the number of levels per
     column (all that reaches the driver). Levels are range-partitioned and
     numbered per partition, so no task and no driver holds a column's levels."""
-    levels = long_form_str(train, cols).where(F.col("value").isNotNull()).distinct()
+    return index_levels(long_form_str(train, cols).where(F.col("value").isNotNull()).distinct(), cols)
+
+
+def index_levels(levels: DataFrame, cols: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`fit_level_index` of known levels: (feature, value), no repeats."""
     placed = cut_lineage(levels.repartitionByRange("feature", "value").withColumn("bucket", F.spark_partition_id()))
     own = Window.partitionBy("feature", "bucket").orderBy("value")
     before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -369,43 +373,111 @@ class Preprocessor:
         """Adds one column per feature (``f__<position>``), source columns kept:
         impute -> standard scale -> one-hot (drop first) -> non-finite to 0.
         One projection; no join, no shuffle."""
-        out = []
-        for c in self.numeric:
-            m, s = self.scaler[c]
-            med = self.medians.get(c)
-            x = F.coalesce(_d(c), F.lit(med).cast("double")) if med is not None else _d(c)
-            z = (x - F.lit(m)) / F.lit(s)
-            out.append(F.when(z.isNull() | F.isnan(z) | (F.abs(z) == F.lit(float("inf"))), F.lit(0.0)).otherwise(z))
+        out = _scaled_numbers(self)
         for c in self.categorical:
             v0 = F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c)))
             for v in self.vocab[c][1:]:
                 out.append(F.when(v0 == F.lit(v), 1.0).otherwise(0.0))
         return df.select("*", *[x.alias(n) for x, n in zip(out, self.feature_cols)])
 
+    def vector(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """Adds the feature vector (FE-16)."""
+        return assemble(self.transform(df), self.feature_cols, out)
 
-def fit_levels(train: DataFrame, cols: list[str], fallback: str = "Unknown") -> tuple[dict[str, str], dict[str, list[str]]]:
-    """Modes and one-hot vocabulary from one aggregation: the vocabulary is
-    that of the filled columns, so the fallback counts where a column has
-    NULLs and no value."""
-    if not cols:
-        return {}, {}
-    counts = long_form_str(train, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).collect()
+
+#: Levels of all categorical columns together up to which each has a column of
+#: its own; beyond, levels stay in a table and rows get a sparse vector.
+DENSE_LEVELS = 1024
+
+
+@dataclass
+class SparsePreprocessor:
+    """The state of :class:`Preprocessor` for any number of levels: they are
+    rows (feature, value, position) of the written table ``index``, ``sizes``
+    has their number per column. The vector has the same features in the same
+    order: the numeric ones, then every level but the first of each column."""
+    numeric: list[str]
+    categorical: list[str]
+    medians: dict
+    modes: dict
+    scaler: dict
+    index: DataFrame
+    sizes: dict
+
+    def vector(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """Adds the feature vector; levels meet the rows in a join per column,
+        which Spark broadcasts or shuffles by size."""
+        head = [x.alias(f"f__{i}") for i, x in enumerate(_scaled_numbers(self))]
+        fill = [F.coalesce(F.col(c).cast("string"), F.lit(self.modes[c])).alias(f"__fill_{i}") for i, c in enumerate(self.categorical)]
+        x = df.select("*", *head, *fill)
+        names = {c: f"__fill_{i}" for i, c in enumerate(self.categorical)}
+        own = F.create_map(*[F.lit(v) for kv in names.items() for v in kv])
+        hot = one_hot_sparse(x, self.index.withColumn("feature", own[F.col("feature")]), {names[c]: n for c, n in self.sizes.items()}, "__hot")
+        parts = [f"f__{i}" for i in range(len(self.numeric))]
+        vec = VectorAssembler(inputCols=[*parts, "__hot"], outputCol=out, handleInvalid="keep").transform(hot)
+        return vec.drop(*parts, *names.values(), "__hot")
+
+    def names(self) -> DataFrame:
+        """(position, feature) of every feature of the vector."""
+        spark = self.index.sparkSession
+        first, at = len(self.numeric), {}
+        for c in self.categorical:
+            at[c] = first - 1                                   # level 0 has no place
+            first += max(self.sizes.get(c, 0) - 1, 0)
+        own = F.create_map(*[F.lit(v) for kv in at.items() for v in kv])
+        levels = self.index.where("position > 0").select((own[F.col("feature")] + F.col("position")).cast("int").alias("position"),
+                                                          F.concat_ws("_", "feature", "value").alias("feature"))
+        return levels.unionByName(literal_table(spark, list(enumerate(self.numeric)), "position int, feature string"))
+
+
+def _scaled_numbers(prep) -> list[Column]:
+    """Numeric columns imputed, scaled, and 0 where that is not finite."""
+    out = []
+    for c in prep.numeric:
+        m, s = prep.scaler[c]
+        med = prep.medians.get(c)
+        x = F.coalesce(_d(c), F.lit(med).cast("double")) if med is not None else _d(c)
+        z = (x - F.lit(m)) / F.lit(s)
+        out.append(F.when(z.isNull() | F.isnan(z) | (F.abs(z) == F.lit(float("inf"))), F.lit(0.0)).otherwise(z))
+    return out
+
+
+def level_counts(train: DataFrame, cols: list[str]) -> DataFrame:
+    """(feature, value, n) of every level, NULL too; one pass, written."""
+    return cut_lineage(long_form_str(train, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def modes_and_levels(counts: DataFrame, cols: list[str], fallback: str = "Unknown") -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Modes and one-hot vocabulary of at most ``DENSE_LEVELS`` levels: the
+    vocabulary is that of the filled columns, so the fallback counts where a
+    column has NULLs and no value."""
     modes, vocab = {}, {}
+    rows = counts.collect()
     for c in cols:
-        mine = [(r["value"], r["n"]) for r in counts if r["feature"] == c]
+        mine = [(r["value"], r["n"]) for r in rows if r["feature"] == c]
         known = [x for x in mine if x[0] is not None]
         modes[c] = min(known, key=lambda x: (-x[1], x[0]))[0] if known else fallback
         vocab[c] = sorted({v for v, _ in known} | ({modes[c]} if len(mine) > len(known) else set()))
     return modes, vocab
 
 
-def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor:
+def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str]) -> Preprocessor | SparsePreprocessor:
     """FE-18 fit on the training rows only (never on test), in three passes:
-    medians, levels, moments of the filled columns."""
+    medians, levels, moments of the filled columns. Only the number of levels
+    is known to the driver before it decides whether to look at them."""
     med = fit_medians(train, numeric)
-    mod, vocab = fit_levels(train, categorical)
-    filled = impute(train.select(*numeric), med)
-    return Preprocessor(numeric, categorical, med, mod, fit_scaler(filled, numeric, "standard"), vocab)
+    scaler = fit_scaler(impute(train.select(*numeric), med), numeric, "standard")
+    if not categorical:
+        return Preprocessor(numeric, categorical, med, {}, scaler, {})
+    counts = level_counts(train, categorical)
+    if counts.count() <= DENSE_LEVELS:
+        modes, vocab = modes_and_levels(counts, categorical)
+        return Preprocessor(numeric, categorical, med, modes, scaler, vocab)
+    known = counts.where(F.col("value").isNotNull())
+    top = known.groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("b")).collect()       # one row per column
+    modes = {c: "Unknown" for c in categorical} | {r["feature"]: r["b"]["value"] for r in top}
+    index, sizes = index_levels(known.select("feature", "value"), categorical)
+    return SparsePreprocessor(numeric, categorical, med, modes, scaler, cut_lineage(index), sizes)
 
 
 def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFrame:

@@ -20,7 +20,7 @@ from . import folds as FO
 from . import search as SE
 from .boosting import TREE_PRESETS, Booster, fit_boosted, score_boosted
 from .evaluation import EPS, auc_by, confusion_aggs, evaluation_report, metrics_from_confusion
-from .features import Preprocessor, assemble, fit_preprocessor
+from .features import Preprocessor, SparsePreprocessor, fit_preprocessor
 from .ordered import same, value_cumsums
 from .sampling import class_weights
 
@@ -70,7 +70,7 @@ def make_estimator(kind: str, n_train: int, params: dict | None = None, weight_c
 @dataclass
 class Fitted:
     kind: str
-    prep: Preprocessor
+    prep: Preprocessor | SparsePreprocessor
     model: object
 
     def score(self, df: DataFrame, out: str = "probability_default") -> DataFrame:
@@ -78,8 +78,7 @@ class Fitted:
         if isinstance(self.model, Booster):
             x = score_boosted(self.prep.transform(df), self.model, out)
             return x.select(*df.columns, out, (F.col(out) >= 0.5).cast("int").alias("prediction"))
-        x = assemble(self.prep.transform(df), self.prep.feature_cols)
-        p = self.model.transform(x)
+        p = self.model.transform(self.prep.vector(df))
         prob = vector_to_array(F.col("probability"))[1]
         keep = [c for c in df.columns]
         return p.select(*[F.col(c) for c in keep], prob.alias(out),
@@ -102,6 +101,8 @@ def fit_model(train: DataFrame, kind: str, numeric: list[str], categorical: list
         wcol = "__w"
     params = dict(params or {})
     if kind in TREE_PRESETS:
+        if isinstance(prep, SparsePreprocessor):
+            raise ValueError(f"{sum(prep.sizes.values())} levels are too many for trees: encode them by target or frequency first")
         patience = params.pop("patience", 10)
         held = prep.transform(validation) if validation is not None else None
         model = fit_boosted(prep.transform(x), prep.feature_cols, label, train.columns, replace(TREE_PRESETS[kind], **params),
@@ -113,7 +114,7 @@ def fit_model(train: DataFrame, kind: str, numeric: list[str], categorical: list
             validation.withColumn(stop, F.lit(True)).withColumn("__w", F.lit(1.0)) if balanced
             else validation.withColumn(stop, F.lit(True)))
         params["validation_col"] = stop
-    x = assemble(prep.transform(x), prep.feature_cols)
+    x = prep.vector(x)
     n = train.count() if kind == "logistic_regression" else 1      # only its penalty depends on n
     est = make_estimator(kind, n, params, wcol, label)
     return Fitted(kind, prep, est.fit(x))
@@ -261,8 +262,13 @@ def train_all(folds: DataFrame, test: DataFrame, kinds: list[str], numeric: list
 def feature_importance(fitted: Fitted) -> DataFrame:
     """ML-11: |coefficient| for linear models, split-gain importance for trees
     (dispatch on the fitted class), descending."""
-    names = fitted.prep.feature_names
     m = fitted.model
+    if isinstance(fitted.prep, SparsePreprocessor):       # names stay in their table
+        signed = (m.coefficients if hasattr(m, "coefficients") else m.featureImportances).toArray()
+        values = fitted.prep.index.sparkSession.createDataFrame(list(enumerate(signed.tolist())), "position int, value double")
+        return fitted.prep.names().join(values, "position").select("feature", F.abs("value").alias("importance"), "value") \
+            .orderBy(F.col("importance").desc(), "feature")
+    names = fitted.prep.feature_names
     if isinstance(m, Booster):
         vals = signed = [v for _, v in m.importance()]
     elif hasattr(m, "coefficients"):

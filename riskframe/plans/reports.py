@@ -18,7 +18,7 @@ from ..operators import decisions as D
 from ..operators import profile as P
 from ..operators import quality as Q
 from ..operators.boosting import TREE_PRESETS, Booster
-from ..operators.features import Preprocessor
+from ..operators.features import Preprocessor, SparsePreprocessor
 from ..operators.ordered import value_table
 from ..operators.training import Fitted, feature_importance
 from ..session import ensure_checkpoint_dir
@@ -147,8 +147,9 @@ def write_training(trained, path: str) -> None:
 
 def save_fitted(fitted: Fitted, path: str) -> None:
     """IO-4: the Spark ML model with its own writer (trees of ``boosting`` as a
-    table of records); the preprocessing state
-    (a few numbers and category lists) as one JSON record written by Spark."""
+    table of records); the preprocessing state (a few numbers and at most
+    ``DENSE_LEVELS`` levels) as one JSON record written by Spark, more levels as
+    a table."""
     spark = SparkSession.getActiveSession()
     if isinstance(fitted.model, Booster):
         records = list(enumerate(fitted.model.records()))                # one per tree
@@ -156,15 +157,23 @@ def save_fitted(fitted: Fitted, path: str) -> None:
     else:
         fitted.model.write().overwrite().save(os.path.join(path, "model"))
     p = fitted.prep
-    state = json.dumps({"kind": fitted.kind, "numeric": p.numeric, "categorical": p.categorical,
-                        "medians": p.medians, "modes": p.modes, "scaler": p.scaler, "vocab": p.vocab})
+    state = {"kind": fitted.kind, "numeric": p.numeric, "categorical": p.categorical,
+             "medians": p.medians, "modes": p.modes, "scaler": p.scaler}
+    if isinstance(p, SparsePreprocessor):
+        p.index.write.mode("overwrite").parquet(os.path.join(path, "levels"))
+        state = json.dumps(state | {"sizes": p.sizes})
+    else:
+        state = json.dumps(state | {"vocab": p.vocab})
     literal_table(spark, [(state,)], "state string").write.mode("overwrite").json(os.path.join(path, "prep"))
 
 
 def load_fitted(spark: SparkSession, path: str) -> Fitted:
     st = json.loads(spark.read.json(os.path.join(path, "prep")).first()["state"])
-    prep = Preprocessor(st["numeric"], st["categorical"], st["medians"], st["modes"],
-                        {k: tuple(v) for k, v in st["scaler"].items()}, st["vocab"])
+    parts = st["numeric"], st["categorical"], st["medians"], st["modes"], {k: tuple(v) for k, v in st["scaler"].items()}
+    if "sizes" in st:
+        prep = SparsePreprocessor(*parts, spark.read.parquet(os.path.join(path, "levels")), st["sizes"])
+    else:
+        prep = Preprocessor(*parts, st["vocab"])
     if st["kind"] in TREE_PRESETS:
         parts = spark.read.parquet(os.path.join(path, "model")).orderBy("part").collect()
         return Fitted(st["kind"], prep, Booster.from_records([r["record"] for r in parts]))
