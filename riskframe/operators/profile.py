@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import literal_table
 from ..session import cut_lineage
-from .ordered import ValueTable, exact_quantiles, long_form, quantile_table, same, value_cumsums
+from .ordered import ValueTable, exact_quantiles, long_form, quantile_table, same, value_cumsums, value_table
 
 
 def _stack(one: DataFrame, cols: list[str], fields: dict[str, str], name: str = "feature") -> DataFrame:
@@ -58,8 +58,9 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 30, by: str | None = N
     gb = [by] if by else []
     lf = long_form(df, cols, carry={by: F.col(by)} if by else None).where(F.col("value").isNotNull())
     rng = lf.groupBy("feature", *gb).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    # (features x classes) rows: bounded, broadcast back to the rows
-    j = lf.join(F.broadcast(rng), ["feature", *gb])
+    # without groups one row per feature, a bounded broadcast; groups may be
+    # many, so Spark decides by size
+    j = same(lf, rng, ["feature", *gb], hint=not by)
     width = F.col("hi") - F.col("lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("value") - F.col("lo")) * F.lit(float(bins)) / width), F.lit(bins - 1))).cast("int")
@@ -281,10 +282,11 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
 DECILES = [float(x) for x in np.linspace(0, 1, 11)]
 
 
-def decile_edges(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
+def decile_edges(df: DataFrame | None, cols: list[str], table: ValueTable | None = None) -> dict[str, list[float]]:
     """Exact decile edges per column, duplicates dropped (qcut duplicates='drop').
-    At most 11 numbers per column reach the driver."""
-    q = exact_quantiles(df, cols, DECILES)
+    At most 11 numbers per column reach the driver. ``table``: a value table
+    with ``cnt`` to read instead."""
+    q = exact_quantiles(df, cols, DECILES, table=table)
     edges: dict[str, list[float]] = {c: [] for c in cols}
     for r in q.collect():
         edges[r["feature"]].append((r["q"], r["quantile"]))
@@ -312,15 +314,23 @@ def woe_table(df: DataFrame, numeric: list[str], categorical: list[str], target:
     """EDA-13: per (feature, bin) event / non-event counts, their shares,
     WOE = ln(pe/pn) and the IV term (pe - pn) * WOE. Numeric features are
     binned on exact deciles; NULL bins are dropped; shares of 0 become 1e-10."""
-    edges = decile_edges(df, numeric) if numeric else {}
-    y = F.col(target)
-    sel = decile_bins(df, numeric, edges) + [F.col(c).cast("string").alias(c) for c in categorical]
-    b = df.select(*sel, y.alias("__y"))
-    lf = b.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bin"))
-                                      for c in numeric + categorical])).alias("kv"), "__y") \
-        .select("kv.feature", "kv.bin", "__y").where(F.col("bin").isNotNull() & F.col("__y").isNotNull())
-    cnt = lf.groupBy("feature", "bin").agg(F.count_if(F.col("__y") == 1).alias("events"),
-                                           F.count_if(F.col("__y") == 0).alias("non_events"))
+    parts = []
+    ones = [F.count_if(F.col("__y") == 1).alias("events"), F.count_if(F.col("__y") == 0).alias("non_events")]
+    if numeric:
+        # edges and bins come from one table of distinct values: the rows are read once
+        y = F.col(target)
+        values = value_table(df, numeric, {"cnt": F.lit(1).cast("long"), "events": F.coalesce((y == 1).cast("long"), F.lit(0)),
+                                           "non_events": F.coalesce((y == 0).cast("long"), F.lit(0))})
+        edges = decile_edges(None, numeric, values)
+        own = F.create_map(*[x for c in numeric for x in (F.lit(c), F.lit(edges[c]).cast("array<double>"))])[F.col("feature")]
+        above = F.size(F.filter(own, lambda e: F.col("value") > e))
+        bins = values.rows.where(F.size(own) > 1).withColumn("bin", (F.greatest(above, F.lit(1)) - 1).cast("string"))
+        parts.append(bins.groupBy("feature", "bin").agg(F.sum("events").alias("events"), F.sum("non_events").alias("non_events"))
+                     .where("events + non_events > 0"))
+    if categorical:
+        lf = long_form_str(df, categorical, {"__y": F.col(target)}).where(F.col("value").isNotNull() & F.col("__y").isNotNull())
+        parts.append(lf.groupBy("feature", F.col("value").alias("bin")).agg(*ones))
+    cnt = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
     # per-feature totals: one row per feature (bounded), broadcast back -- a
     # high-cardinality categorical never puts all its bins in one task
     tot = cnt.groupBy("feature").agg(F.sum("events").alias("__te"), F.sum("non_events").alias("__tn"))

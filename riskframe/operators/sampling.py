@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import hashed_rank
+from .ordered import hashed_rank, same
 
 # Split presets (fixed values): code 80/20, documented 70/15/15; seed 42.
 SPLIT_8020 = {"train": 0.8, "test": 0.2}
@@ -66,8 +66,8 @@ def class_weights(df: DataFrame, label: str, method: str = "balanced",
                   out: str = "weight") -> DataFrame:
     """ML-3: ``balanced`` weight n / (n_classes * n_c); ``custom`` mapping;
     ``positive_only`` keeps 1.0 for negatives and puts n_neg / n_pos on the
-    positives (the boosting form). The class table has one row per class, so
-    the broadcast is bounded by the number of classes."""
+    positives (the boosting form). The class table has one row per class and
+    joins without a hint; a NULL class is a class of its own."""
     if method == "custom":
         m = F.create_map(*[x for k, v in (custom or {}).items() for x in (F.lit(k), F.lit(float(v)))])
         return df.withColumn(out, F.coalesce(m[F.col(label)], F.lit(1.0)))
@@ -81,4 +81,4 @@ def class_weights(df: DataFrame, label: str, method: str = "balanced",
                      .otherwise(F.lit(1.0)).alias(out))
     else:
         w = w.select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    return same(df, w, [label], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions as D
 from ..operators import sampling as S
 from ..operators import training as T
+from ..session import cut_lineage
 from ..sources import fixtures as X
 from ..sources.fixtures import CATEGORICAL, NUMERIC, TARGET
 from ..sources.io import read_table, write_splits, write_table
@@ -179,7 +180,7 @@ register(Query(
 
 
 def _save_load(spark, sf):
-    sp = S.stratified_split(X.scored(spark, sf), TARGET, "app_id")
+    sp = cut_lineage(S.stratified_split(X.scored(spark, sf), TARGET, "app_id"))
     m = T.fit_model(sp.where(F.col("split") == "train"), "logistic_regression", NUMERIC, CATEGORICAL)
     path = R.scratch(spark, "model")
     R.save_fitted(m, path)
