@@ -128,3 +128,18 @@ def test_lists_alone_recall_with_a_small_sample(spark):
         want, got = brute(rows, 20), answers(ann.nearest(table(spark, rows), sample=300))
         assert all(len(found) == 20 for found in got.values())
         assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_repeated_ids_with_different_vectors_are_one_item(spark):
+    rows = [(0, [1.0, 0.0], 0), (5, [0.9, 0.1], 0), (5, [0.2, 0.9], 0), (7, [0.5, 0.5], 0), (0, [1.0, 0.5], 0)]
+    assert answers(ann.nearest(table(spark, rows))) == {0: [(7, 0.5), (5, float(np.float32(0.2)))]}
+
+
+def test_many_lists(spark, monkeypatch):
+    """As many lists as a large table gets; every vector is still found."""
+    monkeypatch.setattr(ann, "LISTS", (4096, 4096))
+    rows = clustered(6000, seed=21, dim=12)
+    index, n = ann.fit_index(ann.valid_vectors(table(spark, rows)))
+    assert n == 6000 and len(index.centroids) == 4096
+    want, got = brute(rows, 20), answers(ann.nearest(table(spark, rows)))
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
