@@ -140,14 +140,18 @@ def more_texts() -> dict[str, str]:
 
 # lines that only state a copyright: "Copyright (c) 2020 X", "(c) 2020 X", "© X", "All rights reserved."
 COPYRIGHT = (r"(?m)^[ \t]*(?:copyright[ \t]+(?:\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved)[^\n]*$")
-# title and copyright lines at the beginning of a (lower-case) text; marks of
-# comments and headings may stand before and after
+# a title, copyright or SPDX line, or one without letters and digits, of a
+# lower-case text; marks of comments and headings may stand before and after
 _NEW = r"[\"'“”]?(?:new|revised|modified|simplified)[\"'“”]?"
 _TITLE = (r"(?:the[ \t]+)?(?:mit(?:/x11|/expat)?|x11|expat|isc|0bsd|zlib(?:[ /]libpng)?|unlicense|software|"
           rf"(?:(?:{_NEW}|(?:[023]|zero|two|three)-clause) )?bsd(?:[ -](?:[023]|zero|two|three)[ -]clause)?(?: {_NEW}(?: or {_NEW})?)?)"
           r"(?:[ \t]+licen[cs]e)?(?:[ \t]*\([^()\n]{1,60}\))?|licen[cs]e")
-HEADER = (r"\A(?:[^\p{L}\p{N}]*+(?:(?:(?:portions )?copyright\b|c\)[ \t]*[0-9]|(?<=©[ \t]{0,4})[\p{L}\p{N}]|all rights reserved|"
-          rf"spdx-license-identifier)[^\n]*+|(?:{_TITLE})[^\p{{L}}\p{{N}}\n]*+)(?:\n|\z)){{1,200}}")
+_MARKS = r"[^\p{L}\p{N}\n]*"
+_SAYS = (rf"{_MARKS}(?:(?:portions )?copyright\b|c\)[ \t]*[0-9]|all rights reserved|spdx-license-identifier)[^\n]*|"
+         rf"{_MARKS}©[ \t]{{0,4}}[\p{{L}}\p{{N}}][^\n]*|{_MARKS}(?:{_TITLE}){_MARKS}")
+HEADER_LINE = rf"^(?:{_SAYS}|{_MARKS})$"
+#: The first line with a letter or digit is a header line.
+HEADED = rf"^[^\p{{L}}\p{{N}}]*\n(?:{_SAYS})(?:\n|$)|^(?:{_SAYS})(?:\n|$)"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 LICENSE_LINE = "licen"
 
@@ -177,7 +181,10 @@ def known_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 
 
 def without_header(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), HEADER, "")
+    """The lower-case text from its first line on that is no header line."""
+    lines = F.split(F.lower(text), "\n")
+    first = F.array_position(F.transform(lines, lambda x: ~F.regexp_like(x, F.lit(HEADER_LINE))), True).cast("int")
+    return F.when(first > 0, F.array_join(F.slice(lines, first, F.size(lines)), "\n")).otherwise(F.lit(""))
 
 
 def license_scan(docs: DataFrame, *, licenses: dict[str, str] | None = None,
@@ -199,7 +206,7 @@ def license_scan(docs: DataFrame, *, licenses: dict[str, str] | None = None,
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     lines = F.when(F.contains(F.lower("text"), F.lit(LICENSE_LINE)), F.filter(
         F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit(LICENSE_LINE)))).otherwise(F.array().cast("array<string>"))
-    headed = F.when(F.regexp_like(F.lower("text"), F.lit(HEADER)), digest(without_header(F.col("text"))))
+    headed = F.when(F.regexp_like(F.lower("text"), F.lit(HEADED)), digest(without_header(F.col("text"))))
     d = d.select("doc_id", digest(F.col("text")).alias("text_digest"), headed.alias("body_digest"), lines.alias("lines"))
     found = F.array_sort(F.array_distinct(F.filter(
         F.transform("lines", lambda x: F.try_element_at(ids, digest(x))), lambda x: x.isNotNull())))
@@ -221,16 +228,31 @@ def _sql_canonical(x: str) -> str:
     return f"trim({out})"
 
 
+def _sql_without_header(x: str) -> str:
+    """Lines from the first one on that is no header line."""
+    lines = f"string_split(lower({x}), chr(10))"
+    first = f"list_position(list_transform({lines}, lambda y: regexp_matches(y, {_sql_text(HEADER_LINE)})), false)"
+    return f"CASE WHEN {first} IS NULL THEN '' ELSE array_to_string(list_slice({lines}, {first}, len({lines})), chr(10)) END"
+
+
+_SQL_HEADED = f"regexp_matches(lower(text), {_sql_text(HEADED)})"
+_SQL_TEXTS = ", ".join(f"({_sql_text(t)}, {_sql_text(i)})" for t, i in ({t: i for i, t in LICENSES.items()} | more_texts()).items())
+
 ORACLE = f"""
-WITH known AS (SELECT sha256({_sql_canonical('t')}) AS digest, min(i) AS license_id FROM (VALUES
-  {', '.join(f'({_sql_text(t)}, {_sql_text(i)})' for i, t in LICENSES.items())}) AS v(t, i) GROUP BY 1),
+WITH texts AS (SELECT t, i FROM (VALUES {_SQL_TEXTS}) AS v(t, i)),
+known AS (SELECT digest, min(i) AS license_id FROM (SELECT sha256({_sql_canonical('t')}) AS digest, i FROM texts
+  UNION ALL SELECT sha256({_sql_canonical('b')}), i FROM (SELECT {_sql_without_header('t')} AS b, i FROM texts)) AS v GROUP BY 1),
 notice AS (SELECT sha256({_sql_canonical('t')}) AS digest, min(i) AS id FROM (VALUES
   {', '.join(f'({_sql_text(t)}, {_sql_text(i)})' for t, i in NOTICES.items())}) AS v(t, i) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT r, doc_id, text, sha256({_sql_canonical('text')}) AS text_digest FROM d),
+h AS (SELECT r, sha256({_sql_canonical('b')}) AS body_digest FROM (SELECT r, {_sql_without_header('text')} AS b FROM d
+  WHERE {_SQL_HEADED}) AS x),
 l AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) AS s
       WHERE contains(lower(line), '{LICENSE_LINE}')),
 n AS (SELECT r, count(*) AS license_lines, string_agg(DISTINCT id, ',' ORDER BY id) AS notices
       FROM l LEFT JOIN notice ON notice.digest = sha256({_sql_canonical('line')}) GROUP BY r)
-SELECT doc_id, sha256({_sql_canonical('text')}) AS text_digest, license_id, coalesce(notices, '') AS notices,
+SELECT doc_id, text_digest, coalesce(known.license_id, body.license_id) AS license_id, coalesce(notices, '') AS notices,
   coalesce(license_lines, 0) AS license_lines
-FROM d LEFT JOIN n USING (r) LEFT JOIN known ON known.digest = sha256({_sql_canonical('text')})"""
+FROM g LEFT JOIN n USING (r) LEFT JOIN h USING (r) LEFT JOIN known ON known.digest = text_digest
+LEFT JOIN known AS body ON body.digest = body_digest"""

@@ -1,3 +1,4 @@
+import duckdb
 from helpers_llm import EDGE, edge_docs, empty_docs
 from riskframe.llm import licenses
 
@@ -43,7 +44,8 @@ def test_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_licence_files_with_titles_comment_marks_and_bare_copyright_lines(spark):
+def titled_files():
+    """(id or None, text) of licence files with headers of many kinds."""
     texts = licenses.LICENSES
     more = {i: t for t, i in reversed(list(licenses.more_texts().items()))}
     marked = lambda mark, t: "\n".join(f"{mark} {line}" for line in t.split("\n"))
@@ -62,5 +64,23 @@ def test_licence_files_with_titles_comment_marks_and_bare_copyright_lines(spark)
     rows += [("Apache-2.0", apache), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2018 X Inc.")),
              ("Apache-2.0", apache[:apache.index("APPENDIX:")]),
              (None, "MIT License\n"), (None, "Copyright X\n" + MIT + " and one word more"), (None, "\n" * 100_000 + "Copyright X\n" * 500)]
-    got = scan(spark, [(n, t) for n, (_, t) in enumerate(rows)])
+    long = "".join(f"# Copyright (c) {1000 + n} Someone {n}\n" for n in range(900))
+    return rows + [("MIT", long + MIT), ("ISC", "(c) 1999 Å\n" * 300 + "\n// © 2020 Z\n" + texts["ISC"]), (None, long)]
+
+
+def test_licence_files_with_titles_comment_marks_and_bare_copyright_lines(spark):
+    rows = titled_files()
+    got = scan(spark, list(enumerate(t for _, t in rows)))
     assert [got[n].license_id for n in range(len(rows))] == [i for i, _ in rows]
+
+
+def test_sql_knows_headers_and_all_texts(spark, tmp_path):
+    rows = [(n, t) for n, (_, t) in enumerate(titled_files())] + [(100 + n, t) for n, (_, t, _) in enumerate(EDGE)]
+    rows += [(200, "Copyright X\n\nprose under the MIT License."), (201, "License\n"), (202, "*\n" * 50 + "MIT\n" + MIT)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.toPandas().to_parquet(f"{tmp_path}/d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    cols = ["doc_id", "text_digest", "license_id", "notices", "license_lines"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({licenses.ORACLE})").fetchall()
+    assert sorted(map(tuple, licenses.license_scan(df).select(*cols).collect()), key=str) == sorted(want, key=str)
