@@ -8,6 +8,7 @@ import sys
 from ..operators import evaluation as V
 from ..sources.fixtures import scored
 from .catalog import Query, register
+from .sql_fits import newton_sql
 
 EPS = repr(sys.float_info.epsilon)
 
@@ -109,7 +110,13 @@ def _platt(spark, sf):
     return V.platt_transform(m, s).select("app_id", "risk_score", "calibrated_score")
 
 
-register(Query("platt_scaling", _platt, operators="EV-14"))
+register(Query(
+    "platt_scaling", _platt, operators="EV-14", floats=["risk_score", "calibrated_score"], digits={"calibrated_score": 4},
+    # one feature: the second is 0 for every row and has a ridge term of its own
+    ctes="""pl AS MATERIALIZED (SELECT app_id, risk_score, ln(p / (1 - p)) AS z1, 0e0 AS z2, CAST(defaulted AS DOUBLE) AS y, 1e0 AS w, 0 AS g,
+  0e0 AS r1, 1e0 AS r2 FROM (SELECT *, least(greatest(risk_score, 1e-12), 1 - 1e-12) AS p FROM scored)),
+""" + newton_sql("pl", "fit", steps=14),
+    sql="SELECT app_id, risk_score, 1 / (1 + exp(-(a + b1 * z1))) AS calibrated_score FROM pl, fit"))
 
 register(Query(
     "evaluation_report", lambda spark, sf: V.evaluation_report(scored(spark, sf)), operators="EV-15",

@@ -21,33 +21,16 @@ from ..operators import training as T
 from ..session import cut_lineage
 from ..sources import fixtures as X
 from ..sources.fixtures import NUMERIC, TARGET
+from . import reports as R
 from .catalog import Query, register
 from .feature_queries import _split_sql
+from .sql_fits import newton_sql
 
 TWO = ["CreditScore", "Income"]
 _FOLD = "CAST((row_number() OVER (PARTITION BY LoanApproved ORDER BY md5(CAST(app_id AS VARCHAR) || '|42'), app_id) - 1) % 5 AS INTEGER)"
 _SPLIT = f"sp AS ({_split_sql('scored', [('train', 8000), ('test', 10000)])})"
 
 
-def newton_sql(rows: str, out: str, steps: int = 9) -> str:
-    """CTEs that fit y on z1, z2 (and an intercept) per ``g``; ``rows`` has
-    g, z1, z2, y, w and the ridge terms r1, r2. ``out``: (g, a, b1, b2)."""
-    ctes = [f"{out}_0 AS MATERIALIZED (SELECT g, 0e0 AS a, 0e0 AS b1, 0e0 AS b2 FROM {rows} GROUP BY g)"]
-    for i in range(steps):
-        ctes.append(f"""{out}_s{i} AS MATERIALIZED (SELECT g, any_value(a) AS a, any_value(b1) AS b1, any_value(b2) AS b2,
-  sum(w * (p - y)) AS g0, sum(w * (p - y) * z1) + any_value(r1 * b1) AS g1, sum(w * (p - y) * z2) + any_value(r2 * b2) AS g2,
-  sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * z1) AS h01, sum(w * p * (1 - p) * z2) AS h02,
-  sum(w * p * (1 - p) * z1 * z1) + any_value(r1) AS h11, sum(w * p * (1 - p) * z1 * z2) AS h12,
-  sum(w * p * (1 - p) * z2 * z2) + any_value(r2) AS h22
-  FROM (SELECT r.*, a, b1, b2, 1 / (1 + exp(-(a + b1 * z1 + b2 * z2))) AS p FROM {rows} r JOIN {out}_{i} t ON r.g = t.g) GROUP BY g)""")
-        ctes.append(f"""{out}_{i + 1} AS MATERIALIZED (SELECT g,
-  a - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / d AS a,
-  b1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / d AS b1,
-  b2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / d AS b2
-  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS d FROM {out}_s{i}))""")
-    return ",\n".join(ctes) + f",\n{out} AS (SELECT * FROM {out}_{steps})"
-
-
 def _scaled_sql(src: str, where: str, groups: str = "0", ridge: str = "1e0") -> tuple[str, str]:
     """Statistics of the training rows per g, and their scaled, weighted rows."""
     stats = f"""(SELECT g, avg(CreditScore) AS m1, stddev_pop(CreditScore) AS s1, avg(Income) AS m2, stddev_pop(Income) AS s2,
@@ -161,6 +144,42 @@ ms AS (SELECT fold, split, {_AUC_OF} AS roc_auc, -avg(CASE WHEN defaulted = 1 TH
   CAST(count_if(p >= 5e-1 AND defaulted = 1) AS DOUBLE) AS tp, CAST(count_if(p >= 5e-1 AND defaulted = 0) AS DOUBLE) AS fp FROM pr GROUP BY fold, split)""",
     sql="SELECT fold, metric, value, split FROM ms UNPIVOT (value FOR metric IN (roc_auc, log_loss, tp, fp))"))
 
+# -- IO-3 ------------------------------------------------------------------------------
+
+def _tables_two(spark, sf):
+    """The training summary as CSV files, read back: cross-validation results,
+    test evaluation and importance of the refitted model."""
+    sp = S.stratified_split(X.scored(spark, sf), TARGET, "app_id")
+    sp = cut_lineage(S.stratified_folds(sp, TARGET, "app_id"))
+    t = T.train_all(sp.where("split = 'train'"), sp.where("split = 'test'"), ["logistic_regression"], TWO, [],
+                    params={"logistic_regression": {"C": 1.0}})
+    path = R.scratch(spark, "training-two")
+    R.write_training(t, path)
+    read = lambda n: spark.read.csv(f"{path}/{n}.csv", header=True)
+    cv = read("cv_results").where("metric IN ('roc_auc', 'log_loss')")
+    number = lambda c: F.col(c).cast("double").alias("value")
+    return cv.select(F.lit("mean").alias("name"), "metric", "split", number("mean")) \
+        .unionByName(cv.select(F.lit("std").alias("name"), "metric", "split", number("std"))) \
+        .unionByName(read("evaluation").select(F.lit("evaluation").alias("name"), F.lit("roc_auc").alias("metric"), F.lit("test").alias("split"), number("roc_auc"))) \
+        .unionByName(read("importance").select(F.lit("importance").alias("name"), F.col("feature").alias("metric"), F.lit(None).cast("string").alias("split"),
+                                               number("importance")))
+
+
+_TT = _CV.replace("FROM scored)", "FROM sp)").replace("FROM fd, range(5) t(i))", "FROM fd, range(5) t(i) WHERE split = 'train')")
+register(Query(
+    "training_tables_two", _tables_two, operators="IO-3 ML-7 ML-8 ML-9", floats=["value"], digits={"value": 4},
+    ctes=f"{_SPLIT},\n{_TT}" + f""",
+pm AS MATERIALIZED (SELECT out_fold AS fold, defaulted, {_PROB} AS p, CASE WHEN fold = out_fold THEN 'test' ELSE 'train' END AS part
+  FROM fm JOIN fit ON fit.g = out_fold JOIN st ON st.g = out_fold),
+pr AS MATERIALIZED (SELECT *, {_rank_sql('p', 'fold, part')} AS r FROM pm),
+ms AS (SELECT fold, part AS split, {_AUC_OF} AS roc_auc, -avg(CASE WHEN defaulted = 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss FROM pr GROUP BY fold, part),
+cv AS (SELECT metric, split, avg(value) AS mean, stddev_pop(value) AS std FROM ms UNPIVOT (value FOR metric IN (roc_auc, log_loss)) GROUP BY metric, split),
+rf AS MATERIALIZED (WITH st AS MATERIALIZED {_STATS}, lr AS MATERIALIZED {_ROWS}, {newton_sql("lr", "once")} SELECT * FROM once, st),
+ev AS (SELECT {_AUC_OF} AS auc FROM (SELECT defaulted, {_rank_sql('p')} AS r FROM (SELECT defaulted, {_PROB} AS p FROM sp, rf WHERE split = 'test')))""",
+    sql="""SELECT 'mean' AS name, metric, split, mean AS value FROM cv UNION ALL SELECT 'std', metric, split, std FROM cv
+UNION ALL SELECT 'evaluation', 'roc_auc', 'test', auc FROM ev
+UNION ALL SELECT 'importance', 'CreditScore', NULL, abs(b1) FROM rf UNION ALL SELECT 'importance', 'Income', NULL, abs(b2) FROM rf"""))
+
 # -- ML-10 -----------------------------------------------------------------------------
 
 _FROZEN = {"score": "risk_score", "credit": "1 - CreditScore / 1e3", "noise": "((app_id * 7919) % 1009) / 1e3"}
