@@ -285,12 +285,12 @@ def feature_importance(fitted: Fitted) -> DataFrame:
 
 def hyper_search(df: DataFrame, kind: str, numeric: list[str], categorical: list[str], n_trials: int = 100,
                  fold_col: str = "fold", k: int = 5, seed: int = SEED, label: str = "defaulted", parallel: int = 4,
-                 sampler: str = "tpe", prune: bool = True) -> DataFrame:
+                 sampler: str = "tpe", prune: bool = True, space: dict | None = None) -> DataFrame:
     """ML-12: search over the documented ranges; one row per trial: ``trial,
     params, state`` (complete or pruned), ``folds`` (scored), ``fold_roc_auc``
     and ``mean_roc_auc``.
 
-    ``sampler``: ``tpe`` (density ratio over earlier trials) or ``random``;
+    ``space``: parameters and ranges (default: ``search.SPACES``). ``sampler``: ``tpe`` (density ratio over earlier trials) or ``random``;
     ``prune``: stop a trial whose mean falls below the median of earlier trials
     at the same fold. Trials of a round run side by side: logistic ones share
     their passes over the data. Preparation is fitted inside the folds. Pass
@@ -308,7 +308,7 @@ def hyper_search(df: DataFrame, kind: str, numeric: list[str], categorical: list
                 return auc_by(s, "trial", label, "probability_default").get(0) or 0.5
             with ThreadPoolExecutor(max_workers=len(params)) as ex:
                 return list(ex.map(one, params))
-    trials = SE.search(SE.SPACES[kind], score, k, n_trials, parallel, seed,
+    trials = SE.search(space or SE.SPACES[kind], score, k, n_trials, parallel, seed,
                        startup=SE.STARTUP if sampler == "tpe" else n_trials, warmup=SE.WARMUP if prune else n_trials)
     rows = [(t.number, str(t.params), "pruned" if t.pruned else "complete", len(t.scores), ",".join(map(repr, t.scores)), t.mean)
             for t in trials]

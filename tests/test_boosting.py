@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from riskframe.operators import boosting as B
 from riskframe.operators.evaluation import ranking_metrics
 
-P = B.TreeParams(n_estimators=6, max_leaves=9, max_depth=5, min_rows=3, max_bins=16, l1=0.1, subsample=0.8, colsample=0.7)
+P = B.TreeParams(n_estimators=4, max_leaves=9, max_depth=5, min_rows=3, max_bins=16, l1=0.1, subsample=0.8, colsample=0.7)
 
 
 @pytest.fixture(scope="module")
@@ -81,7 +81,7 @@ def test_trees_match_the_in_memory_version(spark, data):
     rows = data.select(F.xxhash64("id").alias("rid"), "w", "y", *FEATURES).toPandas()
     bins = model.bins_of([rows[c].to_numpy(dtype=float) for c in FEATURES])
     want = in_memory(model, bins, rows.rid.to_numpy(), rows.y.to_numpy(dtype=float), rows.w.to_numpy())
-    assert len(model.trees) == 6
+    assert len(model.trees) == 4
     for t, (splits, value) in zip(model.trees, want):
         got = {int(n): (int(f), int(c), g) for n, f, c, g in zip(t.heap, t.feature, t.cut, t.gain) if f >= 0}
         assert set(got) == {s[0] for s in splits} and t.leaves() == len(splits) + 1 <= 9
@@ -105,14 +105,14 @@ def test_resume_equals_one_fit(data, monkeypatch):
     whole = B.fit_boosted(data, FEATURES, "y", "id", P)
     part = B.fit_boosted(data, FEATURES, "y", "id", B.replace(P, n_estimators=3))
     more = B.fit_boosted(data, FEATURES, "y", "id", P, resume=part)
-    assert len(part.trees) == 3 and len(more.trees) == 6
+    assert len(part.trees) == 3 and len(more.trees) == 4
     for s, t in zip(whole.trees, more.trees):
         assert (s.heap == t.heap).all() and s.value == pytest.approx(t.value, abs=1e-6)
 
 
 def test_stops_where_scoring_every_round_would(data, monkeypatch):
     monkeypatch.setattr(B, "COMMIT", 4)
-    p = B.replace(P, n_estimators=24, learning_rate=0.8)
+    p = B.replace(P, n_estimators=16, learning_rate=0.8)
     train, held = data.where("id % 3 > 0"), data.where("id % 3 = 0")
     model = B.fit_boosted(train, FEATURES, "y", "id", p, validation=held, patience=3)
     full = B.fit_boosted(train, FEATURES, "y", "id", p)
@@ -128,7 +128,7 @@ def test_stops_where_scoring_every_round_would(data, monkeypatch):
             best = r
         elif r - best >= 3:
             break
-    assert len(model.trees) == best < 24
+    assert len(model.trees) == best < 16
     assert B.stop_round([(1, .5), (2, .6), (3, .6), (4, .55)], 3) is None
     assert B.stop_round([(1, .5), (2, .6), (3, .6), (4, .55), (5, .6)], 3) == 2
 

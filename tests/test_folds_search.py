@@ -112,3 +112,20 @@ def test_proposal_is_the_best_ratio():
     done = [SE.Trial(i, {"c": "ab"[i % 2], "n": 3 + i % 7}, [float(i % 2)]) for i in range(40)]
     seen = [SE.propose(kinds, done, np.random.default_rng(i)) for i in range(30)]
     assert sum(p["c"] == "b" for p in seen) > 20 and all(3 <= p["n"] <= 9 for p in seen)
+
+
+def test_search_over_models(spark, tagged):
+    """Logistic trials share passes; boosted ones run side by side. Scores are
+    those of separate fits."""
+    r = T.hyper_search(tagged, "logistic_regression", NUM, CAT, n_trials=3, k=3, parallel=2).collect()
+    assert [t.trial for t in r] == [0, 1, 2] and all(t.folds == 3 and t.state == "complete" for t in r)
+    c = eval(r[1].params)["C"]
+    one = T.fit_model(tagged.where("fold <> 2"), "logistic_regression", NUM, CAT, params={"C": c, "tol": 1e-12})
+    from riskframe.operators.evaluation import auc_by
+    s = one.score(tagged.where("fold = 2"))
+    assert r[1].fold_roc_auc[2] == pytest.approx(auc_by(s, "fold", "defaulted", "probability_default")[2], abs=1e-4)
+    space = {"learning_rate": SE.Real(0.1, 0.5, log=True), "n_estimators": SE.Choice((1, 2)), "max_leaves": SE.Whole(3, 5)}
+    b = T.hyper_search(tagged.where("fold < 2"), "boosted_leafwise", ["Age", "CreditScore"], [], n_trials=2, k=2, space=space).collect()
+    assert len(b) == 2 and all(0.6 < v <= 1 for t in b for v in t.fold_roc_auc)
+    with pytest.raises(ValueError):
+        T.hyper_search(tagged, "logistic_regression", NUM, CAT, sampler="grid")

@@ -55,7 +55,9 @@ def test_only_small_tables_are_broadcast_by_hint(spark, sf):
 
     bad = []
     for name in ("threshold_sweep", "information_value", "iqr_outliers", "zscore_outliers", "lift_table", "batch_statistics",
-                 "describe_applications", "numeric_by_class", "target_encode", "stratified_split", "portfolio_overview"):
+                 "describe_applications", "numeric_by_class", "target_encode", "stratified_split", "portfolio_overview",
+                 "histogram", "histogram_by_class", "class_weights", "class_weights_positive", "kde_density", "kde_exact", "woe_table",
+                 "tradeoff_curve", "risk_pricing", "calibration_curve", "evaluation_report", "roc_curve", "fairness_audit", "missing_patterns"):
         for n in _walk(E.queries()[name](spark, sf)._jdf.queryExecution().analyzed()):
             if n.nodeName() == "ResolvedHint" and raw(n.children().apply(0)):
                 bad.append(name)
