@@ -1,15 +1,18 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | context) = P(class | context) * P(word | class).
+P(word | context) = P(class | context) * P(part | class, context) * P(word | part).
 
 * Classes. The ``HOT`` most frequent words (counts over all training text) are
   grouped by the texts they occur in (k-means over random sketches of those
   texts), each group is split into classes of about equal mass, and all other
-  words, the unknown one included, form the last class.
+  words, the unknown one included, form the last class. A class but the last
+  has ``PARTS`` parts of about equal mass.
 * P(class | context) is a softmax over summed weight rows of hashed features:
   the previous word (bigram), the two previous words (trigram) and the word
   before the previous one (skip).
-* P(word | class) is (count + 1) / (sum over the class), so the model is a
+* P(part | class, context) is a softmax as well, over one weight row, that of
+  the previous word and the class, and the parts' shares of the class.
+* P(word | part) is (count + 1) / (sum over the part), so the model is a
   distribution over the same words as the unigram base: the V known ones and
   one unknown.
 
@@ -39,11 +42,13 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 
 HOT = 1 << 18
-CLASSES = 32
+CLASSES = 24
+PARTS = 16
 GROUPS = 8
 #: Weight rows per feature.
 BIGRAM, TRIGRAM, SKIP = 1 << 15, 1 << 15, 1 << 14
 ROWS = BIGRAM + TRIGRAM + SKIP
+PART_ROWS = 1 << 15
 ROUNDS = 1
 RATE = 0.1
 BATCH = 16_384
@@ -172,9 +177,11 @@ class Model:
     hot: np.ndarray           # sorted keys (uint64) of the hot words
     hot_class: np.ndarray     # their classes
     hot_count: np.ndarray     # their training counts
-    mass: np.ndarray          # sum of count + 1 by class; the last class: all other words and the unknown one
+    hot_part: np.ndarray      # their parts
+    mass: np.ndarray          # CLASSES x PARTS: sum of count + 1; part 0 of the last class: all other words and the unknown one
     weights: np.ndarray       # ROWS x CLASSES
     bias: np.ndarray
+    part_weights: np.ndarray  # PART_ROWS x PARTS
 
     def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where keys stand among the hot words, and whether they are hot."""
@@ -189,21 +196,60 @@ class Model:
         out[hot] = self.hot_class[at[hot]]
         return out
 
+    def parts(self, keys: np.ndarray) -> np.ndarray:
+        at, hot = self.places(keys)
+        out = np.zeros(len(keys), dtype=np.int64)
+        out[hot] = self.hot_part[at[hot]]
+        return out
+
+    @property
+    def part_bias(self) -> np.ndarray:
+        """Log shares of the parts within their class; empty ones get next to nothing."""
+        share = self.mass / np.maximum(self.mass.sum(axis=1, keepdims=True), 1e-9)
+        return np.where(self.mass > 0, np.log(np.maximum(share, 1e-12)), -30.0).astype(np.float32)
+
+
+def previous(t: Tokens) -> np.ndarray:
+    """The key before every token."""
+    key = t.keys[t.ids]
+    one = np.empty_like(key)
+    one[1:] = key[:-1]
+    one[t.starts[:-1]] = START
+    return one
+
+
+def part_rows(before: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Weight row of the part softmax: previous word and class."""
+    mixed = (before + classes.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(40)) & np.uint64(PART_ROWS - 1)).astype(np.int32)
+
 
 def features(t: Tokens) -> np.ndarray:
     """Weight rows (tokens x 3) of every token's context."""
     key = t.keys[t.ids]
-    one, two = np.empty_like(key), np.empty_like(key)
-    one[1:], two[2:] = key[:-1], key[:-2]
+    one, two = previous(t), np.empty_like(key)
+    two[2:] = key[:-2]
     first = t.starts[:-1]
-    one[first] = START
     two[first] = START
     second = first[np.diff(t.starts) > 1] + 1
     two[second] = START
     mixed = (one * np.uint64(0x9E3779B97F4A7C15) + two * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-    return np.stack([(one >> np.uint64(20)) % np.uint64(BIGRAM),
-                     mixed % np.uint64(TRIGRAM) + np.uint64(BIGRAM),
-                     (two >> np.uint64(30)) % np.uint64(SKIP) + np.uint64(BIGRAM + TRIGRAM)], axis=1).astype(np.int32)
+    return np.stack([(one >> np.uint64(20)) & np.uint64(BIGRAM - 1),       # powers of two
+                     (mixed & np.uint64(TRIGRAM - 1)) + np.uint64(BIGRAM),
+                     ((two >> np.uint64(30)) & np.uint64(SKIP - 1)) + np.uint64(BIGRAM + TRIGRAM)], axis=1).astype(np.int32)
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    """By row. One maximum for all rows is much faster than one for each; rows
+    too far below it are done again with their own."""
+    out = np.exp(z - z.max()) if len(z) else z
+    total = out @ np.ones(z.shape[1], dtype=z.dtype)
+    far = np.flatnonzero(total < 1e-25)
+    if len(far):
+        out[far] = np.exp(z[far] - z[far].max(axis=1, keepdims=True))
+        total[far] = out[far].sum(axis=1)
+    out /= total[:, None]
+    return out
 
 
 def class_probabilities(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -211,21 +257,29 @@ def class_probabilities(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) ->
     z += weights[f[:, 1]]
     z += weights[f[:, 2]]
     z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return softmax(z)
+
+
+def part_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Tokens x PARTS; ``bias``: by class."""
+    z = weights[rows]
+    z += bias[classes]
+    return softmax(z)
 
 
 def gradient_steps(model: Model, tokens: Iterator[Tokens], seed: int = 0, rate: float = RATE):
-    """Adagrad over the tokens; the weights, bias and how often rows were used."""
+    """Adagrad over the tokens; the weights, bias, how often rows were used, the
+    tokens; then the part weights and how often their rows were used."""
     w, bias = model.weights.copy(), model.bias.copy()
+    v, part_bias = model.part_weights.copy(), model.part_bias
+    v_seen, v_past = np.zeros(PART_ROWS, dtype=np.float32), np.ones(PART_ROWS, dtype=np.float32)
     seen, past = np.zeros(ROWS, dtype=np.float32), np.ones(ROWS, dtype=np.float32)
     past_bias, total = 1.0, 0
     first = (0, BIGRAM, BIGRAM + TRIGRAM)
     rng = np.random.default_rng(seed)
     for t in tokens:
-        f, y = features(t), model.classes(t.keys)[t.ids]
+        f, y, part = features(t), model.classes(t.keys)[t.ids], model.parts(t.keys)[t.ids]
+        p_rows = part_rows(previous(t), y)
         order = rng.permutation(len(y))
         for a in range(0, len(y), BATCH):
             pick = order[a:a + BATCH]
@@ -246,7 +300,20 @@ def gradient_steps(model: Model, tokens: Iterator[Tokens], seed: int = 0, rate:
             past_bias += float((up * up).mean())
             bias -= rate / math.sqrt(past_bias) * up
             total += len(pick)
-    return w, bias, seen, total
+            inner = pick[y[pick] < CLASSES - 1]
+            if len(inner):
+                own = p_rows[inner]
+                g = part_probabilities(v, part_bias, own, y[inner])
+                g[np.arange(len(inner)), part[inner]] -= 1
+                by_row = np.argsort(own.astype(np.uint16), kind="stable")
+                in_order = own[by_row]
+                start = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+                ids = in_order[start]
+                step = np.add.reduceat(g[by_row], start, axis=0)
+                v_past[ids] += np.einsum("ij,ij->i", step, step) / PARTS
+                v[ids] -= (rate / np.sqrt(v_past[ids]))[:, None] * step
+                v_seen[ids] += np.diff(np.r_[start, len(in_order)])
+    return w, bias, seen, total, v, v_seen
 
 
 _UPDATE = pa.schema([("block", pa.int32()), ("slot", pa.int32()), ("rows", pa.binary()), ("part", pa.binary())])
@@ -256,7 +323,7 @@ _UPDATE_DDL = "block int, slot int, rows binary, part binary"
 SLOTS = 64
 #: Bytes that a token of a text takes, about; and those of a model.
 TOKEN_BYTES = 6
-MODEL_BYTES = 4 * ROWS * (CLASSES + 1)
+MODEL_BYTES = 4 * (ROWS * (CLASSES + 1) + PART_ROWS * (PARTS + 1))
 
 
 def workers(tokens: int) -> int:
@@ -268,20 +335,26 @@ def _steps(shared, fold_seed: int):
     def run(batches):
         from pyspark import TaskContext
 
-        w, bias, seen, total = gradient_steps(shared.value, (tokens_of(b.column(0)) for b in chunks(batches, 0)),
-                                              seed=fold_seed + TaskContext.get().partitionId())
+        w, bias, seen, total, v, v_seen = gradient_steps(shared.value, (tokens_of(b.column(0)) for b in chunks(batches, 0)),
+                                                               seed=fold_seed + TaskContext.get().partitionId())
         if not total:
             return
         slot = TaskContext.get().partitionId() % SLOTS
-        for i, first in enumerate(range(0, ROWS, BLOCK_ROWS)):
-            used = np.flatnonzero(seen[first:first + BLOCK_ROWS])
-            if len(used):
-                n = seen[first + used, None]
-                yield _update(i, slot, used, np.hstack([w[first + used] * n, n]))
-        yield _update(ROWS // BLOCK_ROWS, slot, np.zeros(1, dtype=int), np.r_[bias * total, total][None, :])
+        for number, weights, times in ((0, w, seen), (PART_BLOCK, v, v_seen)):
+            for i, first in enumerate(range(0, len(weights), BLOCK_ROWS), number):
+                used = np.flatnonzero(times[first:first + BLOCK_ROWS])
+                if len(used):
+                    n = times[first + used, None]
+                    yield _update(i, slot, used, np.hstack([weights[first + used] * n, n]))
+        yield _update(BIAS_BLOCK, slot, np.zeros(1, dtype=int), np.r_[bias * total, total][None, :])
     return run
 
 
+#: Numbers of the blocks after those of the class weights.
+BIAS_BLOCK = ROWS // BLOCK_ROWS
+PART_BLOCK = BIAS_BLOCK + 1
+
+
 def _update(block: int, slot: int, rows: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     """Some rows of a block, each followed by how often it was used."""
     return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([slot], pa.int32()),
@@ -290,7 +363,8 @@ def _update(block: int, slot: int, rows: np.ndarray, x: np.ndarray) -> pa.Record
 
 
 def _rows_of(rows: bytes, part: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(rows, dtype="<u2").astype(int), np.frombuffer(part, dtype="<f4").reshape(-1, CLASSES + 1)
+    at = np.frombuffer(rows, dtype="<u2").astype(int)
+    return at, np.frombuffer(part, dtype="<f4").reshape(len(at), -1)
 
 
 def _sum_blocks(batches):
@@ -299,7 +373,7 @@ def _sum_blocks(batches):
     for b in batches:
         for i, rows, part in zip(*(b.column(c).to_pylist() for c in (0, 2, 3))):
             at, v = _rows_of(rows, part)
-            sums.setdefault(i, np.zeros((BLOCK_ROWS, CLASSES + 1)))[at] += v
+            sums.setdefault(i, np.zeros((BLOCK_ROWS, v.shape[1])))[at] += v
     for i, v in sums.items():
         used = np.flatnonzero(v[:, -1])
         yield _update(i, 0, used, v[used])
@@ -341,6 +415,16 @@ def _balanced(group: np.ndarray, count: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
+def _parts(cls: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Parts of about equal mass within the classes."""
+    loads, out = np.zeros((CLASSES, PARTS)), np.zeros(len(cls), dtype=np.int64)
+    for i in np.argsort(-count, kind="stable"):
+        mine = loads[cls[i]]
+        out[i] = mine.argmin()
+        mine[out[i]] += count[i] + 1
+    return out
+
+
 def hot_words(types: DataFrame, limit: int) -> tuple[DataFrame, int]:
     """The most frequent words, at most ``limit``, by a count threshold taken
     from a histogram of a few hundred rows (no sort of all words)."""
@@ -371,10 +455,13 @@ def fit(texts: DataFrame, *, hot: int = HOT, rounds: int = ROUNDS):
     sketch = np.stack([np.nan_to_num(got.column(f"s{j}").to_numpy(zero_copy_only=False).astype(float)) for j in range(DIMS)],
                       axis=1)[order] / np.maximum(count, 1)[:, None] if got.num_rows else np.zeros((0, DIMS))
     cls = _balanced(_grouped(sketch, count, GROUPS), count, CLASSES - 1)
-    mass = np.bincount(cls, weights=count + 1.0, minlength=CLASSES)
-    mass[CLASSES - 1] = (row["n"] - count.sum()) + (row["v"] - len(keys)) + 1.0
+    part = _parts(cls, count)
+    by_part = np.bincount(cls * PARTS + part, weights=count + 1.0, minlength=CLASSES * PARTS).reshape(CLASSES, PARTS)
+    by_part[CLASSES - 1, 0] = (row["n"] - count.sum()) + (row["v"] - len(keys)) + 1.0
+    mass = by_part.sum(axis=1)
     bias = np.where(mass > 0, np.log(np.maximum(mass, 1e-9)), -30.0 + math.log(mass.max())) - math.log(mass.sum())
-    model = Model(keys, cls.astype(np.int16), count, mass, np.zeros((ROWS, CLASSES), dtype=np.float32), bias.astype(np.float32))
+    model = Model(keys, cls.astype(np.int16), count, part.astype(np.int16), by_part, np.zeros((ROWS, CLASSES), dtype=np.float32),
+                  bias.astype(np.float32), np.zeros((PART_ROWS, PARTS), dtype=np.float32))
     for r in range(rounds if row["n"] else 0):
         shared = spark.sparkContext.broadcast(model)
         some = workers(row["n"])
@@ -384,8 +471,10 @@ def fit(texts: DataFrame, *, hot: int = HOT, rounds: int = ROUNDS):
         summed = updates.toArrow()                        # at most ROWS x (CLASSES + 1) numbers
         for i, rows, part in zip(*(summed.column(c).to_pylist() for c in ("block", "rows", "part"))):
             at, v = _rows_of(rows, part)
-            if i * BLOCK_ROWS >= ROWS:
+            if i == BIAS_BLOCK:
                 model.bias = (v[0, :-1] / v[0, -1]).astype(np.float32)
+            elif i >= PART_BLOCK:
+                model.part_weights[(i - PART_BLOCK) * BLOCK_ROWS + at] = v[:, :-1] / v[:, -1:]
             else:
                 model.weights[i * BLOCK_ROWS + at] = v[:, :-1] / v[:, -1:]
     return model, types.select("w", "n"), least, row["n"], row["v"]
@@ -404,7 +493,7 @@ def _score_texts(shared):
 
         model: Model = shared.value
         row = TaskContext.get().partitionId() << 32
-        per_class = np.log10(np.maximum(model.mass, 1e-300))
+        per_part, part_bias = np.log10(np.maximum(model.mass, 1e-300)), model.part_bias
         hot_log = np.log10(model.hot_count + 1.0)
         for b in chunks(batches, 1):
             t = tokens_of(b.column(1))
@@ -415,14 +504,19 @@ def _score_texts(shared):
             cls = model.classes(t.keys)
             f = features(t)
             chosen = np.empty(len(t.ids))
-            y = cls[t.ids]
+            y, part = cls[t.ids], model.parts(t.keys)[t.ids]
+            p_rows = part_rows(previous(t), y)
             for a in range(0, len(y), BATCH):
-                p = class_probabilities(model.weights, model.bias, f[a:a + BATCH])
-                chosen[a:a + BATCH] = p[np.arange(len(p)), y[a:a + BATCH]]
+                z = slice(a, a + BATCH)
+                p = class_probabilities(model.weights, model.bias, f[z])
+                chosen[z] = p[np.arange(len(p)), y[z]]
+                inner = np.flatnonzero(y[z] < CLASSES - 1) + a
+                q = part_probabilities(model.part_weights, part_bias, p_rows[inner], y[inner])
+                chosen[inner] *= q[np.arange(len(q)), part[inner]]
             first = t.starts[:-1]
             logs = log_count[t.ids]
             base = np.add.reduceat(logs, first)
-            score = base + np.add.reduceat(np.log10(np.maximum(chosen, 1e-300)) - per_class[y], first)
+            score = base + np.add.reduceat(np.log10(np.maximum(chosen, 1e-300)) - per_part[y, part], first)
             is_hot = hot[t.ids]
             known = np.add.reduceat(is_hot.astype(np.int64), first)
             sizes = np.diff(t.starts)

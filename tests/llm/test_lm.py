@@ -76,11 +76,31 @@ def test_model_is_a_distribution(spark):
     f = np.random.default_rng(0).integers(0, lm.ROWS, (20, 3)).astype(np.int32)
     p = lm.class_probabilities(model.weights, model.bias, f)
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-    inside = np.bincount(model.hot_class, weights=model.hot_count + 1.0, minlength=lm.CLASSES)
+    inside = np.zeros((lm.CLASSES, lm.PARTS))
+    np.add.at(inside, (model.hot_class, model.hot_part), model.hot_count + 1.0)
     rare = types.where(types.n < least).collect()
-    inside[-1] = sum(r.n + 1 for r in rare) + 1
-    assert np.allclose(inside, model.mass)                       # P(word | class) sums to one
-    assert p[:, model.mass == 0].sum() < 1e-6
+    inside[-1, 0] = sum(r.n + 1 for r in rare) + 1
+    assert np.allclose(inside, model.mass)                       # P(word | part) sums to one
+    assert p[:, model.mass.sum(axis=1) == 0].sum() < 1e-6
+    some = np.flatnonzero(model.mass.sum(axis=1) > 0)
+    rows = np.random.default_rng(1).integers(0, lm.PART_ROWS, len(some)).astype(np.int32)
+    q = lm.part_probabilities(model.part_weights, model.part_bias, rows, some)
+    assert np.allclose(q.sum(axis=1), 1, atol=1e-5) and q[model.mass[some] == 0].sum() < 1e-6
+
+
+def test_context_separates_words_of_one_class(spark):
+    """On held-out text the context tells the part of a class better than its
+    share does, so words of one class are told apart."""
+    rows = corpus(600, seed=8)
+    df = spark.createDataFrame([r for r in rows if not held(r[0])], "doc_id long, text string, lang string")
+    model, *_ = lm.fit(df.select("text"), hot=120)
+    t = lm.tokens_of(pa.array([r[1] for r in rows if held(r[0])]))
+    y, part = model.classes(t.keys)[t.ids], model.parts(t.keys)[t.ids]
+    inner = np.flatnonzero((y < lm.CLASSES - 1) & ((model.mass[y] > 0).sum(axis=1) > 1))
+    q = lm.part_probabilities(model.part_weights, model.part_bias, lm.part_rows(lm.previous(t), y)[inner], y[inner])
+    share = np.exp(model.part_bias[y[inner], part[inner]])
+    gain = np.log10(q[np.arange(len(inner)), part[inner]]) - np.log10(share)
+    assert len(inner) > 500 and gain.mean() > 0.05
 
 
 def test_tokens_and_features():
@@ -105,3 +125,10 @@ def test_updates_are_no_larger_than_the_text():
     at, v = lm._rows_of(got.column(2)[0].as_py(), got.column(3)[0].as_py())
     assert at.tolist() == [5, 900, 901, 1023]                    # rows that nobody touched are not sent
     assert np.allclose(v, [x[0], x[1] + x[0], x[1], x[2]])
+
+
+def test_softmax_of_rows_far_apart():
+    z = np.array([[0, 1, 2], [-500, -501, -502], [300, 300, -30], [-90, -30, -90]], dtype=np.float32)
+    e = np.exp(z.astype(float) - z.max(axis=1, keepdims=True))
+    assert np.allclose(lm.softmax(z.copy()), e / e.sum(axis=1, keepdims=True), atol=1e-6)
+    assert lm.softmax(np.zeros((0, 3), dtype=np.float32)).shape == (0, 3)
