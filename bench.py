@@ -32,7 +32,9 @@ HEADLINE = [
     "batch_statistics",       # SC-3
     "batch_predict",          # SC-1: split, fit, prepare, score every row
     "logistic_holdout",       # ML-4: one linear fit with its evaluation
-    "cross_validate_logistic",  # ML-8: five fits, all fold metrics
+    "cross_validate_logistic",  # ML-8: five fits in shared passes, all fold metrics
+    "boosted_leafwise_holdout",  # ML-6: ten trees of 31 leaves on all features, scored
+    "minority_neighbours",      # ML-13: exact five nearest neighbours of every minority row
 ]
 
 
