@@ -31,3 +31,27 @@ def test_ranks_take_more_tasks_for_more_rows(spark, monkeypatch):
     monkeypatch.setattr(OR, "RANK_TASK_ROWS", 20)
     got = OR.hashed_rank(df, "id", 1, ["c"])
     assert parts(got) > 30 and sorted(map(str, got.collect())) == want
+
+
+def test_points_visit_few_bins(monkeypatch):
+    """Shells around pivots sent a point to many bins; boxes to a few."""
+    import numpy as np
+    import pyarrow as pa
+    from riskframe.operators import oversampling as O
+    monkeypatch.setattr(O, "BIN_ROWS", 100)
+    x = np.random.default_rng(5).random((6000, 4))
+    bins = O.Bins(x, len(x))
+    at = bins.of(x)
+    for i in range(bins.count):
+        bins.low[i], bins.high[i] = x[at == i].min(axis=0), x[at == i].max(axis=0)
+    order = np.argsort(at, kind="stable")
+    x, at = x[order], at[order]
+    bound = np.array([np.partition(O.squared(x[i:i + 1], x[at == at[i]])[0], 5)[5] for i in range(len(x))])
+    vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 4).cast(pa.list_(pa.float64()))
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), vec, pa.array(at), pa.array(bound)], names=["id", "vec", "bin", "bound"])
+    seen = [(r, c) for row, to in O._asked(bins, b) for r, c in zip(row, to)]
+    assert bins.count >= 50 and len(seen) < 12 * len(x)
+    full = O.squared(x[:40], x)
+    for i in range(40):                                   # no bin that holds one of the 6 nearest is left out
+        need = {int(at[j]) for j in np.argsort(full[i])[:6]} - {int(at[i])}
+        assert need <= {int(c) for r, c in seen if r == i}
