@@ -24,6 +24,7 @@ block, so its work grows with its lines, not with lines times templates.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -39,6 +40,8 @@ MIN_DOCS = 2
 FIELD = "<*>"
 #: Characters of masked lines that a task holds before it sends them on.
 HOLD_CHARS = 24 << 20
+#: Whole texts that pass between Spark and a task at a time.
+BATCH_ROWS = 512
 
 _DIGIT = re.compile(r"\d")
 
@@ -122,7 +125,7 @@ def _number_lines(batches):
                 held = 0
         yield from flush()
 
-    return batches_of(out(), _LOCAL, weigh=lambda r: len(r[0] or "") + 8 * len(r[6] or ""))
+    return batches_of(out(), _LOCAL, weigh=lambda r: 200 + len(r[0] or "") + 48 * len(r[6] or ""))
 
 
 def _tree(similarity: float, min_docs: int):
@@ -155,6 +158,19 @@ def _tree(similarity: float, min_docs: int):
     return run
 
 
+@contextmanager
+def _few_rows(spark):
+    """Arrow batches of ``BATCH_ROWS`` rows for what runs inside: by default a
+    batch holds 10,000 whole texts, once in Spark and once in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def line_templates(docs: DataFrame, *, depth: int = DEPTH, similarity: float = SIMILARITY,
                    min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per input row: ``doc_id``, ``text_key`` (hash of the text),
@@ -170,7 +186,8 @@ def line_templates(docs: DataFrame, *, depth: int = DEPTH, similarity: float = S
     table gives no row; other columns are not read. Lines end at LF."""
     text = text_or_empty()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    local = stored(src.mapInArrow(_number_lines, _LOCAL_DDL), "lines")
+    with _few_rows(docs.sparkSession):
+        local = stored(src.mapInArrow(_number_lines, _LOCAL_DDL), "lines")
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
     leaf = F.concat_ws(" ", count.cast("string"), F.substring_index("line", " ", depth))
     named = local.where("line IS NOT NULL").select(leaf.alias("leaf"), "line", "docs", "no") \

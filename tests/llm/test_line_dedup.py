@@ -132,3 +132,21 @@ def test_copies_alone_drop_nothing(spark):
     rows += [(20, "another start of it\n" + page.split("\n")[2])] * 2 + [(21, "another start of it\n" + page.split("\n")[2])]
     got = dropped(spark, rows)
     assert got == {0: []} | {i: [2] for i in [*range(1, 8), None]} | {20: [1], 21: [1]}
+
+
+def test_few_texts_pass_at_a_time(spark):
+    import pyarrow as pa
+    import pytest
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    with line_dedup._few_rows(spark):
+        got = [r.n for r in spark.range(0, 2000, 1, 1).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 2000 and max(got) <= line_dedup.BATCH_ROWS
+    with pytest.raises(ValueError), line_dedup._few_rows(spark):
+        raise ValueError
+    assert spark.conf.get(name) == before
